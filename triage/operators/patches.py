@@ -202,7 +202,7 @@ def _apply_hunks(lines: str, hunks: str) -> str:
            when not h.trails then size({lines}) - size(h.old) + 1
            else {here} end), want ->
       coalesce(
-        filter(array(want), p -> p >= 1 and {fits} and {anchored})[0],
+        get(filter(array(want), p -> p >= 1 and {fits} and {anchored}), 0),
         if(h.trails and h.old_start > 1, array_min(transform(
           filter(if(size({lines}) = 0, cast(array() as array<int>), sequence(1, size({lines}))), p -> {fits}),
           p -> named_struct('far', abs(p - want), 'back', p < want, 'p', p))).p, null)))[0]"""
