@@ -74,18 +74,25 @@ def _quote(pattern: str) -> str:
 
 
 def _brackets(text: str, openers: str, closers: str) -> str:
+    """Openers minus closers; ``translate`` drops them faster than a pattern would."""
     return (
-        f"length(regexp_replace({text}, r'[^{openers}]', ''))"
-        f" - length(regexp_replace({text}, r'[^{closers}]', ''))"
+        f"length(translate({text}, '{closers}', '')) - length(translate({text}, '{openers}', ''))"
     )
 
 
+def _any(text: str, marks: tuple[str, ...]) -> str:
+    quoted = [f'"{m}"' if "'" in m else f"'{m}'" for m in marks]
+    return "(" + " or ".join(f"contains({text}, {m})" for m in quoted) + ")"
+
+
 # One line, seen from the state before it: what is left of it as code.
 # `quote` is the pending multi-line string (or block comment) delimiter.
-def _clean_line(noise: str) -> str:
+# Most lines hold nothing to remove and skip the pattern.
+def _clean_line(noise: str, hints: tuple[str, ...]) -> str:
     pattern = _quote(noise)
     closer = "if(s.quote = '/*', '*/', s.quote)"
     return f"""case
+      when s.quote = '' and not {_any("x", hints)} then x
       when s.quote = '' then regexp_replace(x, {pattern}, '$1')
       when locate({closer}, x) = 0 then s.quote
       else regexp_replace(substr(x, locate({closer}, x) + length(s.quote)), {pattern}, '$1')
@@ -100,6 +107,8 @@ def _next_quote(code: str, marks: tuple[str, ...]) -> str:
 
 PY_MARKS = ('"""', "'''")
 BRACE_MARKS = ("/*",)
+PY_HINTS = ('"', "'", "#")
+BRACE_HINTS = ('"', "'", "`", "/")
 
 
 def python_symbols(lines: str) -> Column:
@@ -111,19 +120,25 @@ def python_symbols(lines: str) -> Column:
     a docstring starts, or 0.
     """
     step = f"""
-    transform(array({_clean_line(PY_NOISE)}), code -> named_struct(
-      'code', code,
-      'is_start', s.quote = '' and s.depth = 0 and not s.joined and x rlike r'^\\s*[^\\s#]',
-      'level', length(replace(regexp_extract(x, r'^([ \\t]*)', 1), '\\t', '        ')),
-      'is_def', x rlike r'{PY_FUNCTION}',
-      'is_class', x rlike r'{PY_CLASS}',
-      'solid', x rlike r'\\S' and not (s.quote = '' and s.depth = 0 and x rlike r'^\\s*#')
+    transform(array(named_struct('code', {_clean_line(PY_NOISE, PY_HINTS)},
+                                 't', ltrim(' \t\f', x))), c -> named_struct(
+      'code', c.code,
+      'is_start', c.t <> '' and s.quote = '' and s.depth = 0 and not s.joined
+                  and not startswith(c.t, '#') and not startswith(c.t, '\r'),
+      'level', if(contains(x, '\t'),
+                  length(replace(regexp_extract(x, r'^([ \t]*)', 1), '\t', '        ')),
+                  length(x) - length(c.t)),
+      'is_def', (startswith(c.t, 'def') or startswith(c.t, 'async')) and x rlike r'{PY_FUNCTION}',
+      'is_class', startswith(c.t, 'class') and x rlike r'{PY_CLASS}',
+      'text', startswith(c.t, '"') or startswith(c.t, "'")
+              or (length(c.t) > 1 and c.t rlike concat(r'^[rRbBuUfF]+["', "']")),
+      'solid', c.t <> '' and not (s.quote = '' and s.depth = 0 and startswith(c.t, '#'))
     ))[0]"""
     merged = f"""
     transform(array({step}), l -> named_struct(
       'ln', s.ln + 1,
       'quote', {_next_quote("l.code", PY_MARKS)},
-      'depth', greatest(s.depth + {_brackets("l.code", "(\\[{", ")\\]}")}, 0),
+      'depth', greatest(s.depth + {_brackets("l.code", "([{", ")]}")}, 0),
       'joined', endswith(l.code, '\\\\'),
       'last', if(l.solid, s.ln + 1, s.last),
       'fresh', if(l.is_start, l.is_def or l.is_class, s.fresh),
@@ -143,7 +158,7 @@ def python_symbols(lines: str) -> Column:
               'cls', if(l.is_class, regexp_extract(x, r'{PY_CLASS}', 1), above.cls),
               'doc', 0,
               'entered', true)))
-        when s.fresh and x rlike concat(r'^\\s*[rRbBuUfF]*["', "']") then concat(
+        when s.fresh and l.text then concat(
           filter(s.open, o -> o.level < l.level and o.start <
             array_max(transform(s.open, p -> p.start))),
           transform(filter(s.open, o -> o.level < l.level and o.start =
@@ -173,17 +188,19 @@ def brace_symbols(lines: str, class_pattern: str, function_patterns: tuple[str,
     A declaration ends on the line where the brace depth falls back to its own
     level, or on its own line when it has no body.
     """
-    is_class = f"l.live and x rlike {_quote(class_pattern)}"
+    class_hint = "type" if class_pattern == GO_TYPE else "class"
     tests = " or ".join(f"x rlike {_quote(p)}" for p in function_patterns)
-    is_function = f"l.live and ({tests})"
+    is_class, is_function = "l.is_class", "l.is_function"
     first_name = " ".join(
         f"when x rlike {_quote(p)} then regexp_extract(x, {_quote(p)}, 1)"
         for p in (class_pattern, *function_patterns)
     )
     step = f"""
-    transform(array({_clean_line(BRACE_NOISE)}), code -> named_struct(
+    transform(array({_clean_line(BRACE_NOISE, BRACE_HINTS)}), code -> named_struct(
       'code', code,
-      'live', s.quote = '' and s.round = 0,
+      'is_class', s.quote = '' and s.round = 0 and contains(x, '{class_hint}')
+                  and x rlike {_quote(class_pattern)},
+      'is_function', s.quote = '' and s.round = 0 and contains(x, '(') and ({tests}),
       'after', greatest(s.depth + {_brackets("code", "{", "}")}, 0)
     ))[0]"""
     declared = f"""
@@ -226,17 +243,20 @@ def brace_symbols(lines: str, class_pattern: str, function_patterns: tuple[str,
         'parent', o.parent, 'doc', 0)))))""")
 
 
-def import_statements(lines: str, starts: str, noise: str, marks: tuple[str, ...]) -> Column:
+def import_statements(
+    lines: str, starts: str, noise: str, marks: tuple[str, ...], hints: tuple[str, ...]
+) -> Column:
     """Raw import statements in file order, at any depth.
 
     A statement goes on while a bracket is open or a line ends in a backslash.
     """
     merged = f"""
-    transform(array({_clean_line(noise)}), code ->
-      transform(array(s.quote = '' and s.depth = 0 and not s.joined and x rlike {_quote(starts)}),
+    transform(array({_clean_line(noise, hints)}), code ->
+      transform(array(s.quote = '' and s.depth = 0 and not s.joined
+                      and contains(x, 'import') and x rlike {_quote(starts)}),
         begins ->
         transform(array(named_struct(
-          'depth', greatest(s.depth + {_brackets("code", "(\\[{", ")\\]}")}, 0),
+          'depth', greatest(s.depth + {_brackets("code", "([{", ")]}")}, 0),
           'joined', endswith(code, '\\\\'),
           'text', case when begins then x when s.text is not null then concat(s.text, '\\n', x) end
         )), n -> named_struct(

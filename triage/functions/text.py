@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Line breaks recognised in source text and logs.
@@ -15,6 +15,24 @@ TOKEN = r"\w+|[^\w\s]"
 FULL_LINE_COMMENT = r"^\s*#"
 
 
+def let(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A plain projection may be copied into the filters and lambda bodies above
+    it, which for a split text means once per line. The output of an explode (of
+    one element) is never copied, and it stays inside code generation.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    held = df.select(*keep, F.explode(F.array(packed)).alias("_let"))
+    return held.select(*keep, *[F.col("_let")[n].alias(n) for n in columns])
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: ``let`` inside an expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_lines(text: Column | str) -> Column:
     """Lines without their breaks; a final break adds no empty line."""
     text = F.col(text) if isinstance(text, str) else text

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from triage.functions.text import bind
+
 # Fixed value: a term of the hashed embedding.
 TERM = r"[^\s]+"
 
@@ -17,10 +19,11 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Scale to length 1; the zero vector stays zero."""
-    n = norm(v)
-    return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(
-        F.transform(v, lambda x: x.cast("double") / n)
-    )
+    def scaled(n: Column) -> Column:
+        length = F.when(n == 0, 1.0).otherwise(n)
+        return F.transform(v, lambda x: x.cast("double") / length)
+
+    return bind(norm(v), scaled)
 
 
 def hashed_terms(text: Column, dim: int = 64) -> Column:
@@ -35,12 +38,15 @@ def hashed_terms(text: Column, dim: int = 64) -> Column:
     terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
     marks = F.sequence(F.lit(0), F.lit(dim)).cast("array<bigint>")
     ordered = F.array_sort(F.concat(F.transform(terms, bucket), marks))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (
-            F.array_position(ordered, (i + 1).cast("long")) - F.array_position(ordered, i.cast("long")) - 1
-        ).cast("float"),
-    )
+
+    def counts(o: Column) -> Column:
+        def count(i: Column) -> Column:
+            n = F.array_position(o, (i + 1).cast("long")) - F.array_position(o, i.cast("long")) - 1
+            return n.cast("float")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
+
+    return bind(ordered, counts)
 
 
 # Names of the built-in embedders.

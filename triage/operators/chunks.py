@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage.functions.text import line_range, split_lines
+from triage.functions.text import let, line_range, split_lines
 
 # Fixed value: characters of a symbol's body that enter its chunk text.
 MAX_BODY_CHARS = 1500
@@ -41,6 +41,6 @@ def build_chunks(files: DataFrame, symbols: DataFrame, max_body_chars: int = MAX
             text.alias("embedding_text"),
         )
 
-    lined = joined.withColumn("_lines", split_lines("content"))
+    lined = let(joined, _lines=split_lines("content"))
     made = F.transform("_symbols", lambda s: chunk(F.col("_lines"), F.col("path"), s))
     return lined.select("repo", "path", F.explode(made).alias("c")).select("repo", "path", "c.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from triage.functions.scale import stage
 from triage.functions.text import compressor as find_compressor
-from triage.functions.text import count_tokens, line_range, split_lines
+from triage.functions.text import count_tokens, let, line_range, split_lines
 
 # Default budget, and the format of an assembled context and prompt.
 TOKEN_BUDGET = 8000
@@ -74,12 +74,8 @@ def unit_texts(
     lists = ranges.groupBy("repo", "path").agg(
         F.collect_list(F.struct(F.col("qualified_name").alias("name"), "r")).alias("_ranges")
     )
-    joined = (
-        files.select("repo", "path", "content")
-        .join(parts, ["repo", "path"])
-        .join(lists, ["repo", "path"], "left")
-        .withColumn("_lines", split_lines("content"))
-    )
+    joined = files.select("repo", "path", "content").join(parts, ["repo", "path"])
+    joined = let(joined.join(lists, ["repo", "path"], "left"), _lines=split_lines("content"))
     no_name = F.lit(None).cast("string").alias("name")
     whole = F.when(
         F.col("_whole"), F.array(F.struct(no_name, F.col("content").alias("text")))
@@ -96,12 +92,12 @@ def unit_texts(
         ),
     )
     squeeze = find_compressor(compressor)
-    return (
-        joined.select("repo", "path", F.explode(F.concat(whole, texts)).alias("u"))
-        .select("repo", "path", F.col("u.name").alias("symbol_name"), F.col("u.text").alias("raw_text"))
-        .withColumn("compressed_text", squeeze(F.col("raw_text")))
-        .withColumn("raw_tokens", counter(F.col("raw_text")))
-        .withColumn("compressed_tokens", counter(F.col("compressed_text")))
+    raw = joined.select("repo", "path", F.explode(F.concat(whole, texts)).alias("u")).select(
+        "repo", "path", F.col("u.name").alias("symbol_name"), F.col("u.text").alias("raw_text")
+    )
+    small = let(raw, compressed_text=squeeze(F.col("raw_text")))
+    return small.withColumn("raw_tokens", counter(F.col("raw_text"))).withColumn(
+        "compressed_tokens", counter(F.col("compressed_text"))
     )
 
 

@@ -61,7 +61,7 @@ def _steps(edges: DataFrame, directions: tuple[str, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _walk(starts: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+def _walk(starts: DataFrame, steps: DataFrame, depth: int, directions: tuple[str, ...]) -> DataFrame:
     """``repo, dir, start, path, hop`` within ``depth`` steps of each start.
 
     A start is reported only when a cycle leads back to it. All starts and
@@ -70,9 +70,10 @@ def _walk(starts: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     shared folder, so the plan does not grow with the depth.
     """
     keys = ["repo", "dir", "start"]
-    front = starts.select("repo", "start").distinct().join(
-        steps.select("repo", "dir").distinct(), "repo"
-    ).select(*keys, F.col("start").alias("node"))
+    each = F.explode(F.array(*[F.lit(d) for d in directions])).alias("dir")
+    front = starts.select("repo", "start").distinct().select(
+        "repo", "start", each, F.col("start").alias("node")
+    )
     seen: DataFrame | None = None
     for hop in range(1, depth + 1):
         reached = front.join(steps, ["repo", "dir", "node"]).select(*keys, F.col("to").alias("path")).distinct()
@@ -98,7 +99,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str =
     """
     if direction not in ("in", "out"):
         raise ValueError(f"direction must be 'in' or 'out', not {direction!r}")
-    return _walk(starts, _steps(edges, (direction,)), depth).drop("dir")
+    return _walk(starts, _steps(edges, (direction,)), depth, (direction,)).drop("dir")
 
 
 def neighborhood(
@@ -113,7 +114,7 @@ def neighborhood(
     back = _steps(edges.where(F.col("dst_kind") == REPO_FILE), ("in",))
     if drop_external:
         steps = steps.where(~F.startswith(F.col("to"), F.lit(EXTERNAL_PREFIX)))
-    walked = _walk(starts, steps.unionByName(back), depth)
+    walked = _walk(starts, steps.unionByName(back), depth, ("out", "in"))
     return (
         walked.where("path <> start")
         .groupBy("repo", "start", "path")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions import paths, scan
-from triage.functions.text import split_lines, strip
+from triage.functions.text import let, split_lines, strip
 
 # Where a statement starts, by language.
 _PY_START = r"^\s*(?:import\s|from\s+(?!__future__\b)[\w.]+\s*import\b)"
@@ -36,11 +36,12 @@ def _go_specs(statements: Column) -> Column:
 
 def _statements(lines: str) -> Column:
     def brace(starts: str) -> Column:
-        return scan.import_statements(lines, starts, scan.BRACE_NOISE, scan.BRACE_MARKS)
+        return scan.import_statements(lines, starts, scan.BRACE_NOISE, scan.BRACE_MARKS, scan.BRACE_HINTS)
 
     lang = F.col("language")
     return (
-        F.when(lang == "python", scan.import_statements(lines, _PY_START, scan.PY_NOISE, scan.PY_MARKS))
+        F.when(lang == "python", scan.import_statements(
+            lines, _PY_START, scan.PY_NOISE, scan.PY_MARKS, scan.PY_HINTS))
         .when(lang.isin("javascript", "typescript"), brace(_JS_START))
         .when(lang == "java", brace(_JAVA_START))
         .when(lang == "go", _go_specs(brace(_GO_START)))
@@ -49,13 +50,10 @@ def _statements(lines: str) -> Column:
 
 def extract(files: DataFrame) -> DataFrame:
     """Raw statements ``repo, commit_sha, path, language, pos, raw_import``. No shuffle."""
-    return (
-        files.where("language <> 'unknown'")
-        .withColumn("_lines", split_lines("content"))
-        .select(
-            "repo", "commit_sha", "path", "language",
-            F.posexplode(_statements("_lines")).alias("pos", "raw_import"),
-        )
+    lined = let(files.where("language <> 'unknown'"), _lines=split_lines("content"))
+    return lined.select(
+        "repo", "commit_sha", "path", "language",
+        F.posexplode(_statements("_lines")).alias("pos", "raw_import"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from triage.functions.paths import is_unsafe
-from triage.functions.text import split_lines
+from triage.functions.text import bind, let, split_lines
 
 # Fences, headers before a fence, and diff spellings.
 FENCE = r"(?s)```([\w+-]*)\n(.*?)```"
@@ -65,22 +65,18 @@ def blocks(responses: DataFrame) -> DataFrame:
           'lang', lower(z.lang), 'content', z.content,
           'lead', right(concat(s.tail, z.piece), {HEADER_REACH}))))),
       s -> s.out)"""
-    return (
-        responses.withColumn("_pieces", pieces)
-        .withColumn("_led", F.expr(walk))
-        .withColumn(
-            "blocks",
-            F.transform(
-                "_led",
-                lambda b: F.struct(
-                    b["lang"].alias("lang"),
-                    b["content"].alias("content"),
-                    header_path(b["lead"]).alias("header_path"),
-                ),
+    led = let(let(responses, _pieces=pieces), _led=F.expr(walk))
+    return let(
+        led,
+        blocks=F.transform(
+            "_led",
+            lambda b: F.struct(
+                b["lang"].alias("lang"),
+                b["content"].alias("content"),
+                header_path(b["lead"]).alias("header_path"),
             ),
-        )
-        .drop("_pieces", "_led")
-    )
+        ),
+    ).drop("_pieces", "_led")
 
 
 def file_diffs(diff: Column) -> Column:
@@ -125,8 +121,7 @@ def file_changes(responses: DataFrame) -> DataFrame:
     found = F.flatten(F.transform("blocks", _changes_of))
     return (
         blocks(responses)
-        .withColumn("_changes", found)
-        .select(*keys, F.posexplode_outer("_changes").alias("pos", "c"))
+        .select(*keys, F.posexplode_outer(found).alias("pos", "c"))
         .select(
             *keys, "pos", "c.*",
             F.when(F.col("c").isNull(), "unparseable").otherwise("parsed").alias("status"),
@@ -137,11 +132,6 @@ def file_changes(responses: DataFrame) -> DataFrame:
 # --- applying ---------------------------------------------------------------------
 
 
-def _with_ends(text: Column) -> Column:
-    """Lines that keep their line feed."""
-    return F.filter(F.split(text, r"(?<=\n)", -1), lambda l: l != "")
-
-
 def _hunks(diff: Column) -> Column:
     """Hunks of one file's diff: positions, old and new lines (line feeds kept)."""
     parts = F.filter(F.split(diff, HUNK_START, -1), lambda p: p.rlike(HUNK))
@@ -150,23 +140,24 @@ def _hunks(diff: Column) -> Column:
         n = F.regexp_extract(part, HUNK, group)
         return F.when(n == "", 1).otherwise(n.cast("int"))
 
-    def hunk(part: Column) -> Column:
-        body = F.regexp_replace(part, r"\n+\z", "")
-        lines = F.slice(F.split(body, r"\n", -1), F.lit(2), F.lit(2_000_000_000))
+    def typed_lines(lines: Column) -> Column:
         # "\ No newline at end of file" takes the line feed of the line before it
-        typed = F.filter(
-            F.transform(
-                lines,
-                lambda l, i: F.struct(
-                    F.when(l == "", " ").otherwise(F.left(l, F.lit(1))).alias("op"),
-                    F.concat(
-                        F.substr(l, F.lit(2)),
-                        F.when(F.startswith(F.coalesce(F.get(lines, i + 1), F.lit("")), F.lit("\\")), "").otherwise("\n"),
-                    ).alias("t"),
-                ),
-            ),
-            lambda x: x["op"] != "\\",
-        )
+        def typed(l: Column, i: Column) -> Column:
+            next_ = F.coalesce(F.get(lines, i + 1), F.lit(""))
+            end = F.when(F.startswith(next_, F.lit("\\")), "").otherwise("\n")
+            return F.struct(
+                F.when(l == "", " ").otherwise(F.left(l, F.lit(1))).alias("op"),
+                F.concat(F.substr(l, F.lit(2)), end).alias("t"),
+            )
+
+        return F.filter(F.transform(lines, typed), lambda x: x["op"] != "\\")
+
+    def hunk(part: Column) -> Column:
+        body = F.split(F.regexp_replace(part, r"\n+\z", ""), r"\n", -1)
+        lines = F.slice(body, F.lit(2), F.lit(2_000_000_000))
+        return bind(bind(lines, typed_lines), lambda typed: made(part, typed))
+
+    def made(part: Column, typed: Column) -> Column:
         old = F.transform(F.filter(typed, lambda x: x["op"].isin(" ", "-")), lambda x: x["t"])
         new = F.transform(F.filter(typed, lambda x: x["op"].isin(" ", "+")), lambda x: x["t"])
         return F.struct(
@@ -174,7 +165,7 @@ def _hunks(diff: Column) -> Column:
             F.regexp_extract(part, HUNK, 3).cast("int").alias("new_start"),
             old.alias("old"),
             new.alias("new"),
-            (F.element_at(typed, -1)["op"] == " ").alias("trails"),
+            (F.try_element_at(typed, F.lit(-1))["op"] == " ").alias("trails"),
             (
                 (F.size(old) == count(part, 2))
                 & (F.size(new) == count(part, 4))
@@ -247,10 +238,8 @@ def apply(changes: DataFrame, files: DataFrame) -> DataFrame:
         ),
     )
     base = files.select("repo", "path", F.col("content").alias("old_content"))
-    joined = (
-        per_file.join(base, ["repo", "path"], "left")
-        .withColumn("_prep", prepared)
-        .withColumn("existed_before", F.col("old_content").isNotNull())
+    joined = let(per_file.join(base, ["repo", "path"], "left"), _prep=prepared).withColumn(
+        "existed_before", F.col("old_content").isNotNull()
     )
     lines = "filter(split(coalesce(s.text, ''), r'(?<=\\n)', -1), l -> l <> '')"
     fold = f"""
@@ -265,7 +254,7 @@ def apply(changes: DataFrame, files: DataFrame) -> DataFrame:
       end)"""
     whole = W.partitionBy("response_id")
     return (
-        joined.withColumn("_r", F.expr(fold))
+        let(joined, _r=F.expr(fold))
         .withColumn("_unsafe", is_unsafe(F.col("path")))
         .withColumn("ok", F.col("_r.ok") & ~F.col("_unsafe"))
         .withColumn("applied", F.bool_and("ok").over(whole))

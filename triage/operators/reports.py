@@ -46,11 +46,7 @@ def with_exceptions(failing: DataFrame) -> DataFrame:
 
     The traceback is parsed in the row of its test, so nothing is joined back.
     """
-    has = tracebacks.parse(failing, "longrepr")
-    without = failing.where(
-        ~F.coalesce(F.col("longrepr"), F.lit("")).rlike(r"(?md)^Traceback \(most recent call last\):\s*$")
-    )
-    return has.unionByName(without, allowMissingColumns=True)
+    return tracebacks.parse(failing, "longrepr", keep_all=True)
 
 
 def totals(reports: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions import scan
-from triage.functions.text import line_range, split_lines
+from triage.functions.text import let, line_range, split_lines
 
 # A string literal standing alone as the first statement of a body.
 _DOC = (
@@ -37,16 +37,14 @@ def extract(files: DataFrame) -> DataFrame:
     """One row per symbol of ``files(repo, commit_sha, path, language, content)``.
 
     A narrow transformation: no shuffle, and a file is handled whole in its row.
+    (The scan stands inside ``posexplode``: over a named column Spark would add a
+    size filter and evaluate the scan a second time.)
     ``pos`` is the position in the file; a nested class keeps its own name only.
     """
-    found = (
-        files.where("language <> 'unknown'")
-        .withColumn("_lines", split_lines("content"))
-        .withColumn("_found", _symbols_of("_lines"))
-    )
+    found = let(files.where("language <> 'unknown'"), _lines=split_lines("content"))
     body = line_range(F.col("_lines"), F.col("s.doc"), F.col("s.end"))
     return found.select(
-        "repo", "commit_sha", "path", "_lines", F.posexplode("_found").alias("pos", "s")
+        "repo", "commit_sha", "path", "_lines", F.posexplode(_symbols_of("_lines")).alias("pos", "s")
     ).select(
         "repo",
         "commit_sha",

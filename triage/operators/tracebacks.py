@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triage.functions.text import split_lines, strip
+from triage.functions.text import LINE_BREAK, let, split_lines, strip
 
 # The standard traceback spelling.
 HEADER = r"^Traceback \(most recent call last\):\s*$"
+HEADER_IN_TEXT = (
+    rf"(?:\A|{LINE_BREAK})Traceback \(most recent call last\):[^\S\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]*"
+    rf"(?:\z|{LINE_BREAK})"
+)
 FRAME = r'^\s*File "([^"]+)", line (\d+), in (.+?)\s*$'
 EXCEPTION = r"^([A-Za-z_][\w.]*)\s*:\s*(.*)$"
 BARE_EXCEPTION = r"^([A-Za-z_][\w.]*)\s*$"
@@ -34,43 +38,39 @@ def _tail(items: Column, after: Column) -> Column:
     return F.slice(items, after + 1, F.greatest(F.size(items) - after, F.lit(0)))
 
 
-def parse(failures: DataFrame, text: str = "text") -> DataFrame:
+def parse(failures: DataFrame, text: str = "text", keep_all: bool = False) -> DataFrame:
     """Add ``exception_type, message, frames`` to rows whose text holds a traceback.
 
     Only the last block with a flush-left header counts. Rows without a header
-    drop out. Everything is computed inside the row of the text: no shuffle.
+    drop out, or stay with NULLs if ``keep_all``. Everything is computed inside
+    the row of the text: no shuffle.
     """
-    base = (
-        failures.where(F.contains(F.col(text), F.lit("Traceback (most recent call last):")))
-        .withColumn("_lines", split_lines(text))
-        .withColumn("_at", F.array_max(
-            F.transform("_lines", lambda l, i: F.when(l.rlike(HEADER), i + 1).otherwise(0))))
-        .where("_at > 0")
-        .withColumn("_block", _tail(F.col("_lines"), F.col("_at")))
-        .drop("_lines", "_at")
-        .withColumn("_class", F.transform("_block", _line_class))
-        # position of the first line behind the stack (block length + 1 if none)
-        .withColumn("_end", F.array_position("_class", _END).cast("int"))
-        .withColumn("_end", F.when(F.col("_end") == 0, F.size("_block") + 1).otherwise(F.col("_end")))
-    )
+    rows = failures if keep_all else failures.where(F.col(text).rlike(HEADER_IN_TEXT))
+    lines = let(rows, _lines=split_lines(text))
+    at = F.array_max(F.transform("_lines", lambda l, i: F.when(l.rlike(HEADER), i + 1).otherwise(0)))
+    block = let(let(lines, _at=at), _block=_tail(F.col("_lines"), F.col("_at"))).drop("_lines")
+    classed = let(block, _class=F.transform("_block", _line_class))
+    # position of the first line behind the stack (block length + 1 if none)
+    end = F.array_position("_class", _END).cast("int")
+    ended = let(classed, _end=F.when(end == 0, F.size("_block") + 1).otherwise(end))
     stack = F.slice("_class", F.lit(1), F.col("_end") - 1)
     starts = F.filter(F.transform(stack, lambda c, i: F.when(c == _FRAME, i + 1)), lambda i: i.isNotNull())
-    framed = base.withColumn("_starts", starts).withColumn("frames", _frames())
+    framed = let(ended, _starts=starts, _header=_header_lines())
+    found = F.col("_at") > 0
+    return let(
+        framed,
+        frames=F.when(found, _frames()),
+        exception_type=F.when(found, _exception_type()),
+        message=F.when(found, _message()),
+    ).drop("_at", "_block", "_class", "_end", "_starts", "_header")
+
+
+def _header_lines() -> Column:
+    """Trimmed lines behind the stack, up to the first blank one."""
     body = _tail(F.col("_block"), F.col("_end") - 1)
-    body_class = _tail(F.col("_class"), F.col("_end") - 1)
-    blank = F.array_position(body_class, _BLANK).cast("int")
-    header = F.transform(
-        F.slice(body, F.lit(1), F.when(blank == 0, F.size(body)).otherwise(blank - 1)),
-        lambda l: strip(l),
-    )
-    return (
-        framed.withColumn("_header", header)
-        .withColumn("_first", F.coalesce(F.try_element_at("_header", F.lit(1)), F.lit("")))
-        .withColumn("_rest", _tail(F.col("_header"), F.lit(1)))
-        .withColumn("exception_type", _exception_type())
-        .withColumn("message", _message())
-        .drop("_block", "_class", "_end", "_starts", "_header", "_first", "_rest")
-    )
+    blank = F.array_position(_tail(F.col("_class"), F.col("_end") - 1), _BLANK).cast("int")
+    until = F.slice(body, F.lit(1), F.when(blank == 0, F.size(body)).otherwise(blank - 1))
+    return F.transform(until, lambda l: strip(l))
 
 
 def _frames() -> Column:
@@ -93,8 +93,12 @@ def _frames() -> Column:
     return F.transform("_starts", frame)
 
 
+def _first_line() -> Column:
+    return F.coalesce(F.try_element_at("_header", F.lit(1)), F.lit(""))
+
+
 def _exception_type() -> Column:
-    first = F.col("_first")
+    first = _first_line()
     return (
         F.when(first.rlike(EXCEPTION), F.regexp_extract(first, EXCEPTION, 1))
         .when(first.rlike(BARE_EXCEPTION), F.regexp_extract(first, BARE_EXCEPTION, 1))
@@ -103,7 +107,7 @@ def _exception_type() -> Column:
 
 
 def _message() -> Column:
-    first, rest = F.col("_first"), F.col("_rest")
+    first, rest = _first_line(), _tail(F.col("_header"), F.lit(1))
     lead = (
         F.when(first.rlike(EXCEPTION), F.regexp_extract(first, EXCEPTION, 2))
         .when(first.rlike(BARE_EXCEPTION), F.lit(""))

@@ -120,11 +120,41 @@ def top_k(
     )
     pair = [*group, "_qi", "_ci"]
 
+    search = _block_search([f.name for f in out], group, k, metric, digits)
+    left = deal(q, "_qid", "q", "c").groupBy(*pair)
+    right = deal(c, "_cid", "c", "q").groupBy(*pair)
+    local = left.cogroup(right).applyInPandas(search, out)
+    best = W.partitionBy(*group, "_qid").orderBy(F.col("score").desc(), "_cid")
+    return (
+        local.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
+        .select(*keys, F.col("_qid").alias(query_id), F.col("_cid").alias(chunk_id), "score", "rank")
+    )
+
+
+def _block_search(
+    columns: list[str], group: list[str], k: int, metric: str, digits: int
+) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Top k of one block pair. Built here so that tasks need no import of this package."""
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        return np.asarray(column.tolist(), dtype=np.float64)
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(length == 0, 1.0, length)
+
+    def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            return unit(q) @ unit(c).T
+        squares = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :]
+        return 1.0 - (squares - 2.0 * (q @ c.T))
+
     def search(key: tuple, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:
-            return pd.DataFrame({f.name: [] for f in out})
+            return pd.DataFrame({c: [] for c in columns})
         cs = cs.sort_values("_cid", kind="stable")
-        score = _scores(_matrix(qs["_qv"]), _matrix(cs["_cv"]), metric).round(digits)
+        score = scores(matrix(qs["_qv"]), matrix(cs["_cv"])).round(digits) + 0.0
         n = min(k, score.shape[1])
         # ids ascend along the columns, so a stable sort breaks ties by id
         best = np.argsort(-score, axis=1, kind="stable")[:, :n]
@@ -138,30 +168,6 @@ def top_k(
         )
         for name, value in zip(group, key):
             found[name] = value
-        return found[[f.name for f in out]]
-
-    left = deal(q, "_qid", "q", "c").groupBy(*pair)
-    right = deal(c, "_cid", "c", "q").groupBy(*pair)
-    local = left.cogroup(right).applyInPandas(search, out)
-    best = W.partitionBy(*group, "_qid").orderBy(F.col("score").desc(), "_cid")
-    return (
-        local.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select(*keys, F.col("_qid").alias(query_id), F.col("_cid").alias(chunk_id), "score", "rank")
-    )
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.asarray(column.tolist(), dtype=np.float64)
-
-
-def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return _unit(q) @ _unit(c).T
-    squares = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :]
-    return 1.0 - (squares - 2.0 * (q @ c.T))
-
+        return found[columns]
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(length == 0, 1.0, length)
+    return search
