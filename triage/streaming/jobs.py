@@ -26,7 +26,8 @@ def failure_counts(
     ``late`` are dropped and a window is emitted once it can no longer change.
     Passing tests are filtered before any state is kept.
     """
-    failing = results.where(is_failing(F.col("outcome")))
+    timed = results.withColumn(ts, F.col(ts).cast("timestamp"))
+    failing = timed.where(is_failing(F.col("outcome")))
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
     return (
         failing.withWatermark(ts, late)
