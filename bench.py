@@ -29,6 +29,9 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        # a few MB per table still mean seconds of work: split by size, not by file count
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -177,7 +177,7 @@ def python_symbols(lines: str) -> Column:
       named_struct('ln', 0, 'quote', '', 'depth', 0, 'joined', false, 'last', 0, 'fresh', false,
         'open', cast(array() as array<{_OPEN}>), 'done', cast(array() as array<{_SYMBOL}>)),
       (s, x) -> {merged},
-      s -> array_sort(concat(s.done, transform(s.open, o -> named_struct(
+      s -> sort_array(concat(s.done, transform(s.open, o -> named_struct(
         'start', o.start, 'end', s.last, 'name', o.name, 'kind', o.kind,
         'parent', o.parent, 'doc', o.doc)))))""")
 
@@ -238,7 +238,7 @@ def brace_symbols(lines: str, class_pattern: str, function_patterns: tuple[str,
       named_struct('ln', 0, 'quote', '', 'depth', 0, 'round', 0,
         'open', cast(array() as array<{_OPEN}>), 'done', cast(array() as array<{_SYMBOL}>)),
       (s, x) -> {merged},
-      s -> array_sort(concat(s.done, transform(s.open, o -> named_struct(
+      s -> sort_array(concat(s.done, transform(s.open, o -> named_struct(
         'start', o.start, 'end', s.ln, 'name', o.name, 'kind', o.kind,
         'parent', o.parent, 'doc', 0)))))""")
 

@@ -30,23 +30,25 @@ def hashed_terms(text: Column, dim: int = 64) -> Column:
     """Term counts in ``dim`` hash buckets, as ``array<float>``.
 
     The buckets are sorted together with one mark per bucket, so a count is the
-    distance of two marks and the text is not read once per bucket.
+    distance of two group starts and the text is read once, not once per bucket.
     """
     def bucket(t: Column) -> Column:
-        return F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim
+        return F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim
 
     terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
     marks = F.sequence(F.lit(0), F.lit(dim)).cast("array<bigint>")
-    ordered = F.array_sort(F.concat(F.transform(terms, bucket), marks))
+    ordered = F.sort_array(F.concat(F.transform(terms, bucket), marks))
 
-    def counts(o: Column) -> Column:
-        def count(i: Column) -> Column:
-            n = F.array_position(o, (i + 1).cast("long")) - F.array_position(o, i.cast("long")) - 1
-            return n.cast("float")
+    def starts(o: Column) -> Column:
+        at = F.transform(o, lambda x, i: F.when((i == 0) | (x != F.get(o, i - 1)), i))
+        return F.array_compact(at)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), count)
+    def counts(s: Column) -> Column:
+        return F.transform(
+            F.slice(s, F.lit(1), F.lit(dim)), lambda x, i: (F.get(s, i + 1) - x - 1).cast("float")
+        )
 
-    return bind(ordered, counts)
+    return bind(bind(ordered, starts), counts)
 
 
 # Names of the built-in embedders.

@@ -18,7 +18,7 @@ def build_chunks(files: DataFrame, symbols: DataFrame, max_body_chars: int = MAX
     list, so the join moves every file text at most once and copies it never.
     """
     item = F.struct("pos", "name", "qualified_name", "kind", "start_line", "end_line", "docstring")
-    per_file = symbols.groupBy("repo", "path").agg(F.array_sort(F.collect_list(item)).alias("_symbols"))
+    per_file = symbols.groupBy("repo", "path").agg(F.sort_array(F.collect_list(item)).alias("_symbols"))
     joined = files.select("repo", "path", "content").join(per_file, ["repo", "path"])
 
     def chunk(lines, path, s):

@@ -19,8 +19,9 @@ UNIT_HEADER = "# File: "
 SYMBOL_HEADER = " — Symbol: "
 NO_FAILURE = "No structured failure info was provided."
 
-# Units of one failure that one packing round looks at.
-PACK_ROUND = 1000
+# Units of one failure that one packing round looks at. Small enough for Spark to
+# apply the limit before the shuffle (its threshold for that is 1000).
+PACK_ROUND = 500
 
 
 def units(
@@ -163,7 +164,7 @@ def pack(
             .where(F.col("_rn") <= per_round)
             .groupBy(*keys)
             .agg(
-                F.array_sort(F.collect_list(F.struct("_ref", "_t"))).alias("_batch"),
+                F.sort_array(F.collect_list(F.struct("_ref", "_t"))).alias("_batch"),
                 F.min("_room").alias("_room"),
             )
             .select(
@@ -206,7 +207,7 @@ def assemble(packed: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("failure_id").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("rank", "unit_rank", "_text"))), lambda u: u["_text"]
+                F.sort_array(F.collect_list(F.struct("rank", "unit_rank", "_text"))), lambda u: u["_text"]
             ),
             "\n\n",
         ).alias("assembled_text")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions import paths, scan
+from triage.functions.scale import stage
 from triage.functions.text import let, split_lines, strip
 
 # Where a statement starts, by language.
@@ -192,7 +193,8 @@ def resolve(
     table, so a module imported everywhere is looked up once. With ``all_names``
     a ``from . import a, b`` yields one row per resolved name.
     """
-    statements = _with_spec(parsed.where("module is not null"))
+    # written once: the statements are read for the lookup and for its result
+    statements = stage(_with_spec(parsed.where("module is not null")), "statements")
     specs = statements.select(*_SPEC).distinct()
     known = files.select("repo", F.col("path").alias("cand_path")).distinct()
     hits = (

@@ -172,7 +172,7 @@ def score(*signals: DataFrame, digits: int = 9) -> DataFrame:
         F.filter(
             F.array(*[F.lit(s) for s in order]), lambda s: F.array_contains(present, s)
         ).alias("sources"),
-        F.array_sort(F.collect_set("symbol")).alias("relevant_symbols"),
+        F.sort_array(F.collect_set("symbol")).alias("relevant_symbols"),
         F.min("hop").alias("hop_distance"),
     )
 

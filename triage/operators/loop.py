@@ -189,7 +189,7 @@ def next_description(
         ).otherwise(""),
     )
     blocks = rows.groupBy("run_id", "iteration").agg(
-        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("_lines")
+        F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("_lines")
     )
     tested = results.select("run_id", "iteration").distinct()
     return (

@@ -224,7 +224,7 @@ def apply(changes: DataFrame, files: DataFrame) -> DataFrame:
     per_file = (
         changes.where("path is not null")
         .groupBy("response_id", "repo", "path")
-        .agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+        .agg(F.sort_array(F.collect_list(step)).alias("_steps"))
     )
     prepared = F.transform(
         "_steps",

@@ -71,4 +71,4 @@ def all_symbols(symbol_lists: DataFrame, column: str = "symbols") -> DataFrame:
 def by_file(symbols: DataFrame) -> DataFrame:
     """One row per file with its ordered symbol list (bounded by the file size limit)."""
     item = F.struct("pos", "start_line", "end_line", "qualified_name", "name", "kind")
-    return symbols.groupBy("repo", "path").agg(F.array_sort(F.collect_list(item)).alias("symbols"))
+    return symbols.groupBy("repo", "path").agg(F.sort_array(F.collect_list(item)).alias("symbols"))

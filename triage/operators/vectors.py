@@ -93,38 +93,42 @@ def top_k(
     c = chunks.select(*keys, F.col(chunk_id).alias("_cid"), F.col(vector).alias("_cv")).where(
         F.col(vector).isNotNull()
     )
-    group = keys or ["_one"]
-    if not keys:
-        q, c = q.withColumn("_one", F.lit(0)), c.withColumn("_one", F.lit(0))
-    qn = q.groupBy(*group).agg(F.ceil(F.count("*") / query_block).cast("int").alias("_qb"))
-    cn = c.groupBy(*group).agg(F.ceil(F.count("*") / chunk_block).cast("int").alias("_cb"))
-    # one row per scope; counted before it is broadcast
-    blocks = broadcast_if_small(stage(qn.join(cn, group), "blocks"))
+    if keys:
+        qn = q.groupBy(*keys).agg(F.ceil(F.count("*") / query_block).cast("int").alias("_qb"))
+        cn = c.groupBy(*keys).agg(F.ceil(F.count("*") / chunk_block).cast("int").alias("_cb"))
+        # one row per scope; counted before it is broadcast
+        blocks = broadcast_if_small(stage(qn.join(cn, keys), "blocks"))
+        q, c = q.join(blocks, keys), c.join(blocks, keys)
+    else:
+        counts = {"_qb": -(-q.count() // query_block), "_cb": -(-c.count() // chunk_block)}
+        for name, n in counts.items():
+            q, c = q.withColumn(name, F.lit(n)), c.withColumn(name, F.lit(n))
 
     def deal(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
+        """A block of its own side for every row, one copy per block of the other side."""
+        copies = F.when(F.col(f"_{other}b") > 0, F.sequence(F.lit(0), F.col(f"_{other}b") - 1))
         return (
-            df.join(blocks, group)
-            .withColumn(f"_{own}i", F.pmod(F.xxhash64(row_id), F.col(f"_{own}b")).cast("int"))
-            .withColumn(f"_{other}i", F.explode(F.sequence(F.lit(0), F.col(f"_{other}b") - 1)))
+            df.withColumn(f"_{own}i", F.pmod(F.xxhash64(row_id), F.col(f"_{own}b")).cast("int"))
+            .withColumn(f"_{other}i", F.explode(copies))
             .drop("_qb", "_cb")
         )
 
     id_type, chunk_type = q.schema["_qid"].dataType, c.schema["_cid"].dataType
     out = T.StructType(
-        [q.schema[g] for g in group]
+        [q.schema[k_] for k_ in keys]
         + [
             T.StructField("_qid", id_type),
             T.StructField("_cid", chunk_type),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    pair = [*group, "_qi", "_ci"]
+    pair = [*keys, "_qi", "_ci"]
 
-    search = _block_search([f.name for f in out], group, k, metric, digits)
+    search = _block_search([f.name for f in out], keys, k, metric, digits)
     left = deal(q, "_qid", "q", "c").groupBy(*pair)
     right = deal(c, "_cid", "c", "q").groupBy(*pair)
     local = left.cogroup(right).applyInPandas(search, out)
-    best = W.partitionBy(*group, "_qid").orderBy(F.col("score").desc(), "_cid")
+    best = W.partitionBy(*keys, "_qid").orderBy(F.col("score").desc(), "_cid")
     return (
         local.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)

@@ -50,19 +50,20 @@ def search(
 
     Failures with the same text in the same repository are one query.
     """
-    asked = localize.with_query(failures, description)
+    asked = stage(localize.with_query(failures, description).select("failure_id", "repo", "query"), "asked")
     texts = asked.select("repo", "query").distinct()
     queries = vectors.embed(texts, "query", provider)
     hits = vectors.top_k(queries, chunks, k, metric, scope=("repo",), query_id="query")
     named = hits.join(chunks.select("repo", "chunk_id", "path", "qualified_name"), ["repo", "chunk_id"])
-    return asked.select("failure_id", "repo", "query").join(named, ["repo", "query"])
+    return asked.join(named, ["repo", "query"])
 
 
 def localise(
     failures: DataFrame, index_: Index, hits: DataFrame | None = None, depth: int = localize.DEPTH
 ) -> DataFrame:
     """Scored files of every failure from its anchor, the graph and search hits."""
-    anchors = stage(localize.anchor_symbol(localize.anchor_file(failures), index_.symbols), "anchors")
+    found = stage(localize.anchor_file(failures), "anchors")
+    anchors = stage(localize.anchor_symbol(found, index_.symbols), "anchors")
     signals = [
         localize.anchor_signals(anchors),
         localize.structural_signals(anchors, index_.edges, depth),

@@ -280,12 +280,13 @@ def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def anchor_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    anchors = localize.anchor_file(_failures(spark, sf))
+    anchors = stage(localize.anchor_file(_failures(spark, sf)), "anchors")
     return localize.anchor_symbol(anchors, symbols.extract(_sources(spark, sf)))
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[debugging.Index, DataFrame]:
-    i = _index(spark, sf)
+    """Index tables and ranked files; the file texts are written with the index."""
+    i = debugging.index_sources(stage(_sources(spark, sf), "files"))
     return i, localize.rank(debugging.localise(_failures(spark, sf), i))
 
 
@@ -297,20 +298,17 @@ def ranked_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _hits(spark: SparkSession, sf: str, failures: DataFrame) -> DataFrame:
-    found = stage(vectors.embed(_chunks(spark, sf)), "chunks")
-    return debugging.search(failures, found)
-
-
 @query
 def semantic_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return _hits(spark, sf, _failures(spark, sf)).select("failure_id", "chunk_id", "score", "rank")
+    found = stage(vectors.embed(_chunks(spark, sf)), "chunks")
+    return debugging.search(_failures(spark, sf), found).select("failure_id", "chunk_id", "score", "rank")
 
 
 @query
 def top_files(spark: SparkSession, sf: str) -> DataFrame:
-    failures = _failures(spark, sf)
-    scored = debugging.localise(failures, _index(spark, sf), _hits(spark, sf, failures))
+    i, failures = _index(spark, sf), stage(_failures(spark, sf), "failures")
+    found = stage(vectors.embed(chunks.build_chunks(i.files, i.symbols)), "chunks")
+    scored = debugging.localise(failures, i, debugging.search(failures, found))
     return localize.top_files(scored).select(
         "failure_id", "path", "score", joined("sources").alias("sources"),
         joined("relevant_symbols").alias("relevant_symbols"), "hop_distance", "rank",
@@ -525,7 +523,7 @@ def _dashboard(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query
 def usage_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     entries = F.transform(
-        F.array_sort(F.map_entries("outcome_counts")),
+        F.sort_array(F.map_entries("outcome_counts")),
         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
     )
     return _dashboard(spark, sf)[0].withColumn("outcome_counts", joined(entries))

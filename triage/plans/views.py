@@ -14,6 +14,10 @@ TABLES = (
 )
 
 
+# Tables whose rows turn into long texts.
+WIDE = ("part", "supplier", "customer", "events", "documents", "conversations", "pages")
+
+
 def _text(*lines: str) -> str:
     """SQL for a text: each argument is a line (SQL expression), with a line feed behind it."""
     return " || ".join(f"{line} || chr(10)" for line in lines)
@@ -279,7 +283,16 @@ _NEEDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that arrives in fewer splits than there are cores is spread out.
+
+    The texts derived from a row cost far more than moving the row. Tables in
+    many splits (the normal case on a cluster) are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in WIDE and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def _with(names: tuple[str, ...]) -> list[str]:
