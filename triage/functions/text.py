@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Line breaks recognised in source text and logs.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+ODD_BREAK = r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 # Fixed value: one approximate token is a word or a single punctuation mark.
 TOKEN = r"\w+|[^\w\s]"
 # Fixed value: a line holding nothing but a comment.
@@ -34,11 +35,18 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def split_lines(text: Column | str) -> Column:
-    """Lines without their breaks; a final break adds no empty line."""
+    """Lines without their breaks; a final break adds no empty line.
+
+    Nearly every text has line feeds only, and splitting on one character is
+    several times faster than on a pattern.
+    """
     text = F.col(text) if isinstance(text, str) else text
+    feeds = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
     body = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(
-        F.split(body, LINE_BREAK, -1)
+    return (
+        F.when(text == "", F.expr("cast(array() as array<string>)"))
+        .when(text.rlike(ODD_BREAK), F.split(body, LINE_BREAK, -1))
+        .otherwise(F.split(feeds, "\n", -1))
     )
 
 
@@ -56,7 +64,9 @@ def line_range(lines: Column, start: Column, end: Column) -> Column:
 def compress(text: Column | str) -> Column:
     """Drop comment-only lines and trailing space, squeeze runs of blank lines."""
     kept = F.filter(split_lines(text), lambda l: ~l.rlike(FULL_LINE_COMMENT))
-    trimmed = F.transform(kept, lambda l: F.regexp_replace(l, r"\s+$", ""))
+    trimmed = F.transform(
+        kept, lambda l: F.when(l.rlike(r"\s\z"), F.regexp_replace(l, r"\s+\z", "")).otherwise(l)
+    )
     joined = F.regexp_replace(F.array_join(trimmed, "\n"), r"\n{3,}", "\n\n")
     return F.regexp_replace(joined, r"\A\n+|\n+\z", "")
 

@@ -139,14 +139,13 @@ def import_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
-    i = _index(spark, sf)
-    return graph.stats(i.files, i.edges, graph.cycles(i.edges, 3))
+    edges = stage(import_edges(spark, sf), "edges")
+    return graph.stats(_sources(spark, sf), edges, graph.cycles(edges, 3))
 
 
 @query
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    i = _index(spark, sf)
-    return graph.nodes(i.files, i.edges)
+    return graph.nodes(_sources(spark, sf), import_edges(spark, sf))
 
 
 def _all_starts(edges: DataFrame) -> DataFrame:
