@@ -192,8 +192,9 @@ def pack(
 def assemble(packed: DataFrame, texts: DataFrame) -> DataFrame:
     """``failure_id, assembled_text`` of packed units.
 
-    Only packed units meet their texts; the budget bounds what one failure collects.
-    Headers are not charged to the budget.
+    Only packed units meet their texts; the budget bounds the text one failure
+    collects (units without tokens add their header line only). Headers are not
+    charged to the budget.
     """
     t = texts.select("repo", "path", F.col("symbol_name").alias("_name"), "compressed_text")
     same = [packed["repo"] == t["repo"], packed["path"] == t["path"], packed["symbol_name"].eqNullSafe(t["_name"])]

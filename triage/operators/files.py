@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triage.functions.paths import suffix
-from triage.functions.scale import broadcast_if_small
+from triage.functions.scale import MAX_BROADCAST_ROWS
 from triage.functions.text import split_lines
 from triage.sources.repo_files import MAX_FILE_BYTES
 
@@ -113,14 +113,16 @@ def ignore_rules(files: DataFrame) -> DataFrame:
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop ignored files; the last matching rule of the repository decides.
 
-    Every file meets its repository's one rule row, never one row per rule.
+    Every file meets its repository's one rule row, never one row per rule. The
+    rules are counted, and broadcast only while they are few in all.
     """
     kept = F.aggregate(
         F.coalesce("rules", F.array().cast(rules.schema["rules"].dataType)),
         F.lit(True),
         lambda acc, r: F.when(F.rlike(F.col("path"), r["regex"]), r["negate"]).otherwise(acc),
     )
-    small = broadcast_if_small(rules, max_rows=2_000)
+    held = rules.agg(F.sum(F.size("rules"))).first()[0] or 0
+    small = F.broadcast(rules) if held <= MAX_BROADCAST_ROWS else rules
     return files.join(small, ["repo", "commit_sha"], "left").where(kept).drop("rules")
 
 
