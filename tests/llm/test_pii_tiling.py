@@ -1,0 +1,170 @@
+"""Personal data and string tiling against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from triage.llm import common, pii, queries, tiling
+
+SF = "/root/testdata/sf0.01"
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def good(kind, match):
+    number = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "card":
+        return 14 <= len(number) <= 19 and luhn(number)
+    if kind == "phone":
+        return 10 <= len(number) <= 15
+    return True
+
+
+def base_spans(text):
+    found = [
+        (m.start(), n, f"{kind}:{m.start()}:{m.end()}")
+        for n, (kind, pattern) in enumerate(BASE.items()) for m in re.finditer(pattern, text or "") if good(kind, m[0])
+    ]
+    return [s for _, _, s in sorted(found)]
+
+
+TEXTS = [
+    None, "", "a@b.c d@e", "x.y%z@mail-1.example.com, a@b.c_d@e.f a@@b.c @b.c a@.b a@b..c", "é日😀a@b.co 1.2.3.4 é",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.1.1.999 .1.2.3.4. 1..2.3.4 99999999999999999999.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 1111 1111 41111111111111111111 4111111111111112 4111111111111111",
+    "+1 (743) 555-3824 +1-2 +12345678901234567 +4(((((9 +49.30.1234567. ++1 555 555 5555", "+1 234 567 8901+1 234 567 8901",
+    "my iban is GB82 WEST 1234 5698 7654 32. DE89370400440532013000 DE89370400440532013001",
+    "ssn 123-45-6789, part 123-45-6789" + " " * 60 + "987-65-4321", "a" * 100_000, "1" * 100_000, "a@" * 20_000,
+    "a@b.c " * 3000, "a@" + "b." * 20_000 + "c", "9 " * 30_000, "+1" + "(" * 50_000, "1." * 50_000,
+]
+
+
+def test_edges(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_email string").repartition(3)
+    got = {r.doc_id: r for r in pii.detect(docs).select("doc_id", "n_email", pii.joined(pii.base_only(F.col("spans"))).alias("b"), "spans").collect()}
+    for i, t in enumerate(TEXTS):
+        assert got[i].b == ",".join(base_spans(t)), (t or "")[:80]
+        assert got[i].n_email == "x"
+    iban = [TEXTS[9][s.start : s.end] for s in got[9].spans if s.kind == "iban"]
+    assert iban == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    ssn = [s for s in got[10].spans if s.kind == "ssn"]
+    assert [s.start for s in ssn] == [4, 22] and all(s.score >= 0.5 for s in ssn)
+    assert pii.detect(docs.where("false")).count() == 0
+    clean = pii.redact(pii.detect(docs)).where("doc_id in (2, 4)").orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["[email] d@e", "é日😀[email] [ip] é"]
+
+
+def test_random_texts(spark):
+    random.seed(8)
+    parts = ["a", "B.", "@", "b.c", ".", "1", "23", "255", "-", " ", "+4", "(", ")", "4111111111111111", "_", "é", "9 "]
+    rows = [(i, "".join(random.choices(parts, k=random.randint(0, 40)))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.detect(docs).select("doc_id", pii.joined(pii.base_only(F.col("spans"))).alias("b")).collect()
+    assert {r.doc_id: r.b for r in got} == {i: ",".join(base_spans(t)) for i, t in rows}
+
+
+def test_query_equals_brute_force(spark):
+    texts = {r.doc_id: r.text for r in common.table(spark, SF, "documents").collect()}
+    for r in queries.QUERIES["op7_pii"](spark, SF).collect():
+        base = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        kinds = Counter(s.split(":")[0] for s in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in BASE)
+        assert set(base) <= set(r.spans.split(",")) | {""}
+
+
+def test_no_python_on_the_pii_path(spark, capsys):
+    queries.QUERIES["op7_pii"](spark, SF).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- tiling ------------------------------------------------------------------------
+
+
+def brute_tiles(item, doc, run):
+    """Greedy tiles by trying all pairs of places."""
+    a, b, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = []
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and a[i + n] and b[d + n]:
+                    n += 1
+                if n >= run:
+                    best.append((-n, i, d))
+        if not best:
+            return out
+        longest = min(best)[0]
+        for n, i, d in sorted(best):
+            if n == longest and all(a[i : i - n]) and all(b[d : d - n]):
+                a[i : i - n] = [False] * -n
+                b[d : d - n] = [False] * -n
+                out.append((i, d, -n))
+
+
+def test_tiles():
+    random.seed(1)
+    for _ in range(150):
+        item = [random.randint(1, 4) for _ in range(random.randint(0, 14))]
+        doc = [random.randint(1, 4) for _ in range(random.randint(0, 25))]
+        run = random.randint(1, 4)
+        assert tiling.tile(np.array(item, dtype=np.int64), np.array(doc, dtype=np.int64), run) == brute_tiles(item, doc, run)
+
+
+@pytest.mark.parametrize("block_chars", [1 << 20, 10])
+def test_contamination(spark, block_chars):
+    random.seed(2)
+    vocabulary = [f"w{i}" for i in range(500)]
+    passage = random.choices(vocabulary, k=60)
+    halves = passage[30:] + ["between"] + passage[:30]
+    few = passage[:20]
+    noise = random.choices(vocabulary, k=300)
+    items = [(1, " ".join(passage)), (2, "short item"), (3, ""), (4, None), (None, "Null id, item of; six words"), (5, "unseen " * 9)]
+    texts = [
+        " ".join(noise + passage + noise), (", ".join(halves)).upper(), " ".join(noise[:50] + few + noise[50:]), " ".join(noise),
+        None, "", "a SHORT   item!", "short an item", "null-id item of six words here", "w1 " * 50_000,
+    ]
+    docs = spark.createDataFrame([(i if i else None, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = tiling.contamination(docs, benchmark, name="found", block_chars=block_chars).collect()
+    hits = {r.doc_id: sorted((str(h.item_id), round(h.coverage, 2), h.n_tiles) for h in r.found) for r in got if r.found}
+    assert hits == {
+        None: [("1", 1.0, 1)], 1: [("1", 1.0, 2)], 6: [("2", 1.0, 1)], 8: [("None", 1.0, 1)],
+    }
+    assert len(got) == len(texts) and {r.hits for r in got} == {"h"}
+    assert tiling.contamination(docs, benchmark.where("false"), name="found").where("size(found) > 0").count() == 0
+    assert tiling.contamination(docs.where("false"), benchmark, name="found").count() == 0
+
+
+def test_query_finds_the_planted_items(spark):
+    texts = {r.doc_id: tiling.words(r.text) for r in common.table(spark, SF, "documents").collect()}
+    items = {r.item_id: tiling.words(r.text) for r in common.table(spark, SF, "benchmark").collect()}
+    whole = {
+        (d, i) for d, t in texts.items() for i, w in items.items()
+        if any(t[p : p + len(w)] == w for p in range(len(t) - len(w) + 1) if t[p] == w[0])
+    }
+    got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op9_string_tiling"](spark, SF).collect()}
+    assert whole and whole <= got

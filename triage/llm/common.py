@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triage.functions.scale import stage_path
+
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
@@ -73,9 +78,29 @@ def open_out(uri: str):
     """A new binary file in the shared folder; works for every store that pyarrow knows."""
     store, path = _located(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # else the name would decide
 
 
 def open_in(uri: str):
     store, path = _located(uri)
     return store.open_input_file(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: functions that run in tasks import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, str(source.relative_to(package.parent)))
+    path = stage_path(spark, "package") + ".zip"
+    with open_out(path) as f:
+        f.write(held.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
