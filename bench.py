@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -32,6 +34,7 @@ def session(cpus: str) -> SparkSession:
         # a few MB per table still mean seconds of work: split by size, not by file count
         .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="triage-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -57,7 +60,9 @@ def main() -> None:
         "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    stages = spark.conf.get("spark.checkpoint.dir")
     spark.stop()
+    shutil.rmtree(stages)
 
 
 if __name__ == "__main__":

@@ -41,7 +41,7 @@ def test_hash_and_line_count(make_files):
 def test_noise_and_size(spark):
     rows = [("build/x.py", 1), ("a/node_modules/y.js", 1), ("ok.py", 2_000_000), ("big.py", 2_000_001)]
     df = spark.createDataFrame(rows, "path string, length long")
-    assert [r.path for r in fo.keep_source_files(df).collect()] == ["ok.py"]
+    assert [r.path for r in fo.keep_source_files(df, max_bytes=2_000_000).collect()] == ["ok.py"]
 
 
 def test_ignore_rules_last_match_wins(make_files):
@@ -121,13 +121,18 @@ def test_reports(spark, tmp_path):
             {"nodeid": "t/test_c.py::x"},
         ]}, indent=1))
     (tmp_path / "run2.json").write_text("{}")
+    (tmp_path / "cut.json").write_text('{"summary": {"total": 9, "failed": 3}, "tests": [{"nodeid": "a", "outc')
+    (tmp_path / "run3.json").write_text(json.dumps({"tests": [
+        {"nodeid": "t/p.py::x", "outcome": "failed", "call": {"longrepr": "[gw0] linux -- Python\n" + TB}}]}))
     reports = report_files.read_reports(spark, str(tmp_path))
     totals = {r.run_id: r for r in rp.totals(reports).collect()}
     assert (totals["run1"].total_tests, totals["run1"].skipped, totals["run1"].has_failures) == (4, 0, True)
     assert (totals["run1"].listed_failed, totals["run1"].listed_errors) == (1, 1)
-    assert not totals["run2"].has_failures
+    assert not totals["run2"].has_failures and set(totals) == {"run1", "run2", "run3"}
+    assert [r.run_id for r in report_files.broken_reports(spark, str(tmp_path)).collect()] == ["cut"]
     rows = {r.node_id: r for r in rp.with_exceptions(rp.failures(reports)).collect()}
-    assert set(rows) == {"t/test_a.py::test_bad", "t/test_b.py"}
+    assert set(rows) == {"t/test_a.py::test_bad", "t/test_b.py", "t/p.py::x"}
+    assert rows["t/p.py::x"].exception_type == "AssertionError"
     bad = rows["t/test_a.py::test_bad"]
     assert (bad.file_path, bad.exception_type, bad.message, bad.duration_seconds) == (
         "t/test_a.py", "AssertionError", "no", 0.5)

@@ -161,17 +161,24 @@ def test_brace_languages(make_files):
 def test_chunks(make_files):
     f = make_files({"app.py": 'def greet():\n    """Say hello."""\n    return "hi"\n', "x.md": "no"})
     rows = ch.build_chunks(f, sy.extract(f)).collect()
-    assert [r.chunk_id for r in rows] == ["app.py::greet"]
+    assert [r.chunk_id for r in rows] == ["app.py::greet@1"]
     assert rows[0].embedding_text == (
         'File: app.py\nSymbol: greet (function)\nDocstring: Say hello.\n'
         'Code:\ndef greet():\n    """Say hello."""\n    return "hi"')
 
 
-def test_chunk_body_is_cut(make_files):
+def test_chunk_body_is_whole_unless_a_bound_is_given(make_files):
     body = "def f():\n" + "".join(f"    x = {i}\n" for i in range(400))
     f = make_files({"a.py": body})
     text = ch.build_chunks(f, sy.extract(f)).first().embedding_text
-    assert text.split("Code:\n", 1)[1] == body.rstrip("\n")[:1500]
+    assert text.split("Code:\n", 1)[1] == body.rstrip("\n")
+    short = ch.build_chunks(f, sy.extract(f), max_body_chars=1500).first().embedding_text
+    assert short.split("Code:\n", 1)[1] == body[:1500]
+
+
+def test_chunk_ids_of_overloads_differ(make_files):
+    f = make_files({"a.py": "def f():\n    return 1\n\ndef f():\n    return 2\n"})
+    assert sorted(r.chunk_id for r in ch.build_chunks(f, sy.extract(f)).collect()) == ["a.py::f@1", "a.py::f@4"]
 
 
 def test_all_symbols_and_embedder(spark):

@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,8 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Largest group one window task may sort.
-MAX_GROUP_ROWS = 1_000_000
 # Largest table (narrow rows) that is broadcast.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -28,17 +28,19 @@ _local_dirs: dict[str, str] = {}
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may run without the setting; it then gets a temporary
-    folder, because driver and tasks share one machine there.
+    A session on one machine may run without the setting. It then gets a folder of its
+    own, since driver and tasks share the disk there, which goes when Python ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         _local_dirs[app] = tempfile.mkdtemp(prefix="triage-stage-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
@@ -51,7 +53,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table of ``stage`` that nothing reads any more, such as the last round of a loop."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -63,11 +74,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def biggest_group(df: DataFrame, keys: list[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
-
-
 def _segments(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Range-partition on (keys, order); ``_seg`` numbers the partitions in order."""
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -90,13 +96,9 @@ def number_rows(
     keys: list[str],
     order: list[Column],
     name: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without hot tasks."""
-    df = stage(df, "numbering")
-    if biggest_group(df, keys) <= max_group_rows:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    seg = _segments(df, keys, order)
+    seg = _segments(stage(df, "numbering"), keys, order)
     counts = seg.groupBy("_seg", *keys).agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
     offsets = _spanning(counts, keys).select(
@@ -116,19 +118,14 @@ def lag_rows(
     keys: list[str],
     order: list[Column],
     columns: dict[str, str],
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``lag(col)`` for every ``{new: col}``; hot groups are split by range."""
-    df = stage(df, "lagging")
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
 
     def unpack(frame: DataFrame, extra: list[str]) -> DataFrame:
         return frame.select("*", *[F.col("_lag")[n].alias(n) for n in columns]).drop("_lag", *extra)
 
-    if biggest_group(df, keys) <= max_group_rows:
-        over = W.partitionBy(*keys).orderBy(*order)
-        return unpack(df.withColumn("_lag", F.lag(packed).over(over)), [])
-    seg = _segments(df, keys, order)
+    seg = _segments(stage(df, "lagging"), keys, order)
     inside = W.partitionBy("_seg", *keys).orderBy(*order)
     rows = seg.withColumn("_lag", F.lag(packed).over(inside)).withColumn(
         "_rn", F.row_number().over(inside)

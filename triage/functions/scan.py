@@ -32,28 +32,30 @@ BRACE_NOISE = (
     r"|//.*$"
 )
 
+# Letters, digits and underscore of any script.
+WORD = r"\p{L}\p{N}_"
 # Declarations by language; group 1 of each is the declared name.
-PY_CLASS = r"^\s*class\s+(\w+)"
-PY_FUNCTION = r"^\s*(?:async\s+)?def\s+(\w+)"
-JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"
-JS_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"
+PY_CLASS = r"^\s*class\s+([\p{L}\p{N}_]+)"
+PY_FUNCTION = r"^\s*(?:async\s+)?def\s+([\p{L}\p{N}_]+)"
+JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?class\s+([\p{L}\p{N}_]+)"
+JS_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([\p{L}\p{N}_]+)"
 JS_METHOD = (
     r"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*"
     r"(?!(?:if|for|while|switch|catch|function|return|with|do|else)\b)"
-    r"(#?\w+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={]+)?\{"
+    r"(#?[\p{L}\p{N}_]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={]+)?\{"
 )
 JAVA_CLASS = (
-    r"^\s*(?:@\w+\s+)*(?:(?:public|private|protected|abstract|static|final|sealed|strictfp)\s+)*"
-    r"class\s+(\w+)"
+    r"^\s*(?:@[\p{L}\p{N}_]+\s+)*(?:(?:public|private|protected|abstract|static|final|sealed|strictfp)\s+)*"
+    r"class\s+([\p{L}\p{N}_]+)"
 )
 JAVA_METHOD = (
-    r"^\s*(?:@\w+\s+)*(?:(?:public|private|protected|abstract|static|final|synchronized|native|"
+    r"^\s*(?:@[\p{L}\p{N}_]+\s+)*(?:(?:public|private|protected|abstract|static|final|synchronized|native|"
     r"default|strictfp)\s+)*(?:<[^>]*>\s*)?"
     r"(?!(?:new|return|else|throw|package|import|case)\b)"
-    r"[\w.]+(?:<[\w<>\[\],.? ]*>)?(?:\[\])*\s+(\w+)\s*\([^;{=]*\)?\s*(?:throws\s+[\w., ]+)?\s*(?:\{.*|;)?\s*$"
+    r"[\p{L}\p{N}_.]+(?:<[\p{L}\p{N}_<>\[\],.? ]*>)?(?:\[\])*\s+([\p{L}\p{N}_]+)\s*\([^;{=]*\)?\s*(?:throws\s+[\p{L}\p{N}_., ]+)?\s*(?:\{.*|;)?\s*$"
 )
-GO_TYPE = r"^type\s+(\w+)"
-GO_FUNCTION = r"^func\s+(?:\([^)]*\)\s*)?(\w+)"
+GO_TYPE = r"^type\s+([\p{L}\p{N}_]+)"
+GO_FUNCTION = r"^func\s+(?:\([^)]*\)\s*)?([\p{L}\p{N}_]+)"
 
 _NEVER = r"\b\B"
 
@@ -151,7 +153,7 @@ def python_symbols(lines: str) -> Column:
             above -> named_struct(
               'level', l.level,
               'start', s.ln + 1,
-              'name', regexp_extract(x, r'^\\s*(?:async\\s+)?(?:def|class)\\s+(\\w+)', 1),
+              'name', regexp_extract(x, r'^\\s*(?:async\\s+)?(?:def|class)\\s+([{WORD}]+)', 1),
               'kind', case when l.is_class then 'class'
                            when above.cls is null then 'function' else 'method' end,
               'parent', if(l.is_class, null, above.cls),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 ODD_BREAK = r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 # Fixed value: one approximate token is a word or a single punctuation mark.
-TOKEN = r"\w+|[^\w\s]"
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # Fixed value: a line holding nothing but a comment.
 FULL_LINE_COMMENT = r"^\s*#"
 

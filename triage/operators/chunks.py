@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from triage.functions.text import let, line_range, split_lines
 
-# Fixed value: characters of a symbol's body that enter its chunk text.
-MAX_BODY_CHARS = 1500
 
-
-def build_chunks(files: DataFrame, symbols: DataFrame, max_body_chars: int = MAX_BODY_CHARS) -> DataFrame:
+def build_chunks(files: DataFrame, symbols: DataFrame, max_body_chars: int | None = None) -> DataFrame:
     """``repo, path, chunk_id, symbol_name, qualified_name, kind, start_line, end_line, embedding_text``.
 
-    Files without symbols give no chunk. The symbols of a file travel as one
+    The id is path, name and first line, so overloads differ. A body enters whole unless
+    ``max_body_chars`` is given. Files without symbols give no chunk. The symbols of a file travel as one
     list, so the join moves every file text at most once and copies it never.
     """
     item = F.struct("pos", "name", "qualified_name", "kind", "start_line", "end_line", "docstring")
@@ -22,7 +20,9 @@ def build_chunks(files: DataFrame, symbols: DataFrame, max_body_chars: int = MAX
     joined = files.select("repo", "path", "content").join(per_file, ["repo", "path"])
 
     def chunk(lines, path, s):
-        body = F.left(line_range(lines, s["start_line"], s["end_line"]), F.lit(max_body_chars))
+        body = line_range(lines, s["start_line"], s["end_line"])
+        if max_body_chars is not None:
+            body = F.left(body, F.lit(max_body_chars))
         has_doc = F.coalesce(s["docstring"], F.lit("")) != ""
         text = F.concat_ws(
             "\n",
@@ -32,7 +32,7 @@ def build_chunks(files: DataFrame, symbols: DataFrame, max_body_chars: int = MAX
             F.concat(F.lit("Code:\n"), body),
         )
         return F.struct(
-            F.concat(path, F.lit("::"), s["qualified_name"]).alias("chunk_id"),
+            F.concat(path, F.lit("::"), s["qualified_name"], F.lit("@"), s["start_line"]).alias("chunk_id"),
             s["name"].alias("symbol_name"),
             s["qualified_name"].alias("qualified_name"),
             s["kind"].alias("kind"),

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from triage.functions.paths import suffix
 from triage.functions.scale import MAX_BROADCAST_ROWS
 from triage.functions.text import split_lines
-from triage.sources.repo_files import MAX_FILE_BYTES
 
 # Folders that never hold source, languages by suffix, code suffixes.
 NOISE_DIRS = (
@@ -59,9 +58,10 @@ def in_noise_dir(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in NOISE_DIRS]))
 
 
-def keep_source_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Drop files in noise folders (judged by the relative path) and oversized ones."""
-    return files.where((F.col("length") <= max_bytes) & ~in_noise_dir(F.col("path")))
+def keep_source_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Drop files in noise folders (judged by the relative path), and those over ``max_bytes`` where given."""
+    kept = files.where(~in_noise_dir(F.col("path")))
+    return kept if max_bytes is None else kept.where(F.col("length") <= max_bytes)
 
 
 # --- ignore rules -----------------------------------------------------------------

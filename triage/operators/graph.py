@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triage.functions.scale import stage
+from triage.functions.scale import stage, unstage
 
 # Node kinds and the name of a node outside the repository.
 REPO_FILE = "repo_file"
@@ -66,8 +66,8 @@ def _walk(starts: DataFrame, steps: DataFrame, depth: int, directions: tuple[str
 
     A start is reported only when a cycle leads back to it. All starts and
     both directions advance together: one join and one ``distinct`` per hop.
-    Beyond two hops each round leaves out what it has seen and is written to the
-    shared folder, so the plan does not grow with the depth.
+    Each round leaves out what it has seen and is written to the shared folder, so
+    the plan does not grow with the depth.
     """
     keys = ["repo", "dir", "start"]
     each = F.explode(F.array(*[F.lit(d) for d in directions])).alias("dir")
@@ -77,14 +77,11 @@ def _walk(starts: DataFrame, steps: DataFrame, depth: int, directions: tuple[str
     seen: DataFrame | None = None
     for hop in range(1, depth + 1):
         reached = front.join(steps, ["repo", "dir", "node"]).select(*keys, F.col("to").alias("path")).distinct()
-        if depth > 2:
-            if seen is not None:
-                reached = reached.join(seen, [*keys, "path"], "left_anti")
-            reached = stage(reached.withColumn("hop", F.lit(hop)), "reach")
-            if reached.isEmpty():
-                break
-        else:
-            reached = reached.withColumn("hop", F.lit(hop))
+        if seen is not None:
+            reached = reached.join(seen, [*keys, "path"], "left_anti")
+        reached = stage(reached.withColumn("hop", F.lit(hop)), "reach")
+        if reached.isEmpty():
+            break
         seen = reached if seen is None else seen.unionByName(reached)
         front = reached.select(*keys, F.col("path").alias("node"))
     if seen is None:
@@ -222,7 +219,7 @@ def _largest_ancestor(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
     Labels spread along edges, and every round also jumps to the label of the
     label, so long chains take few rounds. The loop ends when nothing changes.
     """
-    labels = stage(nodes_.select("repo", "node", F.col("node").alias("label")), "labels")
+    labels = held = stage(nodes_.select("repo", "node", F.col("node").alias("label")), "labels")
     while True:
         given = edges.join(labels.withColumnRenamed("node", "src"), ["repo", "src"]).select(
             "repo", F.col("dst").alias("node"), "label"
@@ -238,7 +235,8 @@ def _largest_ancestor(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
             .drop("_old"),
             "labels",
         )
-        labels = new.drop("_changed")
+        unstage(held)
+        held, labels = new, new.drop("_changed")
         if new.where("_changed").isEmpty():
             return labels
 
@@ -287,8 +285,12 @@ def _same_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).where("_a = _b").select("repo", "src", "dst")
 
 
-def stats(files: DataFrame, edges: DataFrame, cycle_table: DataFrame | None = None) -> DataFrame:
-    """``repo, total_files, total_edges, external_dependencies`` (+ ``cycles``)."""
+def stats(files: DataFrame, edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``repo, total_files, total_edges, external_dependencies`` (+ ``cyclic_groups``).
+
+    ``groups`` is the result of ``cyclic_groups``: files that import each other, whatever the
+    length of the way round.
+    """
     n = nodes(files, edges).groupBy("repo").agg(
         F.count_if(F.col("kind") == REPO_FILE).alias("total_files"),
         F.count_if(F.col("kind") == EXTERNAL).alias("external_dependencies"),
@@ -298,7 +300,7 @@ def stats(files: DataFrame, edges: DataFrame, cycle_table: DataFrame | None = No
         "repo", "total_files", F.coalesce("total_edges", F.lit(0)).alias("total_edges"),
         "external_dependencies",
     )
-    if cycle_table is not None:
-        c = cycle_table.groupBy("repo").agg(F.count("*").alias("cycles"))
-        out = out.join(c, "repo", "left").withColumn("cycles", F.coalesce("cycles", F.lit(0)))
+    if groups is not None:
+        c = groups.select("repo", "group_id").distinct().groupBy("repo").agg(F.count("*").alias("cyclic_groups"))
+        out = out.join(c, "repo", "left").withColumn("cyclic_groups", F.coalesce("cyclic_groups", F.lit(0)))
     return out

@@ -12,10 +12,9 @@ from pyspark.sql import Window as W
 
 from triage.operators.reports import is_failing
 
-# Attempt states, outcomes, default number of iterations.
+# Attempt states, outcomes.
 APPLIED, UNPARSEABLE, NOT_APPLIED, NO_REPORT = "applied", "unparseable", "not_applied", "no_report"
 FIXED, NO_CHANGE, REGRESSED, RUN_FAILED = "fixed", "no_change", "regressed", "run_failed"
-MAX_ITERATIONS = 5
 
 
 def _failing(results: DataFrame) -> DataFrame:
@@ -94,14 +93,13 @@ def classify(attempts: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def cut(classified: DataFrame, max_iterations: int | None = None) -> DataFrame:
-    """Iterations that take place: up to the cap and up to the first fix.
-
-    The cap comes first, so a window never holds more rows than the cap.
-    """
-    cap = max_iterations or MAX_ITERATIONS
+    """Iterations that take place: up to the first fix, and up to ``max_iterations`` where given."""
+    in_range = F.col("iteration") >= 1
+    if max_iterations is not None:
+        in_range = in_range & (F.col("iteration") <= max_iterations)
     first = F.min(F.when(F.col("outcome") == FIXED, F.col("iteration"))).over(W.partitionBy("run_id"))
     return (
-        classified.where(F.col("iteration").between(1, cap))
+        classified.where(in_range)
         .withColumn("_first", first)
         .where(F.col("_first").isNull() | (F.col("iteration") <= F.col("_first")))
         .drop("_first")

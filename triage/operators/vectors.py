@@ -31,7 +31,7 @@ def embed(
     return df.withColumn(name, embedder(provider)(F.col(text)))
 
 
-def upsert(store: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("chunk_id",), version: str = "version") -> DataFrame:
+def upsert(store: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo", "chunk_id"), version: str = "version") -> DataFrame:
     """Insert or replace by key; the highest version wins.
 
     ``row_number() = 1`` is a limit per key, so each map task sends on at most

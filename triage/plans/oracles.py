@@ -221,28 +221,18 @@ _CYCLES = """
   JOIN e b ON a.repo = b.repo AND a.dst = b.src JOIN e c ON b.repo = c.repo AND b.dst = c.src AND c.dst = a.src
   WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst"""
 
-_add("graph_stats", f"""WITH {_EDGES},
-e AS (SELECT repo, src, dst FROM edges WHERE dst_kind = 'repo_file'),
-cyc AS ({_CYCLES})
-SELECT f.repo, f.n AS total_files, coalesce(g.n, 0) AS total_edges, coalesce(g.x, 0) AS external_dependencies,
-       coalesce(c.n, 0) AS cycles
-FROM (SELECT repo, count(*) AS n FROM v_files GROUP BY repo) f
-LEFT JOIN (SELECT repo, count(*) AS n, count(DISTINCT CASE WHEN dst_kind = 'external' THEN dst END) AS x FROM edges GROUP BY repo) g
-  ON f.repo = g.repo
-LEFT JOIN (SELECT repo, count(*) AS n FROM cyc GROUP BY repo) c ON f.repo = c.repo""", "v_files")
-
 # --- graph ------------------------------------------------------------------------
 
 _add("graph_imports", "SELECT repo, src AS start, dst AS path FROM v_edges", "v_edges")
 _add("graph_imported_by", """
 SELECT repo, dst AS start, src AS path FROM v_edges
-WHERE dst IN (SELECT src FROM v_edges)""", "v_edges")
+WHERE (repo, dst) IN (SELECT repo, src FROM v_edges)""", "v_edges")
 
 
 def _walk(depth: int, a: str, b: str) -> str:
     return f"""WITH RECURSIVE w AS (
-  SELECT repo, {a} AS start, {b} AS path, 1 AS hop FROM v_edges WHERE {a} IN (SELECT src FROM v_edges)
-  UNION SELECT w.repo, w.start, e.{b}, w.hop + 1 FROM w JOIN v_edges e ON e.{a} = w.path WHERE w.hop < {depth})
+  SELECT repo, {a} AS start, {b} AS path, 1 AS hop FROM v_edges WHERE (repo, {a}) IN (SELECT repo, src FROM v_edges)
+  UNION SELECT w.repo, w.start, e.{b}, w.hop + 1 FROM w JOIN v_edges e ON e.repo = w.repo AND e.{a} = w.path WHERE w.hop < {depth})
 SELECT repo, start, path, min(hop) AS hop FROM w GROUP BY repo, start, path"""
 
 
@@ -258,16 +248,24 @@ step AS (SELECT repo, src AS s, dst AS t, 0 AS d FROM v_edges
          UNION ALL SELECT repo, dst, src, 1 FROM v_edges WHERE dst_kind = 'repo_file'),
 w AS ({_NEAR})
 SELECT repo, start, path, min(hop) AS hop FROM w
-WHERE start <> path AND start IN (SELECT src FROM v_edges) GROUP BY repo, start, path""", "v_edges")
+WHERE start <> path AND (repo, start) IN (SELECT repo, src FROM v_edges) GROUP BY repo, start, path""", "v_edges")
 
 _add("graph_cycles3", f"""WITH e AS (SELECT repo, src, dst FROM v_edges WHERE dst_kind = 'repo_file')
 {_CYCLES}""", "v_edges")
 
-_add("graph_cyclic_groups", """WITH RECURSIVE
-e AS (SELECT src, dst FROM v_edges WHERE dst_kind = 'repo_file'),
-reached AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM reached r JOIN e ON r.b = e.src)
-SELECT 'g' AS repo, min(y.a) AS group_id, x.a AS node
-FROM reached x JOIN reached y ON x.b = y.a AND y.b = x.a GROUP BY x.a""", "v_edges")
+_SCC = """RECURSIVE_E AS (SELECT repo, src, dst FROM {t} WHERE dst_kind = 'repo_file'),
+reached AS (SELECT repo, src AS a, dst AS b FROM scc_e UNION SELECT r.repo, r.a, e.dst FROM reached r JOIN scc_e e ON r.repo = e.repo AND r.b = e.src),
+scc AS (SELECT x.repo, min(y.a) AS group_id, x.a AS node
+        FROM reached x JOIN reached y ON x.repo = y.repo AND x.b = y.a AND y.b = x.a GROUP BY x.repo, x.a)""".replace("RECURSIVE_E", "scc_e")
+_add("graph_cyclic_groups", f"WITH RECURSIVE {_SCC.format(t='v_edges')} SELECT repo, group_id, node FROM scc", "v_edges")
+_add("graph_stats", f"""WITH RECURSIVE {_EDGES}, {_SCC.format(t="edges")}
+SELECT f.repo, f.n AS total_files, coalesce(g.n, 0) AS total_edges, coalesce(g.x, 0) AS external_dependencies,
+       coalesce(c.n, 0) AS cyclic_groups
+FROM (SELECT repo, count(*) AS n FROM v_files GROUP BY repo) f
+LEFT JOIN (SELECT repo, count(*) AS n, count(DISTINCT CASE WHEN dst_kind = 'external' THEN dst END) AS x FROM edges GROUP BY repo) g
+  ON f.repo = g.repo
+LEFT JOIN (SELECT repo, count(DISTINCT group_id) AS n FROM scc GROUP BY repo) c ON f.repo = c.repo""", "v_files")
+
 
 _add("page_links", """
 SELECT DISTINCT p.url AS src, CASE WHEN q.url IS NULL THEN 'external:' || p.m ELSE p.m END AS dst,
@@ -279,10 +277,10 @@ LEFT JOIN (SELECT DISTINCT url FROM pages) q ON p.m = q.url""")
 
 _CHUNKS = f"""{_SYM},
 chunk AS (
-  SELECT s.repo, s.path, s.path || '::' || s.qualified_name AS chunk_id, s.qualified_name, s.kind, s.start_line, s.end_line,
+  SELECT s.repo, s.path, s.path || '::' || s.qualified_name || '@' || CAST(s.start_line AS VARCHAR) AS chunk_id, s.qualified_name, s.kind, s.start_line, s.end_line,
     'File: ' || s.path || chr(10) || 'Symbol: ' || s.qualified_name || ' (' || s.kind || ')' || chr(10)
     || CASE WHEN s.docstring IS NULL THEN '' ELSE 'Docstring: ' || s.docstring || chr(10) END
-    || 'Code:' || chr(10) || substr(array_to_string(list_slice(k.l, s.start_line, s.end_line), chr(10)), 1, 1500) AS embedding_text
+    || 'Code:' || chr(10) || array_to_string(list_slice(k.l, s.start_line, s.end_line), chr(10)) AS embedding_text
   FROM sym s JOIN keyed k ON s.repo = k.repo AND s.path = k.path)"""
 
 _add("chunk_text", f"""WITH {_CHUNKS}
@@ -405,10 +403,10 @@ _add("ranked_files", f"WITH {_SIGNALS}, {_ranked('basic')} SELECT {_OUT} FROM ra
 
 _HITS = f"""
 chunk AS (
-  SELECT s.repo, s.path, s.path || '::' || s.qualified_name AS chunk_id, s.qualified_name,
+  SELECT s.repo, s.path, s.path || '::' || s.qualified_name || '@' || CAST(s.start_line AS VARCHAR) AS chunk_id, s.qualified_name,
     'File: ' || s.path || ' Symbol: ' || s.qualified_name || ' (' || s.kind || ') '
     || CASE WHEN s.docstring IS NULL THEN '' ELSE 'Docstring: ' || s.docstring || ' ' END
-    || 'Code: ' || substr(array_to_string(list_slice(k.l, s.start_line, s.end_line), chr(10)), 1, 1500) AS text
+    || 'Code: ' || array_to_string(list_slice(k.l, s.start_line, s.end_line), chr(10)) AS text
   FROM sym s JOIN keyed k ON s.repo = k.repo AND s.path = k.path),
 cterm AS ({_buckets("chunk", "repo, chunk_id, qualified_name, path", "text")}),
 cnorm AS (SELECT repo, chunk_id, qualified_name, path, sqrt(sum(n * n)) AS len FROM cterm GROUP BY ALL),
@@ -447,7 +445,7 @@ def _compressed(text: str) -> str:
 _add("compressed_documents", f"SELECT doc_id, {_compressed('text')} AS compressed FROM documents")
 _add("compressed_files", f"SELECT repo, path, {_compressed('content')} AS compressed FROM v_files", "v_files")
 
-_TOKENS = "CAST(len(regexp_extract_all({t}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s\\x0b]')) AS INTEGER)"
+_TOKENS = "CAST(len(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\x0b]')) AS INTEGER)"
 _WORDS = "CAST(len(regexp_extract_all({t}, '[^ \\t\\r\\n]+')) AS INTEGER)"
 
 _add("token_counts", f"""
@@ -583,8 +581,8 @@ LEFT JOIN bad b ON b.run_id = i.run_id AND b.iteration = i.iteration""", "v_resu
 # --- suggested fixes --------------------------------------------------------------
 
 _REPLIES = """src AS (
-  SELECT conv_id * 1000 + turn AS response_id, conv_id % 5 AS kind, (conv_id + turn) % 4 = 0 AS bad, replace(text, '```', '') AS reply,
-    (conv_id * 3 + turn) % (SELECT count(*) FROM part) AS k FROM conversations WHERE role = 'assistant'),
+  SELECT conv_id * 1000 + turn AS response_id, CASE WHEN role = 'assistant' THEN conv_id % 5 ELSE 5 END AS kind, (conv_id + turn) % 4 = 0 AS bad, replace(text, '```', '') AS reply,
+    (conv_id * 3 + turn) % (SELECT count(*) FROM part) AS k FROM conversations),
 ans AS (
   SELECT s.*, 'r' || CAST(k // 200 AS VARCHAR) AS repo, 'pkg' || CAST(k // 20 AS VARCHAR) || '/m' || CAST(k AS VARCHAR) || '.py' AS path,
     v.text FROM src s JOIN v_responses v USING (response_id)),
@@ -655,10 +653,6 @@ SELECT *, original_tokens - compressed_tokens AS tokens_saved,
   CASE WHEN original_tokens = 0 THEN 0.0 ELSE round(compressed_tokens / original_tokens, 3) END AS compression_ratio FROM d
 """, "v_counters")
 
-_add("usage_totals", """
-SELECT run_id, CAST(sum(requests) AS BIGINT) AS total_requests, CAST(sum(tokens_saved) AS BIGINT) AS total_tokens_saved
-FROM v_usage GROUP BY run_id""", "v_usage")
-
 _BOARD = f"""{_LOOP},
 used AS (SELECT u.*, d.outcome FROM v_usage u JOIN done d ON u.run_id = d.run_id AND u.iteration = d.iteration),
 total AS (
@@ -677,11 +671,14 @@ board AS (
     '$' || CAST(CAST(coalesce(t.usd, 0) AS DECIMAL(18,2)) AS VARCHAR) AS total_cost_saved_usd
   FROM solved s LEFT JOIN total t ON s.run_id = t.run_id LEFT JOIN kinds k ON s.run_id = k.run_id)"""
 
+_add("usage_totals", f"""WITH {_BOARD}
+SELECT run_id, CAST(sum(requests) AS BIGINT) AS total_requests, CAST(sum(tokens_saved) AS BIGINT) AS total_tokens_saved
+FROM used GROUP BY run_id""", "v_results", "v_attempts", "v_usage")
 _add("usage_dashboard", f"WITH {_BOARD} SELECT * FROM board", "v_results", "v_attempts", "v_usage")
 
 # --- streams ----------------------------------------------------------------------
 
 _add("failure_stream", """WITH e AS (SELECT ts, 'E' || CAST(event_id % 3 AS VARCHAR) AS kind FROM events WHERE event_type = 'error')
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, kind AS exception_type, count(*) AS failures
-FROM e WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 2 HOUR
+FROM e
 GROUP BY date_trunc('hour', ts), kind""")

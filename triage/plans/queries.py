@@ -73,7 +73,7 @@ def document_facts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
     tree = view(spark, sf, "v_tree").withColumn("commit_sha", F.lit("c1"))
-    kept = files.keep_source_files(tree)
+    kept = files.keep_source_files(tree, max_bytes=2_000_000)
     return files.apply_ignore_rules(kept, files.ignore_rules(tree)).select("repo", "path", "length")
 
 
@@ -140,7 +140,7 @@ def import_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     edges = stage(import_edges(spark, sf), "edges")
-    return graph.stats(_sources(spark, sf), edges, graph.cycles(edges, 3))
+    return graph.stats(_sources(spark, sf), edges, graph.cyclic_groups(edges))
 
 
 @query
@@ -245,7 +245,7 @@ def upsert_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     old = e.select(F.floor(F.col("vec_id") / 3).alias("chunk_id"), F.col("vec_id").alias("version"), "label")
     new = e.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") * 2).alias("version"), "label")
-    return vectors.upsert(old, new)
+    return vectors.upsert(old, new, keys=("chunk_id",))
 
 
 @query
@@ -510,12 +510,17 @@ def counter_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return usage.call_deltas(view(spark, sf, "v_counters"), order=("event_id",))
 
 
-def _dashboard(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _kept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results of the runs, iterations that took place, usage of all attempts)."""
     attempts, results = _attempts(spark, sf)
     done = loop.cut(loop.classify(attempts, results))
     solved = loop.resolve(attempts, results)
     done = done.join(solved.where("baseline_failing > 0").select("run_id"), "run_id", "left_semi")
-    used = view(spark, sf, "v_usage")
+    return solved, done, view(spark, sf, "v_usage")
+
+
+def _dashboard(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    solved, done, used = _kept(spark, sf)
     return usage.dashboard(solved, done, used), usage.breakdown(done, used)
 
 
@@ -535,7 +540,8 @@ def usage_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.loop_totals(view(spark, sf, "v_usage"))
+    done, used = _kept(spark, sf)[1:]
+    return usage.loop_totals(used.join(done.select("run_id", "iteration"), ["run_id", "iteration"], "left_semi"))
 
 
 # --- streams ----------------------------------------------------------------------
@@ -544,20 +550,19 @@ def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def failure_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Windowed failure counts from a file stream, run until its input is used up."""
+    path = f"{sf}/events.parquet"
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # a table is one file or a folder of files, and a stream reads folders
+    one_file = table(spark, sf, "events").inputFiles()[0].endswith("/events.parquet")
+    source = spark.readStream.schema(schema)
+    events = source.option("pathGlobFilter", "events.parquet").parquet(sf) if one_file else source.parquet(path)
     results = events.select(
         "ts", F.col("event_type").alias("outcome"),
         F.concat(F.lit("E"), (F.col("event_id") % 3).cast("string")).alias("exception_type"),
     )
     out = stage_path(spark, "failure-counts")
-    job = (
-        jobs.failure_counts(results).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", f"{out}-state")
-        .trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    return spark.read.parquet(out).select(
+    jobs.count_failures(results, out, f"{out}-state").awaitTermination()
+    return jobs.current_counts(spark, out).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "exception_type", "failures",
     )
@@ -565,11 +570,16 @@ def failure_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def index_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Files arriving twice are indexed once: the table of symbols the stream wrote."""
+    """Files arriving twice, one half of them years late and under a second checkpoint, are indexed once."""
     out = stage_path(spark, "index-stream")
     arriving = view(spark, sf, "v_files").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    arriving.write.parquet(f"{out}/in")
-    arriving.write.mode("append").parquet(f"{out}/in")
+    late = arriving.withColumn("ts", F.lit("2001-01-01 00:00:00").cast("timestamp"))
+    arriving.where("length(path) % 2 = 0").write.parquet(f"{out}/in")
     stream = spark.readStream.schema(arriving.schema).parquet(f"{out}/in")
     jobs.index_files(stream, f"{out}/table", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/table/symbols").select("repo", "path", "qualified_name", "start_line", "end_line")
+    late.write.mode("append").parquet(f"{out}/in")
+    for state in ("state", "second-state"):
+        jobs.index_files(stream, f"{out}/table", f"{out}/{state}").awaitTermination()
+    return jobs.read_streamed(spark, f"{out}/table/symbols").select(
+        "repo", "path", "qualified_name", "start_line", "end_line"
+    )

@@ -157,7 +157,7 @@ _TRACE_FILE = f"'/srv/r' || {_s(_div('k', 200))} || '/' || {PY_PATH}"
 V_TRACES = (
     f"SELECT event_id AS failure_id, 'r' || {_s(_div('k', 200))} AS repo, "
     f"'/srv/r' || {_s(_div('k', 200))} AS repo_root, "
-    "CASE WHEN event_id % 13 = 0 THEN 'plain log line ' || CAST(event_id AS STRING) ELSE "
+    "CASE WHEN event_type <> 'error' OR event_id % 13 = 0 THEN 'plain log line ' || CAST(event_id AS STRING) ELSE "
     + " || ".join([
         _text("'log line ' || CAST(event_id AS STRING)", _TRACE_HEAD, _frame("'/srv/old.py'", "'1'", "'old'"),
               "'    old()'", "'OldError: x'", "''",
@@ -175,8 +175,8 @@ V_TRACES = (
         "ELSE '!! odd header' || chr(10) || 'run failed' END",
     ])
     + " END AS text "
-    "FROM (SELECT event_id, value, (event_id * 7 + user_id) % (SELECT count(*) FROM {part}) AS k "
-    "FROM {events} WHERE event_type = 'error') t"
+    "FROM (SELECT event_id, event_type, value, (event_id * 7 + user_id) % (SELECT count(*) FROM {part}) AS k "
+    "FROM {events}) t"
 )
 
 _FENCE = "'```'"
@@ -199,9 +199,9 @@ V_RESPONSES = (
     f"WHEN 3 THEN 'File: ' || {PY_PATH} || chr(10) || repeat('z', 250) || chr(10) || {_FENCE} || chr(10) || reply || chr(10) || {_FENCE} "
     "ELSE reply END AS text "
     "FROM (SELECT response_id, kind, bad, reply, t.k, p_name, p_size FROM "
-    "(SELECT conv_id * 1000 + turn AS response_id, conv_id % 5 AS kind, (conv_id + turn) % 4 = 0 AS bad, "
+    "(SELECT conv_id * 1000 + turn AS response_id, CASE WHEN role = 'assistant' THEN conv_id % 5 ELSE 5 END AS kind, (conv_id + turn) % 4 = 0 AS bad, "
     "replace(text, '```', '') AS reply, (conv_id * 3 + turn) % (SELECT count(*) FROM {part}) AS k "
-    "FROM {conversations} WHERE role = 'assistant') t "
+    "FROM {conversations}) t "
     "JOIN (SELECT p_partkey AS k, p_name, p_size FROM {part}) p ON t.k = p.k) u"
 )
 
@@ -233,12 +233,13 @@ V_COUNTERS = (
     "AS estimated_cost_saved_usd FROM {events}"
 )
 
+# Every order is an edge; a hundred customers are one repository.
 V_EDGES = (
-    "SELECT DISTINCT 'g' AS repo, 'c' || CAST(o_custkey AS STRING) AS src, "
+    f"SELECT DISTINCT 'g' || {_s('b')} AS repo, 'c' || CAST(o_custkey AS STRING) AS src, "
     "CASE WHEN o_orderkey % 10 = 0 THEN 'external:p' || CAST(o_orderkey % 70 AS STRING) "
-    "ELSE 'c' || CAST((o_orderkey * 31) % (SELECT count(*) FROM {customer}) AS STRING) END AS dst, "
+    "ELSE 'c' || CAST(b * 100 + (o_orderkey * 31) % 100 AS STRING) END AS dst, "
     "CASE WHEN o_orderkey % 10 = 0 THEN 'external' ELSE 'repo_file' END AS dst_kind "
-    "FROM {orders} WHERE o_orderpriority = '1-URGENT'"
+    f"FROM (SELECT o_custkey, o_orderkey, {_div('o_custkey', 100)} AS b FROM {{orders}}) t"
 )
 
 # A later snapshot of the Python files: some removed, some edited, some new.
@@ -283,16 +284,8 @@ _NEEDS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that arrives in fewer splits than there are cores is spread out.
-
-    The texts derived from a row cost far more than moving the row. Tables in
-    many splits (the normal case on a cluster) are read as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in WIDE and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A given table. How it is split is the session's matter (``spark.sql.files.*``)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _with(names: tuple[str, ...]) -> list[str]:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: larger files are skipped as generated or data.
-MAX_FILE_BYTES = 2_000_000
 
-
-def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``repo, commit_sha, path, length, content``.
+def scan_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """``repo, commit_sha, path, length, content`` of all files, or of those up to ``max_bytes``.
 
     The size test is pushed into the scan, so an oversized file is never read,
     and a query that does not use ``content`` reads no bytes at all.
@@ -19,18 +16,15 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES)
     base = root.rstrip("/").split(":", 1)[-1].strip("/")
     relative = F.substr(tail, F.lit(len(base) + 2))
     parts = F.split(relative, "/")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .where(F.col("length") <= max_bytes)
-        .select(
-            parts[0].alias("repo"),
-            parts[1].alias("commit_sha"),
-            F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/").alias("path"),
-            "length",
-            "content",
-        )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if max_bytes is not None:
+        found = found.where(F.col("length") <= max_bytes)
+    return found.select(
+        parts[0].alias("repo"),
+        parts[1].alias("commit_sha"),
+        F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/").alias("path"),
+        "length",
+        "content",
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Phases keep their long text as a string; other shapes of it become NULL later.
 PHASE = T.StructType(
     [T.StructField("longrepr", T.StringType()), T.StructField("duration", T.DoubleType())]
 )
@@ -28,33 +27,46 @@ REPORT = T.StructType(
     ]
 )
 
+# As read: a long text may be any JSON value, and a file may not be JSON at all.
+_READ_PHASE = "struct<longrepr: variant, duration: double>"
+_READ = (
+    f"summary struct<{', '.join(f'{n}: long' for n in SUMMARY.names)}>, "
+    f"tests array<struct<nodeid: string, outcome: string, setup: {_READ_PHASE}, call: {_READ_PHASE}>>, _broken string"
+)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
+    raw = spark.read.schema(_READ).option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return raw.withColumn("run_id", name)
+
+
+def broken_reports(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, tests_read`` of the files that end early or are no JSON, so that none reads as all-clear."""
+    n = F.coalesce(F.size("tests"), F.lit(0))
+    return _read(spark, path).select("run_id", n.alias("tests_read"), "_broken").where("_broken is not null").drop("_broken")
+
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per report file: ``run_id`` (file name without suffix), summary, tests.
+    """One row per complete report file: ``run_id`` (file name without suffix), summary, tests.
 
     Missing counts are 0 and a missing test list is empty. A longrepr that is
-    an object or a list instead of text is set to NULL.
+    an object or a list instead of text is set to NULL; a text stays whatever it begins with.
     """
-    raw = (
-        spark.read.schema(REPORT)
-        .option("multiLine", "true")
-        .json(path)
-        .withColumn("run_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1))
-    )
     summary = F.struct(
         *[F.coalesce(F.col(f"summary.{f}"), F.lit(0).cast("long")).alias(f) for f in SUMMARY.names]
     )
-    tests = F.coalesce(F.col("tests"), F.array().cast(T.ArrayType(TEST)))
 
     def text_only(phase):
-        text = F.when(~F.coalesce(phase["longrepr"], F.lit("")).rlike(r"^\s*[\[{]"), phase["longrepr"])
+        is_text = F.schema_of_variant(phase["longrepr"]) == "STRING"
+        text = F.when(is_text, F.try_variant_get(phase["longrepr"], "$", "string"))
         return F.when(
             phase.isNotNull(),
             F.struct(text.alias("longrepr"), phase["duration"].alias("duration")),
         )
 
     cleaned = F.transform(
-        tests,
+        "tests",
         lambda t: F.struct(
             t["nodeid"].alias("nodeid"),
             t["outcome"].alias("outcome"),
@@ -62,4 +74,5 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
             text_only(t["call"]).alias("call"),
         ),
     )
-    return raw.select("run_id", summary.alias("summary"), cleaned.alias("tests"))
+    tests = F.coalesce(cleaned, F.array().cast(T.ArrayType(TEST)))
+    return _read(spark, path).where("_broken is null").select("run_id", summary.alias("summary"), tests.alias("tests"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = ("repo", "commit_sha")
 
@@ -11,7 +12,8 @@ KEYS = ("repo", "commit_sha")
 def write_index(df: DataFrame, path: str) -> None:
     """Write one index table; only the (repo, commit) folders present in ``df`` are replaced."""
     (
-        df.repartition(*KEYS, F.pmod(F.xxhash64("path"), F.lit(64)))
+        # even pieces of a key: a large commit is split, small ones share a task
+        df.hint("rebalance", *KEYS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*KEYS)
@@ -22,8 +24,10 @@ def write_index(df: DataFrame, path: str) -> None:
 def read_index(
     spark: SparkSession, path: str, repo: str | None = None, commit_sha: str | None = None
 ) -> DataFrame:
-    """Read an index table; the keys prune folders."""
-    df = spark.read.parquet(path)
+    """Read an index table; the keys prune folders and stay text, whatever they look like."""
+    found = spark.read.parquet(path).schema
+    keys_as_text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in KEYS else f for f in found])
+    df = spark.read.schema(keys_as_text).parquet(path)
     if repo is not None:
         df = df.where(F.col("repo") == repo)
     if commit_sha is not None:

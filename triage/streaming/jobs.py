@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from triage.operators import files as fo
@@ -18,19 +20,19 @@ def failure_counts(
     ts: str = "ts",
     window: str = "1 hour",
     slide: str | None = None,
-    late: str = "2 hours",
+    late: str | None = None,
 ) -> DataFrame:
     """Failing tests per exception type and time window.
 
-    ``results(ts, outcome, exception_type)``, streaming or not. Rows later than
-    ``late`` are dropped and a window is emitted once it can no longer change.
-    Passing tests are filtered before any state is kept.
+    ``results(ts, outcome, exception_type)``, streaming or not. The state is one count per
+    window and type, and no row is too late. With ``late`` a stream forgets windows older than
+    that and drops rows that come for them. Passing tests are filtered before any state is kept.
     """
     timed = results.withColumn(ts, F.col(ts).cast("timestamp"))
     failing = timed.where(is_failing(F.col("outcome")))
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
     return (
-        failing.withWatermark(ts, late)
+        (failing.withWatermark(ts, late) if late else failing)
         .groupBy(span.alias("w"), "exception_type")
         .agg(F.count("*").alias("failures"))
         .select(
@@ -40,40 +42,83 @@ def failure_counts(
     )
 
 
-def index_files(
-    files: DataFrame, target: str, checkpoint: str, ts: str = "ts", late: str = "1 day"
-) -> StreamingQuery:
-    """Index files as they arrive; a (path, content) already indexed is skipped.
+def count_failures(results: DataFrame, target: str, checkpoint: str, **windows: str) -> StreamingQuery:
+    """``failure_counts`` of a stream into ``target``, open windows included.
 
-    Within the watermark repeats are dropped by the stream's own state, older
-    ones by an anti join against what ``target`` holds. A batch that is run
-    again writes to its own folder, so a restart adds no duplicates.
+    Each batch writes the new counts of the windows it changed to a folder of its own query
+    and number, so a batch that runs again replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(_folder(batch, target, batch_id))
+
+    return (
+        failure_counts(results, **windows).writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def current_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The newest count of every window that ``count_failures`` wrote."""
+    keys = ["query_id", "window_start", "window_end", "exception_type"]
+    newest = read_streamed(spark, target).groupBy(*keys).agg(F.max_by("failures", "version").alias("failures"))
+    # a second query over the same input counts the same rows again
+    return newest.groupBy(*keys[1:]).agg(F.max("failures").alias("failures"))
+
+
+def index_files(files: DataFrame, target: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
+    """Index files as they arrive; a (path, content) already indexed is skipped, however late it comes.
+
+    The keys of what is indexed stand in a narrow table of their own, which the anti join
+    reads. Folders are named by query and batch: a batch that runs again replaces its own
+    folders, and a new checkpoint neither overwrites nor repeats what another one wrote.
     """
     spark = files.sparkSession
     keys = ["repo", "path", "content_hash"]
-    fresh = fo.index_files(files).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        own = {t: _folder(batch, f"{target}/{t}", batch_id) for t in ("keys", "files", "symbols", "imports")}
         todo = batch.dropDuplicates(keys)
-        done = _done(spark, f"{target}/files", batch_id)
+        done = _read_or_none(spark, f"{target}/keys")
         if done is not None:
-            todo = unprocessed(todo, done)
-        todo.drop(ts).write.mode("overwrite").parquet(f"{target}/files/batch_id={batch_id}")
+            query, number = own["keys"].rsplit("/", 2)[1:]
+            others = (F.col("query_id") != query.split("=")[1]) | (F.col("batch_id") != number.split("=")[1])
+            todo = unprocessed(todo, done.where(others))
+        todo.drop(ts).write.mode("overwrite").parquet(own["files"])
         # read back: symbols and imports then see exactly what was written
-        written = spark.read.parquet(f"{target}/files/batch_id={batch_id}")
-        sy.extract(written).write.mode("overwrite").parquet(f"{target}/symbols/batch_id={batch_id}")
-        im.extract(written).write.mode("overwrite").parquet(f"{target}/imports/batch_id={batch_id}")
+        written = spark.read.parquet(own["files"])
+        sy.extract(written).write.mode("overwrite").parquet(own["symbols"])
+        im.extract(written).write.mode("overwrite").parquet(own["imports"])
+        # last: a batch without its keys counts as not indexed and runs again
+        written.select(*keys).write.mode("overwrite").parquet(own["keys"])
 
     return (
-        fresh.writeStream.foreachBatch(write)
+        fo.index_files(files).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _done(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What earlier batches wrote, NULL before the first one."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+def read_streamed(spark: SparkSession, path: str) -> DataFrame:
+    """A table that batches wrote, with ``query_id`` and ``batch_id`` as text."""
+    found = spark.read.parquet(path).schema
+    ids = ("query_id", "batch_id")
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ids else f for f in found])
+    return spark.read.schema(as_text).parquet(path)
+
+
+def _folder(batch: DataFrame, path: str, batch_id: int) -> str:
+    """A folder for each query and batch; the query's id lives in its checkpoint."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{path}/query_id={query}/batch_id={batch_id}"
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not be there yet."""
+    try:
+        return read_streamed(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
