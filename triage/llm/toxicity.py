@@ -1,14 +1,16 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed words. Its score is
+A text is the set of its hashed terms: its words, and how its longer words begin (the first three
+to seven characters), which other endings share. Its score is
 
-    sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j),   x_i = 1 / sqrt(number of terms) for pairs
+    sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j> / n)   over its n terms
 
 so that two terms together (an insult and the mention of a group) can count more than their
-own weights. Only the text is an input. The machine learns from at most ``max_train``
-labelled rows, chosen by a hash of the id (``MAX_TRAIN``, the one bound of this operator: what
-is collected for training has at most that many rows of at most ``2**bits`` term numbers);
-every document is scored.
+own weights. Linear weights are held sparse, and terms of fewer than ``min_docs`` training
+texts are left out, or chance words of long texts would decide. Only the text is an input.
+The machine learns from at most ``max_train`` labelled rows, chosen by a hash of the id
+(``MAX_TRAIN``, the one bound of this operator: what is collected for training has at most that
+many rows of at most ``2**bits`` term numbers); every document is scored.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias; several labels
 of one document count as toxic if one says so; null labels and labels without a document are not
@@ -23,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,40 +46,54 @@ WORDS = bytes(
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
+    beginnings: tuple[int, ...] = (3, 4, 5, 6, 7)
+    min_docs: int = 5
     factors: int = 4
-    epochs: int = 8
-    rate: float = 0.1
-    decay: float = 1e-4
-    batch: int = 64
+    epochs: int = 10
+    rate: float = 0.2
+    sparsity: float = 1e-3  # of linear weights
+    decay: float = 1e-2  # of factors
+    batch: int = 256
     seed: int = 7
 
 
 class Hasher:
     """Distinct term numbers of a text; the numbers of words already seen are kept."""
 
-    def __init__(self, bits: int):
-        self.mask, self.kept = (1 << bits) - 1, {}
+    def __init__(self, settings: Settings = Settings()):
+        self.mask, self.beginnings = (1 << settings.bits) - 1, settings.beginnings
+        self.kept: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = set((text or "").encode().translate(WORDS).split())
         if len(self.kept) > 500_000:
             self.kept.clear()
-        kept, mask = self.kept, self.mask
-        out = set()
+        kept, out = self.kept, set()
         for w in words:
-            n = kept.get(w)
-            if n is None:
-                n = kept[w] = zlib.crc32(w) & mask
-            out.add(n)
+            numbers = kept.get(w)
+            if numbers is None:
+                numbers = kept[w] = self._numbers(w)
+            out.update(numbers)
         return np.fromiter(sorted(out), dtype=np.int32, count=len(out))
 
+    def _numbers(self, word: bytes) -> tuple[int, ...]:
+        letters = word.decode("utf-8", "ignore")
+        starts = [(letters[:k] + "*").encode() for k in self.beginnings if len(letters) > k]
+        return tuple(zlib.crc32(term) & self.mask for term in (word, *starts))
+
 
 class Machine:
     def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray):
         self.bias, self.weights, self.factors = bias, weights, factors
 
+    @cached_property
+    def known(self) -> np.ndarray:
+        """Terms that the training texts held often enough."""
+        return self.factors.any(axis=1) | (self.weights != 0)
+
     def score(self, terms: np.ndarray) -> float:
         z = self.bias
+        terms = terms[self.known[terms]]
         if len(terms):
             v = self.factors[terms]
             s = v.sum(axis=0)
@@ -96,7 +112,8 @@ class Machine:
 
 
 def fit(samples: list[tuple[np.ndarray, int]], settings: Settings = Settings()) -> Machine:
-    """AdaGrad on the logistic loss, in small batches of a seeded order."""
+    """AdaGrad on the logistic loss, in small batches of a seeded order; after each step linear
+    weights are drawn towards zero by ``sparsity``."""
     size = 1 << settings.bits
     rng = np.random.default_rng(settings.seed)
     n, positive = len(samples), sum(y for _, y in samples)
@@ -106,7 +123,9 @@ def fit(samples: list[tuple[np.ndarray, int]], settings: Settings = Settings())
     machine = Machine(float(np.log(share / (1 - share))), weights, factors)
     if not 0 < positive < n:
         return machine
-    factors[:] = rng.normal(0, 0.05, factors.shape)
+    enough = np.bincount(np.concatenate([t for t, _ in samples]), minlength=size) >= settings.min_docs
+    samples = [(t[enough[t]], y) for t, y in samples]
+    factors[enough] = rng.normal(0, 0.05, (int(enough.sum()), settings.factors))
     seen_w, seen_v, seen_0 = np.full(size, 1e-3, np.float32), np.full(factors.shape, 1e-3, np.float32), 1e-3
     lengths = np.array([len(t) for t, _ in samples])
     labels = np.array([y for _, y in samples], dtype=np.float32)
@@ -129,13 +148,15 @@ def fit(samples: list[tuple[np.ndarray, int]], settings: Settings = Settings())
             seen_0 += float(g.sum()) ** 2
             machine.bias -= settings.rate * float(g.sum()) / seen_0**0.5
             used, where = np.unique(terms, return_inverse=True)
-            gw = np.bincount(where, g[row], len(used)).astype(np.float32) + settings.decay * weights[used]
+            gw = np.bincount(where, g[row], len(used)).astype(np.float32)
             pair = (g / own)[row, None] * (s[row] - v)
             gv = np.stack([np.bincount(where, pair[:, f], len(used)) for f in range(settings.factors)], 1)
             gv = gv.astype(np.float32) + settings.decay * factors[used]
             seen_w[used] += gw * gw
             seen_v[used] += gv * gv
-            weights[used] -= settings.rate * gw / np.sqrt(seen_w[used])
+            step = settings.rate / np.sqrt(seen_w[used])
+            moved = weights[used] - step * gw
+            weights[used] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * settings.sparsity)
             factors[used] -= settings.rate * gv / np.sqrt(seen_v[used])
     return machine
 
@@ -158,7 +179,7 @@ def training_rows(
     found = common.texts(docs).join(F.broadcast(known), "doc_id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(settings.bits)
+        hasher = Hasher(settings)
         schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary())])
         yield from common.emit(
             ((d, y, hasher(t).tobytes()) for d, y, t in common.rows(batches, "doc_id", "toxic", "text")), schema, 512
@@ -196,7 +217,7 @@ def score(
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, hasher = _machine(model), Hasher(settings.bits)
+        machine, hasher = _machine(model), Hasher(settings)
         for batch in batches:
             scores = [machine.score(hasher(t)) for t, in common.rows([batch], text_col)]
             yield batch.append_column(name, pa.array(scores, pa.float64()))
