@@ -16,8 +16,9 @@ in rounds over tables in the shared folder.
 ``near_duplicates`` serves a similarity threshold instead of a bit distance: whole-text
 fingerprints of texts with a similarity of 0.8 differ in about ten of 64 bits, where no index
 helps. There each text is dealt by the fingerprints of a few small samples of its shingles
-(the smallest under a hash), which similar texts share, and a 512-bit SimHash of all shingles
-decides.
+(the smallest under a hash), which similar texts share. Inside a bucket a tree joins the texts by
+their greatest similarities as 512-bit SimHashes of all shingles estimate them; tree edges near
+the threshold are then decided by the shingles themselves.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero; a row
 with a null id has a fingerprint, no component, and links nothing; rows that repeat an id are
@@ -310,8 +311,11 @@ def classes(prints: DataFrame, max_diff: int = 3, group_rows: int = GROUP_ROWS)
 SAMPLES = 12
 SAMPLE_SIZE = 4
 WIDE = 8  # words of 64 bits
-SLACK = 0.02  # the 512 bits estimate a similarity of 0.8 with a deviation of about 0.03
+# The 512 bits estimate a similarity of 0.8 with a deviation of about 0.035: below the lower
+# margin a pair is dropped, above the upper one it is a link, between them the texts decide.
+MARGIN = 0.1
 MAX_BUCKET = 8192
+FOUND = "a long, b long, similarity double"
 LEVELS = 4
 
 
@@ -345,13 +349,35 @@ def sketch(text: str | None, width: int) -> tuple[list[int], bytes, int]:
     return _majorities(mixed).view(np.int64).tolist(), wide.astype("<u8").tobytes(), len(hashes)
 
 
-def similar(wide: np.ndarray, sizes: np.ndarray, i: int, rest: slice, least: float) -> np.ndarray:
-    """Which of ``rest`` have an estimated similarity of at least ``least`` with ``i``."""
+def estimate(wide: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+    """Estimated similarity (shared over all distinct shingles) of ``i`` with each of ``rest``."""
     differ = np.bitwise_count(wide[rest] ^ wide[i]).sum(axis=1)
-    cosine = np.cos(np.pi * differ / (BITS * WIDE))
-    shared = cosine * np.sqrt(sizes[rest] * float(sizes[i]))
+    shared = np.cos(np.pi * differ / (BITS * WIDE)) * np.sqrt(sizes[rest] * float(sizes[i]))
     union = sizes[rest] + float(sizes[i]) - shared
-    return np.where(union > 0, shared >= least * union, True)
+    return np.where(union > 0, shared / np.where(union > 0, union, 1), 1.0)
+
+
+def tree(wide: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Edges (a, b, similarity) of the spanning forest of greatest similarities of at least ``least``."""
+    out = []
+    rest = np.arange(len(wide))
+    best, near = np.full(len(wide), -1.0), np.zeros(len(wide), dtype=np.int64)
+    at = 0
+    while len(rest) > 1:
+        rest = rest[rest != at]
+        found = estimate(wide, sizes, at, rest)
+        closer = found > best[rest]
+        best[rest[closer]], near[rest[closer]] = found[closer], at
+        at = int(rest[np.argmax(best[rest])])
+        if best[at] >= least:
+            out.append((int(near[at]), at, float(best[at])))
+    return out
+
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    x, y = np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
 
 
 def _by_bucket(keyed: DataFrame) -> DataFrame:
@@ -376,15 +402,14 @@ def near_duplicates(
     docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
     max_bucket: int = MAX_BUCKET,
 ) -> DataFrame:
-    """(doc_id, component_id) of the rows with near copies, for one row per distinct (id, text).
+    """(doc_id, component_id) of the rows with near copies; ids are distinct.
 
     A bucket is compared in one task up to ``max_bucket`` distinct texts; a larger one is dealt
     again by the next samples together with the first, and what is still larger then (texts that
     share all these samples) in chunks that meet through the bucket's smallest id. Copies of a
     text count once.
     """
-    least = similarity - SLACK
-    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
@@ -406,15 +431,20 @@ def near_duplicates(
             wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), dtype="<u8").reshape(-1, WIDE)
             sizes = table.column("n").to_numpy().astype(float)
             cuts = np.flatnonzero((np.diff(path) != 0) | (np.diff(key) != 0)) + 1
-            labels = np.arange(len(ids))
+            edges = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                for i in range(a, b - 1):
-                    near = np.flatnonzero(similar(wide, sizes, i, slice(i + 1, b), least)) + i + 1
-                    if len(near):
-                        unite(labels, np.full(len(near), i), near)
-            linked = labels != np.arange(len(labels))
-            if linked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[labels[linked]]), pa.array(ids[linked])], schema=edge)
+                if b - a > 1:
+                    own = tree(wide[a:b], sizes[a:b], similarity - MARGIN)
+                    edges += [(int(ids[a + x]), int(ids[a + y]), s) for x, y, s in own]
+            if edges:
+                yield common.to_batch(edges, edge)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        kept = (
+            (a, b) for a, b, x, y in common.rows(batches, "a", "b", "text_a", "text_b") if jaccard(x, y, width) >= similarity
+        )
+        yield from common.emit(kept, plain)
 
     rows = common.texts(docs, id_col, text_col).where("doc_id is not null")
     made = stage(
@@ -431,13 +461,13 @@ def near_duplicates(
         full = stage(keyed.groupBy("path", "key").count().where(F.col("count") > max_bucket), "full-buckets")
         last = full.isEmpty()
         fit = keyed if last else keyed.join(full, ["path", "key"], "left_anti")
-        edges = _by_bucket(fit).mapInArrow(compare, "a long, b long")
+        edges = _by_bucket(fit).mapInArrow(compare, FOUND)
         found = edges if found is None else found.unionByName(edges)
         if last:
             break
         again = keyed.join(full, ["path", "key"])
         if level == LEVELS:
-            found = found.unionByName(_by_bucket(_chunks(again, max_bucket)).mapInArrow(compare, "a long, b long"))
+            found = found.unionByName(_by_bucket(_chunks(again, max_bucket)).mapInArrow(compare, FOUND))
             break
         # sharing one of the next three samples too is a smaller bucket
         again = again.withColumn("_other", F.explode(F.expr(f"transform(sequence(1, 3), i -> (path + i) % {SAMPLES})")))
@@ -446,6 +476,15 @@ def near_duplicates(
             F.xxhash64("key", F.element_at("keys", F.col("_other") + 1)).alias("key"),
         )
         keyed = stage(again, "split-buckets")
+    found = stage(
+        found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").where("a != b")
+        .groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "similar-pairs",
+    )
+    sure = F.col("similarity") >= similarity + MARGIN
+    side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    unsure = found.where(~sure).select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    checked = unsure.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
     copies = made.select("same", F.col("doc_id").alias("b")).join(one.select("same", F.col("doc_id").alias("a")), "same")
-    roots = components(found.unionByName(copies.select("a", "b").where("a != b")))
+    links_ = found.where(sure).select("a", "b").unionByName(checked).unionByName(copies.select("a", "b").where("a != b"))
+    roots = components(links_)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
