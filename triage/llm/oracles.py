@@ -52,3 +52,59 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN NULL ELSE keeper END AS refers_to
 FROM k
 """
+
+# The patterns as the contract spells them; those of the added kinds with word boundaries.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_FOUND = "\n    UNION ALL ".join(
+    f"SELECT row_no, t, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{pattern}') AS ms, "
+    f"string_split_regex(t, '{pattern}') AS gaps FROM docs"
+    for rank, (kind, pattern) in enumerate(_PATTERNS.items())
+)
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: "
+    f"CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INTEGER) "
+    f"WHEN CAST(reverse({_DIGITS})[i] AS INTEGER) > 4 THEN 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) - 9 "
+    f"ELSE 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) END)) % 10 = 0"
+)
+_IBAN = (
+    "list_reduce(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), "
+    "lambda c: ascii(c) - 48), lambda a, c: CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c - 7) % 97 END, 0) = 1"
+)
+ORACLES["op7_pii"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+    {_FOUND}
+), listed AS (
+    SELECT row_no, t, kind, rank, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i
+    FROM found WHERE len(ms) > 0
+), placed AS (
+    SELECT *, CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS start FROM listed
+    WINDOW w AS (PARTITION BY row_no, kind ORDER BY i)
+), good AS (
+    SELECT row_no, kind, rank, start, kind || ':' || start || ':' || (start + length(m)) AS span FROM placed
+    WHERE CASE kind
+        WHEN 'email' THEN true
+        WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS DOUBLE))) <= 255
+        WHEN 'card' THEN length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}
+        WHEN 'phone' THEN length({_DIGITS}) BETWEEN 10 AND 15
+        WHEN 'iban' THEN length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {_IBAN}
+        ELSE regexp_matches(lower(substr(t, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0))),
+                            '(?:^|[^a-z0-9_])(?:ssn|social|security)') END
+)
+SELECT any_value(d.doc_id) AS doc_id,
+       count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM docs d LEFT JOIN good g ON d.row_no = g.row_no
+GROUP BY d.row_no
+"""

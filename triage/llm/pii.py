@@ -47,9 +47,10 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, 0.2, "ip|address|host|server", "."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", 0.8, 0.2, "card|visa|credit|payment", ""),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, 0.3, "phone|call|tel|mobile", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3}+)?)"
-         r"(?![A-Za-z0-9])", 0.8, 0.2, "iban|account|bank|konto", "", base=False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, 0.4, "ssn|social|security", "-", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
+         r"(?![A-Za-z0-9_])", 0.8, 0.2, "iban|account|bank|konto", "", base=False),
+    Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", 0.3, 0.4, "ssn|social|security", "-",
+         base=False),
 )
 _ORDER = {k.name: i for i, k in enumerate(KINDS)}
 
@@ -119,7 +120,7 @@ def _scored(kind: Kind, text: Column) -> Callable[[Column], Column]:
     def scored(s: Column) -> Column:
         low = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
         before = F.lower(F.substr(text, low + 1, s["start"] - low))
-        near = before.rlike(rf"\b(?:{kind.context})")
+        near = before.rlike(f"(?:^|[^a-z0-9_])(?:{kind.context})")
         score = F.lit(kind.score) + F.when(near, F.lit(kind.bonus)).otherwise(F.lit(0.0))
         return F.struct(
             s["start"].alias("start"), F.lit(_ORDER[kind.name]).alias("rank"), s["end"].alias("end"),
