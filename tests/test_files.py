@@ -77,7 +77,7 @@ def test_scan_and_store(spark, tmp_path):
     (root / "README.md").write_text("hello")
     (root / "big.py").write_text("x" * 2_000_001)
     scanned = repo_files.decode(repo_files.scan_files(spark, str(tmp_path / "snap")))
-    index = fo.index_files(fo.keep_source_files(scanned))
+    index = fo.index_files(fo.keep_source_files(scanned, max_bytes=2_000_000))
     got = {(r.repo, r.commit_sha, r.path, r.language) for r in index.collect()}
     assert got == {("o", "sha1", "pkg/main.py", "python"), ("o", "sha1", "README.md", "unknown")}
     symbols = sy.extract(index)

@@ -16,6 +16,8 @@ from triage.operators import imports as im
 from triage.operators import localize as lo
 from triage.operators import symbols as sy
 from triage.operators import vectors as ve
+from triage.plans.oracles import ORACLES
+from triage.plans.queries import QUERIES
 from triage.plans.views import TABLES, view
 from triage.streaming import jobs
 
@@ -49,8 +51,8 @@ def test_query_equals_sql(spark, name):
     assert got == want and got
 
 
-def test_every_query_but_the_report_text_has_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"usage_reports"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry_point.queries())
 
 
 @needs_data

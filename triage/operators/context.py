@@ -239,6 +239,6 @@ def prompts(failures: DataFrame, contexts: DataFrame, description: Column | None
         F.concat(
             F.lit("## Failure\n"), summary,
             F.lit("\n\n## Relevant code context\n"), text,
-            F.lit("\n\n## Task\nDiagnose the root cause and propose a fix."),
+            F.lit("\n\n## Wanted\nThe cause of this failure, and a change that removes it."),
         ).alias("prompt"),
     )

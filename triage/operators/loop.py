@@ -56,14 +56,14 @@ def compare_runs(results: DataFrame) -> DataFrame:
 
 def _notes(still: Column, new: Column) -> Column:
     return (
-        F.when(F.col("status") == UNPARSEABLE, "No applicable file change found.")
-        .when(F.col("status") == NOT_APPLIED, "Patch did not apply.")
-        .when(F.col("status") == NO_REPORT, "Tests failed to run after applying the fix.")
-        .when(still > 0, F.format_string("%d target failure(s) still failing; rolled back.", still))
+        F.when(F.col("status") == UNPARSEABLE, "no file change in the reply")
+        .when(F.col("status") == NOT_APPLIED, "the change does not fit the files")
+        .when(F.col("status") == NO_REPORT, "no test report after the change")
+        .when(still > 0, F.format_string("targets failing: %d, undone", still))
         .when(
             new > 0,
             F.format_string(
-                "Fixed the target failure(s) but introduced %d new failure(s); rolled back.", new
+                "targets pass, newly failing: %d, undone", new
             ),
         )
         .otherwise("")

@@ -516,7 +516,7 @@ _add("fix_prompts", f"""WITH RECURSIVE {_ASSEMBLED}
 SELECT x.failure_id, '## Failure' || chr(10) || x.exception_type || ': ' || x.message || chr(10)
   || 'Raised at ' || l.file_path || ':' || CAST(l.line_number AS VARCHAR) || ' in ' || l.function_name
   || chr(10) || chr(10) || '## Relevant code context' || chr(10) || coalesce(a.assembled_text, '')
-  || chr(10) || chr(10) || '## Task' || chr(10) || 'Diagnose the root cause and propose a fix.' AS prompt
+  || chr(10) || chr(10) || '## Wanted' || chr(10) || 'The cause of this failure, and a change that removes it.' AS prompt
 FROM exc x JOIN last_frame l USING (failure_id) LEFT JOIN assembled a USING (failure_id)""", "v_files", "v_traces")
 
 # --- test reports and fix attempts ------------------------------------------------
@@ -556,10 +556,10 @@ solved AS (
 _add("run_outcomes", f"""WITH {_LOOP}
 SELECT run_id, iteration, status, CASE WHEN status = 'applied' THEN still END AS still_failing,
   CASE WHEN status = 'applied' THEN fresh END AS newly_broken, outcome, outcome = 'fixed' AS kept,
-  CASE WHEN status = 'unparseable' THEN 'No applicable file change found.' WHEN status = 'not_applied' THEN 'Patch did not apply.'
-    WHEN status = 'no_report' THEN 'Tests failed to run after applying the fix.'
-    WHEN still > 0 THEN CAST(still AS VARCHAR) || ' target failure(s) still failing; rolled back.'
-    WHEN fresh > 0 THEN 'Fixed the target failure(s) but introduced ' || CAST(fresh AS VARCHAR) || ' new failure(s); rolled back.'
+  CASE WHEN status = 'unparseable' THEN 'no file change in the reply' WHEN status = 'not_applied' THEN 'the change does not fit the files'
+    WHEN status = 'no_report' THEN 'no test report after the change'
+    WHEN still > 0 THEN 'targets failing: ' || CAST(still AS VARCHAR) || ', undone'
+    WHEN fresh > 0 THEN 'targets pass, newly failing: ' || CAST(fresh AS VARCHAR) || ', undone'
     ELSE '' END AS notes
 FROM judged""", "v_results", "v_attempts")
 
@@ -675,6 +675,26 @@ _add("usage_totals", f"""WITH {_BOARD}
 SELECT run_id, CAST(sum(requests) AS BIGINT) AS total_requests, CAST(sum(tokens_saved) AS BIGINT) AS total_tokens_saved
 FROM used GROUP BY run_id""", "v_results", "v_attempts", "v_usage")
 _add("usage_dashboard", f"WITH {_BOARD} SELECT * FROM board", "v_results", "v_attempts", "v_usage")
+_add("usage_breakdown", f"""WITH {_BOARD}
+SELECT run_id, iteration, outcome, baseline_tokens, compressed_tokens, tokens_saved,
+  CASE WHEN baseline_tokens = 0 THEN 0.0 ELSE 1 - compressed_tokens / baseline_tokens END AS compression_ratio,
+  CASE WHEN compressed_tokens + tokens_saved = 0 THEN 0.0 ELSE 1 - compressed_tokens / (compressed_tokens + tokens_saved) END AS proxy_ratio
+FROM used""", "v_results", "v_attempts", "v_usage")
+
+_REPORTED = ("total_iterations", "baseline_failing_tests", "final_failing_tests", "total_baseline_tokens",
+             "total_compressed_tokens", "overall_compression_ratio", "total_requests", "total_tokens_saved", "total_cost_saved_usd")
+_add("usage_reports", f"""WITH {_BOARD},
+item AS (
+  SELECT run_id, iteration, outcome || ', ' || CAST(baseline_tokens AS VARCHAR) || ' to ' || CAST(compressed_tokens AS VARCHAR)
+    || ' tokens, proxy ' || CAST(tokens_saved AS VARCHAR) || ', ' || cost_saved_usd AS t FROM used),
+list AS (
+  SELECT run_id, string_agg('1. ' || t, chr(10) ORDER BY iteration) AS md, string_agg('<li>' || t || '</li>', '' ORDER BY iteration) AS li
+  FROM item GROUP BY run_id),
+titled AS (SELECT *, 'Run ' || CAST(run_id AS VARCHAR) || ': ' || CASE WHEN success THEN 'solved' ELSE 'open' END AS title FROM board)
+SELECT b.run_id, concat_ws(chr(10), title, '', {", ".join(f"'- {c}: ' || CAST({c} AS VARCHAR)" for c in _REPORTED)}, '', md) AS markdown,
+  '<section><h2>' || title || '</h2><dl>' || {" || ".join(f"'<dt>{c}</dt><dd>' || CAST({c} AS VARCHAR) || '</dd>'" for c in _REPORTED)}
+    || '</dl><ol>' || coalesce(li, '') || '</ol></section>' AS html
+FROM titled b LEFT JOIN list l ON b.run_id = l.run_id""", "v_results", "v_attempts", "v_usage")
 
 # --- streams ----------------------------------------------------------------------
 

@@ -533,6 +533,14 @@ def usage_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return _dashboard(spark, sf)[0].withColumn("outcome_counts", joined(entries))
 
 
+@query
+def usage_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    """What each kept iteration used, with the share saved before and behind the proxy."""
+    return _dashboard(spark, sf)[1].select(
+        "run_id", "iteration", "outcome", "baseline_tokens", "compressed_tokens", "tokens_saved", "compression_ratio", "proxy_ratio"
+    )
+
+
 @query
 def usage_reports(spark: SparkSession, sf: str) -> DataFrame:
     return usage.report_texts(*_dashboard(spark, sf))
