@@ -44,8 +44,8 @@ DEPTH = 22
 ALPHABET = 252  # 256 bytes without four that only part words
 END = b"\n"
 DISCOUNT = 0.5
-_CHUNK = 4 << 20  # bytes coded at a time
-_HELD = 3_000_000  # distinct contexts held before they are put together
+_CHUNK = 2 << 20  # bytes coded at a time
+_HELD = 1_500_000  # distinct contexts held before they are put together
 
 
 def words_of(text: str | None) -> list[bytes]:
