@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from triage.llm import common, ppm, toxicity
 
-SF = "/root/testdata/sf0.01"
+# The added-one word model gives every unseen word the same share, which only costs it in a large corpus.
+SF = "/root/testdata/sf0.1"
 
 
 def words(text):
@@ -140,8 +141,9 @@ def test_toxicity_on_held_out_rows(spark):
     got = toxicity.fit_and_score(docs, docs, labels, ~out).join(labels, "doc_id").where(out).collect()
     scores, truth = [r.score for r in got], [r.toxic for r in got]
     assert auc(np.array(scores), truth) > 0.9
+    assert np.mean(np.array(scores)[np.array(truth) == 1] >= 0.5) > 0.75
     clean = [r.score for r in got if not r.toxic]
-    assert np.mean(np.array(clean) >= 0.5) < 0.05
+    assert np.mean(np.array(clean) >= 0.5) < 0.01
 
 
 def test_toxicity_edges(spark):
@@ -156,5 +158,5 @@ def test_toxicity_edges(spark):
     assert sorted((r.doc_id, r.toxic) for r in rows.collect()) == [(1, 1), (2, 0)]
     assert toxicity.training_rows(docs, labels, F.lit(True), max_train=1).count() <= 1
     none = toxicity.fit_and_score(docs, docs, labels.where("false"), F.lit(True)).collect()
-    assert {r.score for r in none} == {pytest.approx(0.25)}
+    assert all(r.score == pytest.approx(0.25) for r in none)
     assert toxicity.fit_and_score(docs.where("false"), docs, labels, F.lit(True)).count() == 0
