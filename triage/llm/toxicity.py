@@ -123,12 +123,18 @@ def fit(samples: list[tuple[np.ndarray, int]], settings: Settings = Settings())
     machine = Machine(float(np.log(share / (1 - share))), weights, factors)
     if not 0 < positive < n:
         return machine
-    enough = np.bincount(np.concatenate([t for t, _ in samples]), minlength=size) >= settings.min_docs
-    samples = [(t[enough[t]], y) for t, y in samples]
-    factors[enough] = rng.normal(0, 0.05, (int(enough.sum()), settings.factors))
-    seen_w, seen_v, seen_0 = np.full(size, 1e-3, np.float32), np.full(factors.shape, 1e-3, np.float32), 1e-3
-    lengths = np.array([len(t) for t, _ in samples])
+    # terms found often enough get dense numbers
+    vocabulary = np.flatnonzero(
+        np.bincount(np.concatenate([t for t, _ in samples]), minlength=size) >= settings.min_docs
+    )
+    dense = np.full(size, -1, dtype=np.int64)
+    dense[vocabulary] = np.arange(len(vocabulary))
+    found = [own[own >= 0] for own in (dense[t] for t, _ in samples)]
+    lengths = np.array([len(t) for t in found])
     labels = np.array([y for _, y in samples], dtype=np.float32)
+    m, k = len(vocabulary), settings.factors
+    w, v = np.zeros(m), rng.normal(0, 0.05, (k, m))
+    seen_w, seen_v, seen_0 = np.full(m, 1e-3), np.full((k, m), 1e-3), 1e-3
     for _ in range(settings.epochs):
         order = rng.permutation(n)
         for at in range(0, n, settings.batch):
@@ -137,27 +143,30 @@ def fit(samples: list[tuple[np.ndarray, int]], settings: Settings = Settings())
             if not len(chosen):
                 continue
             own = lengths[chosen]
-            terms = np.concatenate([samples[i][0] for i in chosen])
-            starts = np.concatenate([[0], np.cumsum(own)[:-1]])
+            terms = np.concatenate([found[i] for i in chosen])
+            starts = np.cumsum(own) - own
             row = np.repeat(np.arange(len(chosen)), own)
-            v = factors[terms]
-            s = np.add.reduceat(v, starts, axis=0)
-            z = machine.bias + np.add.reduceat(weights[terms], starts)
-            z = z + 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), starts)) / own
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]).astype(np.float32) / len(chosen)
-            seen_0 += float(g.sum()) ** 2
-            machine.bias -= settings.rate * float(g.sum()) / seen_0**0.5
-            used, where = np.unique(terms, return_inverse=True)
-            gw = np.bincount(where, g[row], len(used)).astype(np.float32)
-            pair = (g / own)[row, None] * (s[row] - v)
-            gv = np.stack([np.bincount(where, pair[:, f], len(used)) for f in range(settings.factors)], 1)
-            gv = gv.astype(np.float32) + settings.decay * factors[used]
-            seen_w[used] += gw * gw
-            seen_v[used] += gv * gv
-            step = settings.rate / np.sqrt(seen_w[used])
-            moved = weights[used] - step * gw
-            weights[used] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * settings.sparsity)
-            factors[used] -= settings.rate * gv / np.sqrt(seen_v[used])
+            sums, z = [], machine.bias + np.add.reduceat(w[terms], starts)
+            for f in range(k):
+                here = v[f][terms]
+                sums.append(np.add.reduceat(here, starts))
+                z += 0.5 * (sums[f] ** 2 - np.add.reduceat(here * here, starts)) / own
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]) / len(chosen)
+            seen_0 += g.sum() ** 2
+            machine.bias -= settings.rate * g.sum() / seen_0**0.5
+            touched = np.bincount(terms, minlength=m) > 0
+            gw = np.bincount(terms, g[row], m)
+            seen_w += gw * gw
+            step = settings.rate / np.sqrt(seen_w)
+            moved = w - step * gw
+            moved = np.sign(moved) * np.maximum(0, np.abs(moved) - step * settings.sparsity)
+            w = np.where(touched, moved, w)
+            share_of = np.bincount(terms, (g / own)[row], m)
+            for f in range(k):
+                gv = np.bincount(terms, (g / own * sums[f])[row], m) - share_of * v[f] + settings.decay * v[f] * touched
+                seen_v[f] += gv * gv
+                v[f] -= settings.rate * gv / np.sqrt(seen_v[f])
+    weights[vocabulary], factors[vocabulary] = w, v.T
     return machine
 
 
