@@ -156,7 +156,7 @@ def brute_top(vectors, k, scale):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows,block_rows,scale", [(10_000, 10_000, 64), (60, 4, 64), (60, 4, 2**30)])
+@pytest.mark.parametrize("shard_rows,block_rows,scale", [(10_000, 10_000, 64), (60, 4, 64), (60, 4, 2**28)])
 def test_top_k(spark, shard_rows, block_rows, scale):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).astype(float).tolist(), i) for i in range(300)]

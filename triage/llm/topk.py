@@ -139,16 +139,17 @@ def top_k(
     n, n_queries, width = size["n"], size["q"] or 0, size["width"] or 0
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
     deal = lambda c, m, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(m))
+    numbers = lambda m: F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
     points = points.withColumn("shard", deal(F.col("vec_id"), shards, 1))
     queries = points.where(is_query).select(
-        F.col("vec_id").alias("query_id"), F.col("v"), F.col("shard").alias("home"),
+        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("shard").alias("home"),
         deal(F.col("vec_id"), blocks, 2).alias("block"),
     )
 
     def search(candidates: pa.Table, block: pa.Table) -> pa.Table:
         if not candidates.num_rows or not block.num_rows:
             return _FOUND.empty_table()
-        own, asked = _matrix(candidates.column("v"), width), _matrix(block.column("v"), width)
+        own, asked = _matrix(candidates.column("v"), width), _matrix(block.column("q"), width)
         if own.dtype != asked.dtype:
             own, asked = own.astype(np.int64), asked.astype(np.int64)
         tree = Tree.build(candidates.column("vec_id").to_numpy(), own, leaf_rows)
@@ -157,7 +158,7 @@ def top_k(
 
     at_home = (
         points.select("shard", "vec_id", "v").groupBy("shard")
-        .cogroup(queries.select(F.col("home").alias("shard"), "query_id", "v", F.lit(None).cast("long").alias("kth")).groupBy("shard"))
+        .cogroup(queries.select(F.col("home").alias("shard"), "query_id", "q", F.lit(None).cast("long").alias("kth")).groupBy("shard"))
         .applyInArrow(search, FOUND)
     )
     found = first = stage(at_home, "home-hits")
@@ -165,11 +166,11 @@ def top_k(
         kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         asked = (
             queries.join(kth, "query_id", "left")
-            .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
-            .where("shard != home").select("shard", "block", "query_id", "v", "kth")
+            .withColumn("shard", F.explode(numbers(shards)))
+            .where("shard != home").select("shard", "block", "query_id", "q", "kth")
         )
         held = points.select(
-            "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), "vec_id", "v"
+            "shard", F.explode(numbers(blocks)).alias("block"), "vec_id", "v"
         )
         away = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, FOUND)
         found = first.unionByName(away)
