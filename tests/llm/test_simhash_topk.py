@@ -73,7 +73,7 @@ def test_classes(spark):
     assert simhash.classes(prints.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("max_diff,group_rows", [(3, 4), (3, 10_000), (1, 8)])
+@pytest.mark.parametrize("max_diff,group_rows", [(3, 24), (3, 10_000), (1, 40)])
 def test_links_in_split_groups(spark, max_diff, group_rows):
     rng = np.random.default_rng(max_diff + group_rows)
     centres = rng.integers(0, 2**63, 6)

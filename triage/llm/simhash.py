@@ -246,8 +246,9 @@ def links(prints: DataFrame, max_diff: int = 3, group_rows: int = GROUP_ROWS) ->
         found = edges if found is None else found.unionByName(edges)
         if not any_full:
             return found.distinct()
-        # 4 masks per level and path: a bounded table
-        children = {m: split_mask(m, max_diff + 1) for m in masks}
+        # only masks of full groups go on: at most max_diff + 1 for each mask of the level before
+        used = {r["mask"] for r in full.select("mask").distinct().toLocalIterator()}
+        children = {m: split_mask(m, max_diff + 1) for m in masks if _signed(m) in used}
         masks = sorted({c for own in children.values() for c in own})
         table = spark.createDataFrame(
             [(_signed(m), _signed(c)) for m, own in children.items() for c in own], "mask long, child long"
