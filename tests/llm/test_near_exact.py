@@ -1,0 +1,40 @@
+"""Near-duplicates: exactly the components over all pairs of similarity 0.8 or more."""
+
+import random
+
+import numpy as np
+
+from test_simhash_topk import brute_classes
+from triage.llm import simhash
+
+
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def check(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **more).collect()}
+    sets = [(i, shingles(t)) for i, t in enumerate(texts)]
+    want = brute_classes(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert {i: got.get(i, i) for i in want} == want
+    return want
+
+
+def test_pairs_in_a_templated_source(spark):
+    """Texts a little under 0.8 with each other, each with one partner above it."""
+    random.seed(11)
+    template, texts = [f"t{i}" for i in range(276)], []
+    for g in range(120):
+        base = template + [f"g{g}x{i}" for i in range(39)]
+        texts += [" ".join(base), " ".join(base[:-24] + [f"p{g}x{i}" for i in range(24)])]
+    random.shuffle(texts)
+    want = check(spark, texts)
+    assert len(set(want.values())) == 120
+
+
+def test_smallest_shares_are_whole_numbers():
+    n = np.arange(1, 5000)
+    assert (simhash.at_least(0.8, n) == -(-4 * n // 5)).all()
+    assert (simhash.at_least(0.8 / 1.8, n) == -(-4 * n // 9)).all()

@@ -17,8 +17,14 @@ in rounds over tables in the shared folder.
 fingerprints of texts with a similarity of 0.8 differ in about ten of 64 bits, where no index
 helps. There each text is dealt by the fingerprints of a few small samples of its shingles
 (the smallest under a hash), which similar texts share. Inside a bucket a tree joins the texts by
-their greatest similarities as 512-bit SimHashes of all shingles estimate them; tree edges near
-the threshold are then decided by the shingles themselves.
+their greatest similarities as 512-bit SimHashes of all shingles estimate them, and the shingles
+of its edges decide. This finds most links cheaply, and copies of one text become one component.
+
+What the samples miss is then found by a rule that misses nothing: two texts with a similarity of
+t share one of the first n - ceil(t n) + 1 of their n shingles under any common order. Rare ones
+come first, by counts in 2**20 slots; the slots only choose the order. Texts of different
+components that share such a shingle, and whose sizes and places allow t, are compared by all
+their shingles. So exactly the pairs of similarity t or more are linked, whatever the samples found.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero; a row
 with a null id has a fingerprint, no component, and links nothing; rows that repeat an id are
@@ -28,6 +34,7 @@ texts of their own under one id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -36,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triage.functions.scale import stage
+from triage.functions.scale import stage, stage_path
 from triage.llm import common
 
 BITS = 64
@@ -312,12 +319,16 @@ def classes(prints: DataFrame, max_diff: int = 3, group_rows: int = GROUP_ROWS)
 SAMPLES = 12
 SAMPLE_SIZE = 4
 WIDE = 8  # words of 64 bits
-# The 512 bits estimate a similarity of 0.8 with a deviation of about 0.035: below the lower
-# margin a pair is dropped, above the upper one it is a link, between them the texts decide.
+# The 512 bits estimate a similarity of 0.8 with a deviation of about 0.035: tree edges below the
+# margin are not worth a comparison here; the prefixes find those of them that are links.
 MARGIN = 0.1
 MAX_BUCKET = 8192
 FOUND = "a long, b long, similarity double"
 LEVELS = 4
+SLOTS = 1 << 20
+_SLICE = 1 << 12  # slots summed in a group
+PAIR = "a long, b long"
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _mix(x: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -340,7 +351,10 @@ def _majorities(hashes: np.ndarray) -> np.ndarray:
 
 def sketch(text: str | None, width: int) -> tuple[list[int], bytes, int]:
     """(fingerprints of the samples, wide fingerprint, number of distinct shingles)."""
-    hashes = np.unique(shingle_hashes(text, width))
+    return _sketch(np.unique(shingle_hashes(text, width)))
+
+
+def _sketch(hashes: np.ndarray) -> tuple[list[int], bytes, int]:
     if not len(hashes):
         return [0] * SAMPLES, bytes(8 * WIDE), 0
     mixed = _mix(hashes, np.arange(SAMPLES))
@@ -376,11 +390,140 @@ def tree(wide: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, i
 
 
 def jaccard(a: str | None, b: str | None, width: int) -> float:
-    x, y = np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width))
+    return _share(np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width)))
+
+
+def _share(x: np.ndarray, y: np.ndarray) -> float:
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
 
 
+def at_least(share: float, n: np.ndarray) -> np.ndarray:
+    """The smallest whole numbers not below ``share * n``, whatever the last bit of the product."""
+    return np.ceil(share * np.asarray(n, dtype=np.float64) - 1e-6).astype(np.int64)
+
+
+def shingle_order(rows: DataFrame, width: int) -> str:
+    """A file with a class per slot of hashes: the logarithm of the number of texts that hold them."""
+    spark = rows.sparkSession
+    schema = pa.schema([("slice", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for (text,) in common.rows(batches, "text"):
+            counts[(shingle_hashes(text, width) % np.uint64(SLOTS)).astype(np.int64)] += 1  # once for a text
+        used = np.flatnonzero(counts)
+        cuts = np.searchsorted(used, np.arange(0, SLOTS + 1, _SLICE))
+        found = (
+            (at, used[a:b].astype("<i4").tobytes(), counts[used[a:b]].astype("<i8").tobytes())
+            for at, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b
+        )
+        yield from common.emit(found, schema, 64)
+
+    def total(table: pa.Table) -> pa.Table:
+        at = table.column("slice")[0].as_py()
+        sums = np.zeros(_SLICE, dtype=np.int64)
+        for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            sums[np.frombuffer(slots, "<i4") - at * _SLICE] += np.frombuffer(counts, "<i8")
+        return pa.table({"slice": pa.array([at], pa.int32()), "classes": [np.log2(sums + 1).astype(np.uint8).tobytes()]})
+
+    found = rows.mapInArrow(count, "slice int, slots binary, counts binary")
+    classes_ = np.zeros(SLOTS, dtype=np.uint8)
+    for at, own in found.groupBy("slice").applyInArrow(total, "slice int, classes binary").collect():  # 1 MB in all
+        classes_[at * _SLICE : (at + 1) * _SLICE] = np.frombuffer(bytes(own), np.uint8)
+    name = f"{stage_path(spark, 'shingle-order')}.classes"
+    with common.open_out(name) as f:
+        f.write(classes_.tobytes())
+    return name
+
+
+@lru_cache(maxsize=1)
+def _classes_of(file: str) -> np.ndarray:
+    with common.open_in(file) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def prefix(hashes: np.ndarray, classes_: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct ``hashes``, rare ones before: a text as similar shares one of them."""
+    n = len(hashes)
+    order = np.lexsort((hashes, classes_[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
+    return hashes[order[: n - int(at_least(similarity, n)) + 1]]
+
+
+def candidates(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of ids of other components that share a shingle of their prefixes and may be as similar.
+
+    ``table`` is sorted by (key, n, doc_id). The text with fewer shingles needs the shared one
+    among its first n - ceil(2t / (1 + t) n) + 1, and behind it enough must be left on both sides.
+    """
+    key, n, pos = (table.column(c).to_numpy() for c in ("key", "n", "pos"))
+    ids, own, side = (table.column(c).to_numpy() for c in ("doc_id", "component", "side"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    half = similarity / (1 + similarity)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+    live = np.flatnonzero(pos <= n - at_least(2 * half, n))
+    found, held = [np.zeros((0, 2), dtype=np.int64)], 0
+    step = 0
+    while True:
+        step += 1
+        live = live[live + step < ends[live]]
+        # the following texts of the group are larger and larger
+        live = live[n[live] >= at_least(similarity, n[live + step])]
+        if not len(live):
+            break
+        i, j = live, live + step
+        left = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the shared one and all behind it
+        keep = (own[i] != own[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (left >= at_least(half, n[i] + n[j]))
+        i, j = ids[i[keep]], ids[j[keep]]
+        found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+        held += len(i)
+        if held > _PAIRS:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def missed(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the distinct candidates among (doc_id, component, n, prefix)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["key"]):
+            a, b = candidates(table, similarity)
+            for at in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], schema=_PAIR)
+
+    each = prefixes.select("doc_id", "component", "n", F.posexplode("prefix").alias("pos", "key"))
+    each = each.withColumn("side", F.lit(-1))
+    grouped = each.repartition("key").sortWithinPartitions("key", "n", "doc_id")
+    return grouped.mapInArrow(search, PAIR).distinct()
+
+
+def linked(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``rows`` whose shingles are as similar."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(doc_id: int, text: str) -> np.ndarray:
+            if doc_id not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[doc_id] = np.unique(shingle_hashes(text, width))
+            return known[doc_id]
+
+        kept = (
+            (a, b) for a, b, x, y in common.rows(batches, "a", "b", "text_a", "text_b")
+            if _share(shingles(a, x), shingles(b, y)) >= similarity
+        )
+        yield from common.emit(kept, _PAIR)
+
+    side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(decide, PAIR)
+
+
 def _by_bucket(keyed: DataFrame) -> DataFrame:
     wanted = keyed.select("path", "key", "doc_id", "wide", "n")
     return wanted.repartition("path", "key").sortWithinPartitions("path", "key", "doc_id")
@@ -407,23 +550,27 @@ def near_duplicates(
 
     A bucket is compared in one task up to ``max_bucket`` distinct texts; a larger one is dealt
     again by the next samples together with the first, and what is still larger then (texts that
-    share all these samples) in chunks that meet through the bucket's smallest id. Copies of a
-    text count once.
+    share all these samples) in chunks that meet through the bucket's smallest id. ``missed``
+    finds what that leaves out. Copies of a text count once.
     """
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("doc_id", pa.int64()), ("same", pa.binary()), ("keys", pa.list_(pa.int64())), ("wide", pa.binary()), ("n", pa.int64()),
+            ("prefix", pa.list_(pa.int64())),
         ])
+        classes_ = _classes_of(order)
 
         def each() -> Iterator[tuple]:
             for doc_id, text in common.rows(batches, "doc_id", "text"):
-                keys, wide, n = sketch(text, width)
+                hashes = np.unique(shingle_hashes(text, width))
+                keys, wide, n = _sketch(hashes)
                 same = xxhash.xxh3_128_digest(b" ".join(text.encode().translate(common.ASCII_LOWER).split()))
-                yield doc_id, same, keys, wide, n
+                first = prefix(hashes, classes_, similarity).view(np.int64) if n else []
+                yield doc_id, same, keys, wide, n, first
 
-        yield from common.emit(each(), schema, 2048)
+        yield from common.emit(each(), schema, 512)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["path", "key"], 20_000):
@@ -440,16 +587,12 @@ def near_duplicates(
             if edges:
                 yield common.to_batch(edges, edge)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        kept = (
-            (a, b) for a, b, x, y in common.rows(batches, "a", "b", "text_a", "text_b") if jaccard(x, y, width) >= similarity
-        )
-        yield from common.emit(kept, plain)
-
     rows = common.texts(docs, id_col, text_col).where("doc_id is not null")
+    order = shingle_order(rows.select("text"), width)
     made = stage(
-        rows.select("doc_id", "text").mapInArrow(sketches, "doc_id long, same binary, keys array<long>, wide binary, n long"),
+        rows.select("doc_id", "text").mapInArrow(
+            sketches, "doc_id long, same binary, keys array<long>, wide binary, n long, prefix array<long>"
+        ),
         "sketches",
     )
     one = made.groupBy("same").agg(
@@ -481,11 +624,13 @@ def near_duplicates(
         found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").where("a != b")
         .groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "similar-pairs",
     )
-    sure = F.col("similarity") >= similarity + MARGIN
-    side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    unsure = found.where(~sure).select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    checked = unsure.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
+    near = stage(linked(found, rows, width, similarity), "near-pairs")
+    roots = stage(components(near), "near-roots")
+    prefixes = made.select("doc_id", "n", "prefix").join(one.select("doc_id"), "doc_id").join(
+        roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"
+    ).withColumn("component", F.coalesce("root", "doc_id"))
+    more = linked(stage(missed(prefixes, similarity), "missed-pairs"), rows, width, similarity)
     copies = made.select("same", F.col("doc_id").alias("b")).join(one.select("same", F.col("doc_id").alias("a")), "same")
-    links_ = found.where(sure).select("a", "b").unionByName(checked).unionByName(copies.select("a", "b").where("a != b"))
+    links_ = near.unionByName(more).unionByName(copies.select("a", "b").where("a != b"))
     roots = components(links_)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
