@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from test_simhash_topk import brute_classes
 from triage.llm import simhash
@@ -34,6 +35,21 @@ def test_pairs_in_a_templated_source(spark):
     assert len(set(want.values())) == 120
 
 
+@pytest.mark.parametrize("max_bucket", [3, 40])
+def test_all_pairs_of_large_buckets(spark, max_bucket):
+    random.seed(12)
+    texts = []
+    for g in range(12):
+        base = [f"w{random.randrange(4000)}" for _ in range(random.randint(40, 200))]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(random.randint(0, 1 + len(base) // 40)):
+                copy[random.randrange(len(copy))] = f"c{random.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    want = check(spark, texts, max_bucket=max_bucket)
+    assert 12 < len(set(want.values())) < 200
+
+
 def test_smallest_shares_are_whole_numbers():
     n = np.arange(1, 5000)
     assert (simhash.at_least(0.8, n) == -(-4 * n // 5)).all()

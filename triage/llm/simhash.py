@@ -485,8 +485,12 @@ def candidates(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def missed(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the distinct candidates among (doc_id, component, n, prefix)."""
+def missed(prefixes: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """(a, b): the distinct candidates among (doc_id, component, n, prefix).
+
+    A shingle that more than ``block_rows`` texts have in their prefixes is compared block by
+    block, each pair of blocks in a group of its own. One whose texts are one component is done.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key"]):
@@ -495,7 +499,21 @@ def missed(prefixes: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], schema=_PAIR)
 
     each = prefixes.select("doc_id", "component", "n", F.posexplode("prefix").alias("pos", "key"))
-    each = each.withColumn("side", F.lit(-1))
+    each = stage(each.withColumn("side", F.lit(-1)), "prefixes")
+    hot = each.groupBy("key").agg(
+        F.count("*").alias("count"), (F.min("component") == F.max("component")).alias("done")
+    ).where(F.col("count") > block_rows)
+    hot = stage(hot, "hot-shingles")
+    if not hot.isEmpty():
+        cold = each.join(hot.select("key"), "key", "left_anti")
+        blocks = F.ceil(F.col("count") / block_rows).cast("int")
+        again = each.drop("side").join(hot.where("not done"), "key").withColumn("_blocks", blocks)
+        again = again.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+        again = again.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        side = F.when(F.col("_own") == F.col("_other"), -1).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
+        pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+        again = again.select(pair.alias("key"), "doc_id", "component", "n", "pos", side.alias("side"))
+        each = cold.select(again.columns).unionByName(again)
     grouped = each.repartition("key").sortWithinPartitions("key", "n", "doc_id")
     return grouped.mapInArrow(search, PAIR).distinct()
 
@@ -551,7 +569,7 @@ def near_duplicates(
     A bucket is compared in one task up to ``max_bucket`` distinct texts; a larger one is dealt
     again by the next samples together with the first, and what is still larger then (texts that
     share all these samples) in chunks that meet through the bucket's smallest id. ``missed``
-    finds what that leaves out. Copies of a text count once.
+    finds what that leaves out, in blocks of as many texts. Copies of a text count once.
     """
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
@@ -629,7 +647,7 @@ def near_duplicates(
     prefixes = made.select("doc_id", "n", "prefix").join(one.select("doc_id"), "doc_id").join(
         roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"
     ).withColumn("component", F.coalesce("root", "doc_id"))
-    more = linked(stage(missed(prefixes, similarity), "missed-pairs"), rows, width, similarity)
+    more = linked(stage(missed(prefixes, similarity, max_bucket), "missed-pairs"), rows, width, similarity)
     copies = made.select("same", F.col("doc_id").alias("b")).join(one.select("same", F.col("doc_id").alias("a")), "same")
     links_ = near.unionByName(more).unionByName(copies.select("a", "b").where("a != b"))
     roots = components(links_)
