@@ -50,6 +50,17 @@ def test_all_pairs_of_large_buckets(spark, max_bucket):
     assert 12 < len(set(want.values())) < 200
 
 
+def test_short_texts(spark):
+    random.seed(13)
+    texts = []
+    for g in range(150):
+        n = random.choice([8, 8, 8, 9, 12, 16, 20])
+        base = [f"g{g}w{i}" for i in range(n)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+    want = check(spark, texts)
+    assert len(set(want.values())) == 150
+
+
 def test_smallest_shares_are_whole_numbers():
     n = np.arange(1, 5000)
     assert (simhash.at_least(0.8, n) == -(-4 * n // 5)).all()
