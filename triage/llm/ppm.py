@@ -8,10 +8,13 @@ byte) and the next shorter context is tried, without the bytes already excluded
 one. What no context knows is spread over the rest of the alphabet. The code length of a text is
 the sum over its bytes; the trie is trained once and not changed while it scores.
 
-Counts come from all training texts. A node stays in the trie if it has at least the
-``2**-depth`` part of all counts, so there are at most ``2**depth`` nodes of each order whatever
-the corpus; the counts of dropped nodes are kept as escape mass of their context. This bound
-is what lets each worker hold the trie.
+Counts come from all training texts, and every counted node stays. The trie is dealt by the last
+three bytes of the contexts: such a shard holds all nodes of these and of longer contexts, and the
+nodes of shorter ones, of which the alphabet allows few, are read whole by each worker. Each part
+of the documents sends its own distinct contexts to the shards and gets their code lengths back
+as a file, so nothing that a worker holds is bounded by leaving nodes out. With ``depth`` given, a
+node stays only if it has at least the ``2**-depth`` part of all counts; the counts of dropped
+nodes are kept as escape mass of their context.
 
 Beside it stands the word model with one added count per word. Its table has a row for each
 distinct word of the corpus and stays distributed: a part of the documents gets the counts of
@@ -29,6 +32,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +42,17 @@ from pyspark.sql import Window as W
 
 from triage.functions.scale import stage, stage_path
 from triage.llm import common
+from triage.llm.simhash import whole_groups
 
 ORDER = 5
-DEPTH = 22
+LOW = 3  # orders below stand in files for all workers
 ALPHABET = 252  # 256 bytes without four that only part words
 END = b"\n"
 DISCOUNT = 0.5
 _CHUNK = 2 << 20  # bytes coded at a time
 _HELD = 1_500_000  # distinct contexts held before they are put together
+_CODED = 500_000  # contexts of parts coded at a time
+_CODES = np.dtype([("key", "<u8"), ("code", "<f8")])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -155,13 +162,6 @@ class Trie:
             out[todo] -= np.log10(max(1, ALPHABET - seen))
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, given with its end mark."""
-        keys, sizes = contexts(texts, len(self.levels) - 1)
-        distinct, at = np.unique(keys, return_inverse=True)
-        each = self.log10(distinct)[at]
-        return np.add.reduceat(each, np.cumsum(sizes) - sizes)
-
 
 def _dump(*arrays: np.ndarray) -> bytes:
     return b"".join([struct.pack("<Q", len(a)) + np.ascontiguousarray(a).tobytes() for a in arrays])
@@ -176,73 +176,136 @@ def _load(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def level(keys: np.ndarray, counts: np.ndarray, least: float) -> Level:
+    """The level of all counts of one order; nodes counted less than ``least`` are escape mass."""
+    contexts_, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+    keep = counts >= least
+    return Level(keys[keep], counts[keep], contexts_, np.bincount(at, counts, len(contexts_)))
+
+
 @lru_cache(maxsize=1)
-def trie(files: tuple[str | None, ...]) -> Trie:
-    """The trie from one file per order; one per worker."""
-    levels = []
+def _low_levels(files: tuple[str, ...], base: int, least: float) -> list[Level]:
+    """The levels of the orders below ``base`` from files of the counts of the last of them."""
+    held = [(np.zeros(0, "u8"), np.zeros(0, "i8"))]
     for name in files:
-        if name is None:
-            levels.append(Level(*[np.zeros(0, k) for k in ("u8", "i8", "u8", "i8")]))
-            continue
         with common.open_in(name) as f:
-            levels.append(Level(*_load(f.read(), "u8", "i8", "u8", "i8")))
-    return Trie(levels)
-
-
-def train(docs: DataFrame, use: Column, order: int = ORDER, depth: int = DEPTH) -> tuple[str | None, ...]:
-    """Count the contexts of the texts where ``use`` holds and write one file per order."""
-    spark = docs.sparkSession
-    schema = pa.schema([("level", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, texts in chunks((words_of(t),) for t, in common.rows(batches, "text")):
-            held.append(np.unique(contexts(texts, order)[0], return_counts=True))
-            if sum(len(k) for k, _ in held) > _HELD:
-                held = [merged(held)]
-                if len(held[0][0]) > _HELD // 2:
-                    yield from _counted(*held[0], order, schema)
-                    held = []
-        if held:
-            yield from _counted(*merged(held), order, schema)
-
-    counts = (
-        docs.where(use).select("text").mapInArrow(count, "level int, key long, n long")
-        .groupBy("level", "key").agg(F.sum("n").alias("n"))
-    )
-    counts = stage(counts, "contexts")
-    total = counts.where("level = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = F.lit(max(1.0, total / 2.0**depth))
-    totals = counts.groupBy("level", F.shiftrightunsigned("key", 8).alias("key")).agg(F.sum("n").alias("n"))
-    nodes = counts.withColumn("context", F.lit(False)).union(totals.withColumn("context", F.lit(True)))
-    folder = stage_path(spark, "trie")
-
-    def write(table: pa.Table) -> pa.Table:
-        level = table.column("level")[0].as_py()
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        context = table.column("context").to_numpy(zero_copy_only=False).astype(bool)
-        name = f"{folder}/order-{level}-{uuid.uuid4().hex}.trie"
-        with common.open_out(name) as f:
-            f.write(_dump(key[~context].view(np.uint64), n[~context], key[context].view(np.uint64), n[context]))
-        return pa.table({"level": pa.array([level], pa.int32()), "file": [name]})
+            held.append(tuple(_load(f.read(), "u8", "i8")))
+    keys, counts = merged(held)
+    levels = []
+    for order in range(base - 1, -1, -1):
+        if order < base - 1:
+            keys, counts = shorter(keys, counts, order)
+        levels.append(level(keys, counts, least))
+    return levels[::-1]
 
-    # at most 2**depth nodes and contexts per order reach its task
-    made = nodes.where(F.col("n") >= least).groupBy("level").applyInArrow(write, "level int, file string")
-    files: dict[int, str] = {r["level"]: r["file"] for r in made.collect()}
-    return tuple(files.get(k) for k in range(order + 1))
 
+def count_contexts(parts: DataFrame, order: int) -> DataFrame:
+    """(part, key, n): the contexts of each part of (part, text, held_out), and how often its
+    training texts have them; a part may report a context in several rows."""
+    schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
-def _counted(keys: np.ndarray, counts: np.ndarray, order: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for level in range(order, -1, -1):
-        if level < order:
-            keys, counts = shorter(keys, counts, level)
+    def emit(part: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 100_000):
             k, n = keys[at : at + 100_000], counts[at : at + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(k), level, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))],
-                schema=schema,
+                [pa.array(np.full(len(k), part, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], schema=schema
             )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in groupby(common.rows(batches, "part", "text", "held_out"), lambda r: r[0]):
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for out, texts in chunks((held_out, words_of(t)) for _, t, held_out in own):
+                keys, sizes = contexts(texts, order)
+                learned = np.repeat([not x for x, in out], sizes)
+                distinct, at = np.unique(keys, return_inverse=True)
+                held.append((distinct, np.bincount(at, learned, len(distinct)).astype(np.int64)))
+                if sum(len(k) for k, _ in held) > _HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > _HELD // 2:
+                        yield from emit(part, *held[0])
+                        held = []
+            if held:
+                yield from emit(part, *merged(held))
+
+    return parts.select("part", "text", "held_out").mapInArrow(count, "part int, key long, n long")
+
+
+def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None) -> DataFrame:
+    """(part, codes): for each part a file with its contexts in order and the log10 probability of each."""
+    spark = parts.sparkSession
+    counts = stage(count_contexts(parts, order), "contexts")
+    base = min(order, LOW)
+    folder = stage_path(spark, "codes")
+
+    def write_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if tables:
+            table = pa.concat_tables(tables)
+            name = f"{folder}/low-{uuid.uuid4().hex}.counts"
+            with common.open_out(name) as f:
+                f.write(_dump(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()))
+            n = int(table.column("n").to_numpy().sum())
+            yield pa.RecordBatch.from_pydict({"file": [name], "n": [n]})
+
+    low = counts.where("n > 0").groupBy(F.col("key").bitwiseAND((1 << 8 * max(base, 1)) - 1).alias("key"))
+    made = low.agg(F.sum("n").alias("n")).mapInArrow(write_low, "file string, n long").collect()
+    files = tuple(sorted(r["file"] for r in made)) if base else ()
+    least = 1.0 if depth is None else max(1.0, sum(r["n"] for r in made) / 2.0**depth)
+    schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("code", pa.float64())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["shard"], _CODED):
+            part, n = table.column("part").to_numpy(), table.column("n").to_numpy()
+            distinct, at = np.unique(table.column("key").to_numpy().view(np.uint64), return_inverse=True)
+            counted = np.bincount(at, n, len(distinct)).astype(np.int64)
+            held = distinct[counted > 0], counted[counted > 0]
+            levels = []
+            for k in range(order, base - 1, -1):
+                if k < order:
+                    held = shorter(*held, k)
+                levels.append(level(*held, least))
+            codes = Trie([*_low_levels(files, base, least), *levels[::-1]]).log10(distinct)
+            for x in range(0, len(part), 100_000):
+                own = at[x : x + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[x : x + 100_000]), pa.array(distinct[own].view(np.int64)), pa.array(codes[own])],
+                    schema=schema,
+                )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, f = None, None
+        for batch in batches:
+            parts_ = batch.column("part").to_numpy()
+            rows = np.empty(len(parts_), _CODES)
+            rows["key"], rows["code"] = batch.column("key").to_numpy().view(np.uint64), batch.column("code").to_numpy()
+            for own in np.split(np.arange(len(parts_)), np.flatnonzero(np.diff(parts_)) + 1):
+                if not len(own):
+                    continue
+                if parts_[own[0]] != part:
+                    if f:
+                        f.close()
+                    part = parts_[own[0]]
+                    name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.codes"
+                    f = common.open_out(name)
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "codes": [name]})
+                f.write(rows[own].tobytes())
+        if f:
+            f.close()
+
+    # a shard holds all nodes of the contexts that end in its bytes
+    shard = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * base) - 1)
+    dealt = counts.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard")
+    coded = dealt.mapInArrow(code, "part int, key long, code double")
+    coded = coded.repartition("part").sortWithinPartitions("part", "key")
+    return stage(coded.mapInArrow(write, "part int, codes string"), "code-files")
+
+
+@lru_cache(maxsize=1)
+def _codes(file: str) -> tuple[np.ndarray, np.ndarray]:
+    with common.open_in(file) as f:
+        rows = np.frombuffer(f.read(), _CODES)
+    return np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["code"])
+
 
 # --- words -------------------------------------------------------------------------
 
@@ -290,8 +353,11 @@ def word_files(parts: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=1)
-def _word_logs(file: str) -> dict[bytes, float]:
-    """log10(count + 1) of the words of a part; 0 for a word that the training corpus lacks."""
+def _word_logs(file: str | None) -> dict[bytes, float]:
+    """log10(count + 1) of the words of a part; 0 for a word that the training corpus lacks.
+    A part without words has no file."""
+    if file is None:
+        return {}
     with common.open_in(file) as f:
         data = f.read()
     counts, = _load(data, "i8")
@@ -302,14 +368,14 @@ def _word_logs(file: str) -> dict[bytes, float]:
 # --- scores ------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, held_out: Column, order: int = ORDER, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = ORDER, depth: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     ``held_out`` is a condition on doc_id; all other documents train both models.
     """
     plain = common.texts(docs).withColumn("held_out", held_out).withColumn("part", F.spark_partition_id())
     parts = stage(plain, "parts")
-    trie_files = train(parts, ~F.col("held_out"), order, depth)
+    codes = code_files(parts, order, depth)
     words = word_files(parts.select("part", "text", "held_out"))
     sums = words.agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
     ends = parts.where(~F.col("held_out")).count()
@@ -321,24 +387,28 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, depth: int = DE
     ])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trie(trie_files)
-
-        def rows() -> Iterator[tuple]:
-            for doc_id, out, text, file in common.rows(batches, "doc_id", "held_out", "text", "file"):
-                own = words_of(text)
-                get = _word_logs(file)
-                logs = [get[w] for w in own]
-                known = len(logs) - logs.count(0.0) + (ends > 0)
-                base = sum(logs) + log_end - (len(own) + 1) * log_all
-                yield doc_id, out, len(own) + 1, known, n_train, base, own
-
-        for other, texts in chunks(rows()):
-            scores = model.score(texts).tolist()
-            yield common.to_batch([(*o, s) for o, s in zip(other, scores, strict=True)], schema)
-
-    # one row per part: the broadcast is bounded by the number of parts
-    named = parts.join(F.broadcast(words.select("part", "file")), "part")
-    return named.select("doc_id", "held_out", "text", "file").mapInArrow(
+        names = "doc_id", "held_out", "text", "file", "codes"
+        for (file, codes_file), part in groupby(common.rows(batches, *names), lambda r: r[3:]):
+            get, (known_keys, code) = _word_logs(file), _codes(codes_file)
+
+            def rows(part: Iterator[tuple] = part, get: dict[bytes, float] = get) -> Iterator[tuple]:
+                for doc_id, out, text, *_ in part:
+                    own = words_of(text)
+                    logs = [get[w] for w in own]
+                    known = len(logs) - logs.count(0.0) + (ends > 0)
+                    base = sum(logs) + log_end - (len(own) + 1) * log_all
+                    yield doc_id, out, len(own) + 1, known, n_train, base, own
+
+            for other, texts in chunks(rows()):
+                keys, sizes = contexts(texts, order)
+                distinct, at = np.unique(keys, return_inverse=True)
+                each = code[np.searchsorted(known_keys, distinct)][at]
+                scores = np.add.reduceat(each, np.cumsum(sizes) - sizes).tolist()
+                yield common.to_batch([(*o, s) for o, s in zip(other, scores, strict=True)], schema)
+
+    # one row per part: the broadcasts are bounded by the number of parts
+    named = parts.join(F.broadcast(codes), "part").join(F.broadcast(words.select("part", "file")), "part", "left")
+    return named.select("doc_id", "held_out", "text", "file", "codes").mapInArrow(
         rate,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
