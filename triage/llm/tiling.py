@@ -20,6 +20,7 @@ item id is an id like others; each row of documents is compared on its own.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +38,7 @@ RUN = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 16 << 20
 _PAIRS = 1_000_000
+_PILE = 64 << 20  # bytes of documents compared with a block at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 HITS = "array<struct<item_id: long, coverage: double, n_tiles: int, n_words: int>>"
@@ -174,24 +176,31 @@ class Benchmark:
 
 
 def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHARS) -> list[str]:
-    """The items in files of at most ``chars`` characters (or one item) in the shared folder."""
+    """The items in files of at most ``chars`` characters (or one item) in the shared folder, written by the tasks."""
     folder = stage_path(benchmark.sparkSession, "benchmark")
-    files, held, size = [], [], 0
 
-    def flush() -> None:
-        files.append(f"{folder}/block-{len(files):06d}.json")
-        with common.open_out(files[-1]) as f:
+    def save(held: list[tuple]) -> pa.RecordBatch:
+        name = f"{folder}/block-{uuid.uuid4().hex}.json"
+        with common.open_out(name) as f:
             f.write(json.dumps(held).encode())
-
-    for item_id, text in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
-        if held and size + len(text or "") > chars:
-            flush()
-            held, size = [], 0
-        held.append((item_id, text))
-        size += len(text or "")
-    if held:
-        flush()
-    return files
+        return pa.RecordBatch.from_pydict({"file": [name]})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for item_id, text in common.rows(batches, "item_id", "text"):
+            if held and size + len(text or "") > chars:
+                yield save(held)
+                held, size = [], 0
+            held.append((item_id, text))
+            size += len(text or "")
+        if held:
+            yield save(held)
+
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    # as many tasks as blocks are needed, so that small partitions do not make small blocks
+    made = items.repartition(int(total // chars) + 1).mapInArrow(write, "file string")
+    return sorted(r["file"] for r in made.collect())
 
 
 @lru_cache(maxsize=1)
@@ -200,6 +209,19 @@ def _block(file: str, run: int) -> Benchmark:
         return Benchmark(json.loads(f.read()), run)
 
 
+def piles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about ``size`` bytes together: a block is read and indexed once for them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     run: int = RUN, coverage: float = COVERAGE, name: str = "hits", block_chars: int = BLOCK_CHARS,
@@ -209,12 +231,14 @@ def contamination(
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(HITS))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        for pile in piles(batches, _PILE if len(files) > 1 else 0):
+            found: list[list[list[dict]]] = [[[] for _ in range(batch.num_rows)] for batch in pile]
             for file in files:
                 items = _block(file, run)
-                for own, (text,) in zip(found, common.rows([batch], text_col), strict=True):
-                    own += items.hits(text, coverage)
-            yield batch.append_column(name, pa.array(found, _HITS))
+                for batch, lists in zip(pile, found, strict=True):
+                    for own, (text,) in zip(lists, common.rows([batch], text_col), strict=True):
+                        own += items.hits(text, coverage)
+            for batch, lists in zip(pile, found, strict=True):
+                yield batch.append_column(name, pa.array(lists, _HITS))
 
     return docs.mapInArrow(compare, schema)
