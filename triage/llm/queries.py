@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import lines, packing, pii, ppm, records, simhash, tiling, tokens, topk, toxicity, warc
+from triage.llm import lines, packing, periodic, pii, ppm, records, simhash, tiling, tokens, topk, toxicity, warc
 from triage.llm.common import fold, ship, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,27 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of every document's words, and its text without what they repeat."""
+    docs = texts(table(spark, sf, "documents")).withColumn("text", periodic.repeated(F.col("text"), F.col("doc_id")))
+    found = periodic.collapse(docs, name="runs")
+    # the greatest exact quotient first: quotients are compared by cross products
+    ahead = lambda a, b: (
+        F.when(a["length"] * b["period"] != b["length"] * a["period"], F.sign(b["length"] * a["period"] - a["length"] * b["period"]))
+        .when(a["start"] != b["start"], F.sign(a["start"] - b["start"]))
+        .otherwise(F.sign(a["period"] - b["period"])).cast("int")
+    )
+    best = F.get(F.array_sort("runs", ahead), F.lit(0))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
