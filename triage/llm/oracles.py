@@ -108,3 +108,46 @@ SELECT any_value(d.doc_id) AS doc_id,
 FROM docs d LEFT JOIN good g ON d.row_no = g.row_no
 GROUP BY d.row_no
 """
+
+# crc32 has no function there: a fold over bytes and bits.
+ORACLES["op12_periodic_runs"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_no, doc_id,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+               string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END),
+               4294967295) AS h
+    FROM documents
+), placed AS (
+    SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM docs
+), changed AS (
+    SELECT row_no, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END])
+        ELSE w END AS w FROM placed
+), words AS (
+    SELECT row_no, n, unnest(range(n)) AS i, unnest(w) AS word FROM changed
+), pairs AS (
+    SELECT y.row_no, y.i - x.i AS lag, y.i
+    FROM words x JOIN words y ON x.row_no = y.row_no AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= y.n
+), stretches AS (
+    SELECT row_no, lag, min(i) - lag AS start, count(*) + lag AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY row_no, lag ORDER BY i) AS g FROM pairs)
+    GROUP BY row_no, lag, g HAVING count(*) + lag >= greatest(6, 4 * lag)
+), runs AS (
+    SELECT row_no, start, length, min(lag) AS period FROM stretches GROUP BY ALL
+), dropped AS (
+    SELECT DISTINCT row_no, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+    SELECT w.row_no, string_agg(word, ' ' ORDER BY i) AS text FROM words w ANTI JOIN dropped d USING (row_no, i) GROUP BY w.row_no
+), listed AS (
+    SELECT row_no, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY row_no
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS place FROM runs
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM changed c LEFT JOIN listed l ON c.row_no = l.row_no LEFT JOIN kept k ON c.row_no = k.row_no
+LEFT JOIN best b ON c.row_no = b.row_no AND b.place = 1
+"""
