@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import lines, packing, periodic, pii, ppm, records, simhash, tiling, tokens, topk, toxicity, warc
+from triage.llm import html, lines, packing, periodic, pii, ppm, records, simhash, tiling, tokens, topk, toxicity, warc
 from triage.llm.common import fold, ship, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,10 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_runs", "best.start", "best.length", "best.period",
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query
+def op13_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
