@@ -109,6 +109,37 @@ FROM docs d LEFT JOIN good g ON d.row_no = g.row_no
 GROUP BY d.row_no
 """
 
+_TERMS = (
+    "regexp_extract_all(" + _LOWER.format("coalesce(text, '')")
+    + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+ORACLES["op11_ranked_search"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_no, doc_id, {_TERMS} AS terms FROM documents
+), items AS (
+    SELECT row_number() OVER () AS item_no, item_id, {_TERMS} AS terms FROM benchmark
+), sums AS (
+    SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM docs WHERE len(terms) > 0
+), asked AS (
+    SELECT item_no, term, count(*) AS times FROM (SELECT item_no, unnest(terms) AS term FROM items) GROUP BY ALL
+), held AS (
+    SELECT row_no, n, term, count(*) AS tf
+    FROM (SELECT row_no, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM held, sums GROUP BY term
+), scored AS (
+    SELECT item_no, row_no,
+           CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)))) AS BIGINT) AS score
+    FROM held JOIN asked USING (term) JOIN weights USING (term), sums GROUP BY ALL
+), ranked AS (
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id, row_no) AS INTEGER) AS rank
+    FROM scored JOIN docs USING (row_no) JOIN items USING (item_no) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 # crc32 has no function there: a fold over bytes and bits.
 ORACLES["op12_periodic_runs"] = r"""
 WITH docs AS (

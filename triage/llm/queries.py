@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.llm import html, lines, packing, periodic, pii, ppm, records, simhash, tiling, tokens, topk, toxicity, warc
+from triage.llm import html, lexical, lines, packing, periodic, pii, ppm, records, simhash, tiling, tokens, topk, toxicity, warc
 from triage.llm.common import fold, ship, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,13 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    found = lexical.top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Periodic runs of every document's words, and its text without what they repeat."""
