@@ -56,20 +56,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group with similarity 0.8 or more over
-    shingles of five words. Rows that repeat an id and its text leave one row; rows with a null id stay."""
+    """One document of each group of near copies as in op1: fingerprints over shingles of three words,
+    linked at three differing bits or fewer. The smallest id stays (a null id is the greatest)."""
     kept, row = _marked(docs)
     kept = stage(kept, "numbered-docs")
-    known = kept.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text", F.col("doc_id").alias("id"))
-    # texts are compared under their row numbers, since an id may repeat with another text
-    found = stage(simhash.near_duplicates(known, width=5, similarity=0.8), "copies")
-    grouped = found.join(known.select("doc_id", "id"), "doc_id")
-    first = grouped.groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("first"))
-    losers = (
-        grouped.join(first, "component_id").where(F.col("doc_id") != F.col("first.doc_id"))
-        .select(F.col("doc_id").alias(row))
-    )
-    return kept.join(losers, row, "left_anti").select(*docs.columns)
+    # fingerprints go under row numbers, since ids may repeat
+    prints = simhash.fingerprints(kept.select(F.col(row).alias("doc_id"), "text"), width=3)
+    found = simhash.classes(prints, max_diff=3).select(F.col("doc_id").alias(row), "component_id")
+    known = found.join(kept.select(row, "doc_id"), row)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = known.groupBy("component_id").agg(F.min(order).alias("first"))
+    return kept.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 @_stage
