@@ -4,10 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline as cp
 from test_lines_warc import kept
-from triage.llm import common, simhash, tiling, tokens, toxicity
+from triage.llm import common, tiling, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,12 +55,20 @@ def test_lines(steps):
     assert all(r.n_chars == len(r.text) for r in after.values())
 
 
+def fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_copies(steps):
     before, after = (rows(x) for x in steps["simhash_near_dedup"])
-    shingles = {i: set(simhash.shingle_hashes(r.text, 5).tolist()) for i, r in before.items()}
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    prints = {i: fingerprint(r.text) for i, r in before.items()}
     ids = sorted(before)
-    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if alike(shingles[i], shingles[j]) >= 0.8]
+    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if (prints[i] ^ prints[j]).bit_count() <= 3]
     assert pairs and not any(i in after and j in after for i, j in pairs)
     group = {i: i for i in ids}
     for _ in ids:  # smallest id of each group
@@ -95,7 +104,7 @@ def test_odd_rows_pass_through(spark):
     out = cp.drop_lines(spark, docs, SF)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t or "") for i, t, *_ in odd)
     left = Counter((r.doc_id, r.text) for r in cp.drop_copies(spark, docs, SF).collect())
-    assert left == Counter([(1, text), (1, "other words here"), (None, text), (2, None)])
+    assert left == Counter([(1, text), (1, "other words here"), (2, None)])
     assert cp.drop_benchmark(spark, docs, SF).count() == 7
     assert cp.pack(spark, docs, SF).count() == 7
     none = docs.where("false")

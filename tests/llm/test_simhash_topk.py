@@ -96,47 +96,6 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{500 + i: 500 for i in range(301)}}
 
 
-@pytest.mark.parametrize("max_bucket", [3, 8192])
-def test_near_duplicates(spark, max_bucket):
-    random.seed(9)
-    vocabulary = [f"v{i}" for i in range(3000)]
-    rows, groups = [], []
-    for g in range(30):
-        base = random.choices(vocabulary, k=random.randint(100, 500))
-        own = [base]
-        for _ in range(random.randint(0, 6)):
-            copy = list(base)
-            for _ in range(len(base) // 120):
-                copy[random.randrange(len(copy))] = "changed"
-            own.append(copy)
-        groups.append(range(len(rows), len(rows) + len(own)))
-        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate(own)]
-    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, " \n"), (len(rows) + 3, "short one"), (None, "short one")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, max_bucket=max_bucket).collect()}
-    for own in groups:
-        for i in own:
-            if max_bucket > 3:  # tiny buckets are only checked for false links
-                assert got.get(i, i) == own[0]
-            assert got.get(i, i) in own
-    n = len(rows)
-    assert got[n - 5] == got[n - 4] == got[n - 3] == n - 5 and n - 2 not in got
-
-
-def test_estimate_follows_the_similarity():
-    random.seed(2)
-    base = [f"u{i}" for i in range(600)]
-    for changes in (0, 4, 12, 40):
-        copy = list(base)
-        for i in random.sample(range(600), changes):
-            copy[i] = f"c{i}"
-        (_, a, n), (_, b, m) = simhash.sketch(" ".join(base), 5), simhash.sketch(" ".join(copy), 5)
-        wide = np.frombuffer(a + b, dtype="<u8").reshape(2, -1)
-        true = simhash.jaccard(" ".join(base), " ".join(copy), 5)
-        guess = simhash.estimate(wide, np.array([n, m], float), 0, np.array([1]))[0]
-        assert abs(guess - true) < 0.12 and (changes or guess == true == 1)
-
-
 def test_tree_joins_by_the_greatest_similarity():
     random.seed(3)
     base = [f"t{i}" for i in range(300)]

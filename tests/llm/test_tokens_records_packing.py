@@ -6,12 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from triage.llm import packing, records, tokens
 
 TEXTS = [
     "One two  three.\nFour, five\n\nsix ", "", None, "naïve 日本語 ’s it's 12345", " lead", "trail\n", "\n", "a\tb \t c",
-    "<|endoftext|> plain", "x" * 5000, "word " * 3000, " 　 \x1c᠎ end", "one two three", "one two three",
+    "<|endoftext|> plain", "in<|endoftext|>side", "<|endoftext|>", "x" * 5000, "word " * 3000, " 　 \x1c᠎ end", "one two three", "one two three",
 ]
 
 
@@ -20,8 +21,14 @@ def encoder():
     return tokens.Encoder(tokens.vocabulary_path())
 
 
-def library_ids(encoder, text):
-    return [*encoder.library.encode(text or "", add_special_tokens=False).ids, tokens.END_ID]
+@pytest.fixture(scope="module")
+def library():
+    """The library as it comes, with a tokenizer of its own."""
+    return Tokenizer.from_file(tokens.vocabulary_path())
+
+
+def library_ids(library, text):
+    return [*library.encode(text or "", add_special_tokens=False).ids, tokens.END_ID]
 
 
 def crc(ids):
@@ -30,16 +37,34 @@ def crc(ids):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i * 3 % 11 if i < 12 else None, t, "c", i) for i, t in enumerate(TEXTS)]
+    rows = [(i * 3 % 11 if i < 14 else None, t, "c", i) for i, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, "doc_id long, text string, length string, part int").repartition(3)
 
 
-def test_encoder_equals_library(encoder):
+END = "<|endoftext|>"
+
+
+def test_encoder_equals_library(encoder, library, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 500)
     random.seed(3)
     parts = ["a", "bc", " ", " ", "\n", "\t", "é", "22", ".", ",", "'s", "　", "᠎", "\x85", "日", "\r\n", "!!", "😀"]
     texts = ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(4000)]
+    texts += ["".join(random.choices([*parts, END, "<|endof", "text|>"], k=random.randint(0, 9))) for _ in range(1000)]
+    texts += [END, f"{END} a", f"a {END}", f"a b{END}c d", END * 3, f"\n{END}\n", END[1:], END.upper()]
+    words = ["".join(random.choices("abcdeé.,\n", k=random.randint(1, 9))) for _ in range(3000)]
+    texts += [" ".join(random.choices(words, k=60)) for _ in range(300)]
     for text, raw in zip(texts, encoder.encode_all(texts), strict=True):
-        assert raw == encoder._whole(text), repr(text)
+        assert raw == np.array(library_ids(library, text)[:-1], dtype="<u4").tobytes(), repr(text)
+    assert library_ids(library, END) == [50256, tokens.END_ID]
+
+
+def test_store_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 100)
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    for n in range(50):
+        encoder.encode(" ".join(f"word{n}x{i}" for i in range(60)) + " " + "y" * 1000)
+        assert len(encoder.young) <= 200 and len(encoder.old) <= 200
+        assert not any(len(p) > tokens.KEPT_CHARS for p in encoder.young)
 
 
 def test_record_frames_find_damage():
@@ -53,12 +78,12 @@ def test_record_frames_find_damage():
             records.unframe(bytes(bad))
 
 
-def test_records_round_trip(spark, docs, encoder):
+def test_records_round_trip(spark, docs, library):
     index = records.write(docs, tokens.vocabulary_path(), file_bytes=2000)
     assert index.select("file").distinct().count() > 1
     got = records.with_start(records.read(index), index).collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter(
-        (r.doc_id, tuple(library_ids(encoder, r.text))) for r in docs.collect()
+        (r.doc_id, tuple(library_ids(library, r.text))) for r in docs.collect()
     )
     start, last = 0, None
     for r in sorted(got, key=lambda r: r.start):
@@ -84,12 +109,12 @@ def check_packed(rows, capacity):
     return bins
 
 
-def test_packing(spark, docs, encoder):
+def test_packing(spark, docs, library):
     got = packing.pack(packing.pieces(docs, tokens.vocabulary_path())).collect()
     bins = check_packed(got, 1024)
     want = Counter()
     for r in docs.collect():
-        ids = library_ids(encoder, r.text)
+        ids = library_ids(library, r.text)
         for n, (start, length) in enumerate(packing.cut(len(ids), 1024)):
             want[(r.doc_id, n, start, length, crc(ids[start : start + length]))] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want

@@ -6,7 +6,8 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -86,6 +87,30 @@ def open_in(uri: str):
     return store.open_input_file(path)
 
 
+# Stores of a worker process by the module that fills them, and the module that used its own last.
+_stores: dict[str, list] = {}
+_using = [""]
+
+
+def worker_store(fn: Callable) -> Callable:
+    """One result of ``fn`` kept per worker, until an operator of another module needs a store: the
+    stages of a pipeline share the workers, and what one has loaded should not outlive it."""
+    kept = lru_cache(maxsize=1)(fn)
+    _stores.setdefault(fn.__module__, []).append(kept)
+
+    @wraps(fn)
+    def get(*args):
+        if _using[0] != fn.__module__:
+            for module, stores in _stores.items():
+                if module != fn.__module__:
+                    for store in stores:
+                        store.cache_clear()
+            _using[0] = fn.__module__
+        return kept(*args)
+
+    return get
+
+
 _shipped: set[str] = set()
 
 

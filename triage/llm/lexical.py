@@ -31,7 +31,6 @@ import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +114,7 @@ class Items:
             self.counts.append(np.array(list(counted.values()), dtype=np.int64))
 
 
-@lru_cache(maxsize=1)
+@common.worker_store
 def _items(file: str) -> Items:
     return Items(_read(file))
 

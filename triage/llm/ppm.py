@@ -31,7 +31,6 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -183,7 +182,7 @@ def level(keys: np.ndarray, counts: np.ndarray, least: float) -> Level:
     return Level(keys[keep], counts[keep], contexts_, np.bincount(at, counts, len(contexts_)))
 
 
-@lru_cache(maxsize=1)
+@common.worker_store
 def _low_levels(files: tuple[str, ...], base: int, least: float) -> list[Level]:
     """The levels of the orders below ``base`` from files of the counts of the last of them."""
     held = [(np.zeros(0, "u8"), np.zeros(0, "i8"))]
@@ -300,7 +299,7 @@ def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None) -
     return stage(coded.mapInArrow(write, "part int, codes string"), "code-files")
 
 
-@lru_cache(maxsize=1)
+@common.worker_store
 def _codes(file: str) -> tuple[np.ndarray, np.ndarray]:
     with common.open_in(file) as f:
         rows = np.frombuffer(f.read(), _CODES)
@@ -352,7 +351,7 @@ def word_files(parts: DataFrame) -> DataFrame:
     return stage(rows.groupBy("part").applyInArrow(write, "part int, file string, n long, distinct long"), "word-files")
 
 
-@lru_cache(maxsize=1)
+@common.worker_store
 def _word_logs(file: str | None) -> dict[bytes, float]:
     """log10(count + 1) of the words of a part; 0 for a word that the training corpus lacks.
     A part without words has no file."""

@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -203,7 +202,7 @@ def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, chars: int =
     return sorted(r["file"] for r in made.collect())
 
 
-@lru_cache(maxsize=1)
+@common.worker_store
 def _block(file: str, run: int) -> Benchmark:
     with common.open_in(file) as f:
         return Benchmark(json.loads(f.read()), run)

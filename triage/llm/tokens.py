@@ -4,8 +4,9 @@ The vocabulary cuts a text before it merges bytes: a single space between two ch
 are not white space starts a new piece, a single line feed is a piece, and a full stop or comma
 after a letter or digit starts one. A text is cut at those places and the ids of each distinct
 part are kept, so that the library sees a word once per worker and not once per occurrence.
-Texts with other white space beside a space or line feed go to the library whole. Both ways
-give the library's ids (``tests/llm/test_tokens.py``).
+Texts with other white space beside a space or line feed go to the library whole, and so do
+texts that hold an added token such as the end-of-text string, which the library makes one id.
+Both ways give the library's ids (``tests/llm/test_tokens_records_packing.py``).
 """
 
 from __future__ import annotations
@@ -13,22 +14,35 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from triage.llm import common
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-# Entries kept per worker; the store is emptied beyond, which costs time and no result.
-KEPT_PIECES = 1_000_000
+# Parts kept per worker, in two generations: once the young one is full, it is the old one, and what
+# is met again moves to the new young one. So frequent words stay and memory is bounded.
+KEPT_PIECES = 400_000
+KEPT_CHARS = 48  # longer parts are kept for their slice only
 _ODD = re.compile("[\\s\u180e][ \n]|[ \n][\\s\u180e]|\\A[\\s\u180e]|(?:[^\\S\n]|\u180e)\\Z")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _NEWLINE = 198
-_STOPS = (".", ",")
+_STOPS = frozenset(".,")
 # Characters cut at a time, and characters of new parts in one text for the library.
-_SLICE = 1_000_000
+_SLICE = 4_000_000
 _JOINED = 8_000
 
 
+def _odd(text: str) -> bool:
+    """Whether white space stands where the cuts are not the vocabulary's."""
+    if text.replace("\n", "").isprintable():  # then the only white space is space and line feed
+        return text[:1] in (" ", "\n") and text != "" or text[-1:] == " " or any(p in text for p in _PAIRS)
+    return _ODD.search(text) is not None
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
@@ -37,56 +51,96 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # "<|endoftext|>" in a text is plain text
-        self.kept: dict[str, bytes] = {}
+        # texts that hold one of these as it stands go to the library whole
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.stops = {c: self._whole(c) for c in _STOPS}
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
+    def _uncut(self, text: str) -> bool:
+        return _odd(text) or any(t in text for t in self.added)
+
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text, in order. About a megabyte of text is cut at a time."""
-        held: list[list[str] | str] = []
+        """The ids of each text, in order. A few megabytes of text are cut at a time."""
+        held: list[str] = []
         size = 0
         for text in texts:
-            # a part stands for itself after a space, or after a line feed if it begins with one
-            held.append(text if _ODD.search(text) else ("\n" + text.replace("\n", " \n")).split(" "))
+            held.append(text)
             size += len(text)
             if size > _SLICE:
-                yield from self._encode_cut(held)
+                yield from self._encode_slice(held)
                 held, size = [], 0
-        yield from self._encode_cut(held)
-
-    def _encode_cut(self, held: list[list[str] | str]) -> Iterator[bytes]:
-        if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-        kept = self.kept
-        new: set[str] = set()
-        for x in held:
-            if not isinstance(x, str):
-                new.update(x)
-        self._learn([p for p in new if p not in kept])
-        for x in held:
-            # the line feed before a text is not part of it
-            yield self._whole(x) if isinstance(x, str) else b"".join([kept[p] for p in x])[4:]
+        yield from self._encode_slice(held)
+
+    def _encode_slice(self, held: list[str]) -> Iterator[bytes]:
+        whole = [self._uncut(t) for t in held]
+        cut = self._encode_cut([t for t, w in zip(held, whole, strict=True) if not w])
+        for text, w in zip(held, whole, strict=True):
+            yield self._whole(text) if w else next(cut)
+
+    def _encode_cut(self, texts: list[str]) -> Iterator[bytes]:
+        """Each distinct part is looked up once, and the ids are put together by places."""
+        if not texts:
+            return
+        # a part stands for itself after a space, or after a line feed if it begins with one
+        lines = pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n")
+        parts = pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        own = np.frombuffer(b"".join(ids), dtype="<u4")
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        out = own[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[parts.offsets.to_numpy()].tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield out[a + 1 : b].tobytes()  # the line feed before a text is not part of it
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
+        young, old = self.young, self.old
+        found: dict[str, bytes | None] = {}
+        new: list[str] = []
+        for part in parts:
+            ids = young.get(part)
+            if ids is None:
+                ids = old.get(part)
+                if ids is None:
+                    new.append(part)
+                else:
+                    young[part] = ids
+            found[part] = ids
+        self._learn(new, found)
+        young.update([(p, found[p]) for p in new if len(p) <= KEPT_CHARS])
+        if len(young) > KEPT_PIECES:
+            self.old, self.young = young, {}
+        return list(found.values())
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of new parts, many in one text with a line feed before each."""
-        kept = self.kept
-        stems: dict[str, None] = {}
+    def _learn(self, parts: list[str], found: dict[str, bytes | None]) -> None:
+        """Ids of new parts to ``found``, many in one text with a line feed before each."""
+        stems: dict[str, bytes | None] = {}
         for part in parts:
-            stem = part[:-1] if part[-1:] in _STOPS and part[-2:-1].isalnum() else part
-            if stem not in kept:
-                stems[stem] = None
+            if part[-1:] in _STOPS and part[-2:-1].isalnum():
+                part = part[:-1]
+                if part not in stems:
+                    stems[part] = found.get(part) or self.young.get(part) or self.old.get(part)
+            else:
+                stems[part] = None
         blocks: list[list[str]] = [[]]
         size = 0
-        for stem in stems:  # short texts: the library's time grows faster than a text's length
-            if stem.endswith(("\n", " ")) or not stem:
-                kept[stem] = self._whole(stem if stem.startswith("\n") else " " + stem)
+        for stem, known in stems.items():  # short texts: the library's time grows faster than a text's length
+            if known is not None:
+                continue
+            if not stem or stem[-1] in "\n ":
+                stems[stem] = self._whole(stem if stem.startswith("\n") else " " + stem)
                 continue
             blocks[-1].append(stem)
             size += len(stem) + 2
@@ -102,13 +156,14 @@ class Encoder:
                 raise ValueError("a line feed is not one id of its own in this vocabulary")
             raw, begins = ids.tobytes(), (begins * 4).tolist()
             for stem, begin, end in zip(block, begins, [*begins[1:], len(raw)], strict=True):
-                kept[stem] = raw[begin:end] if stem[0] == "\n" else raw[begin + 4 : end]
+                stems[stem] = raw[begin:end] if stem[0] == "\n" else raw[begin + 4 : end]
+        stops = self.stops
         for part in parts:
-            if part not in kept:
-                kept[part] = kept[part[:-1]] + self.stops[part[-1]]
+            ids = stems.get(part)
+            found[part] = stems[part[:-1]] + stops[part[-1]] if ids is None else ids
 
 
-@lru_cache(maxsize=2)
+@common.worker_store
 def encoder(path: str) -> Encoder:
     """One encoder per worker process."""
     return Encoder(path)

@@ -25,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -213,7 +213,7 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> str:
     return rows.repartition(1).mapInArrow(learn, "file string").first()["file"]
 
 
-@lru_cache(maxsize=2)
+@common.worker_store
 def _machine(file: str) -> Machine:
     with common.open_in(file) as f:
         return Machine.load(f.read())
