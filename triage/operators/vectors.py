@@ -4,22 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from triage.functions.scale import broadcast_if_small, stage
 from triage.functions.vectors import embedder
 from triage.operators.chunks import build_chunks
+from triage.operators.search import CHUNK_BLOCK, QUERY_BLOCK, CellSearch
 from triage.sources.tables import unprocessed
 
 METRICS = ("cosine", "l2")
-# Rows of one block of the search; a block pair is one task-sized matrix product.
-CHUNK_BLOCK = 8192
-QUERY_BLOCK = 1024
 
 
 def embed(
@@ -77,101 +71,13 @@ def top_k(
     to ``digits`` before ranking, ties go to the smaller chunk id, and fewer than
     ``k`` chunks give fewer rows.
 
-    Both sides are dealt into blocks of bounded size and every block pair is one
-    matrix product that keeps only its own top k: neither the pairs nor a whole
-    scope are ever in one place. ``query_block`` queries per scope cost one copy
-    of the chunks in the shuffle.
+    Only cells whose bound reaches a query's k-th score are compared (``operators/search.py``).
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
     if k < 1:
         raise ValueError("k must be positive")
-    keys = list(scope)
-    q = queries.select(*keys, F.col(query_id).alias("_qid"), F.col(vector).alias("_qv")).where(
-        F.col(vector).isNotNull()
-    )
-    c = chunks.select(*keys, F.col(chunk_id).alias("_cid"), F.col(vector).alias("_cv")).where(
-        F.col(vector).isNotNull()
-    )
-    if keys:
-        qn = q.groupBy(*keys).agg(F.ceil(F.count("*") / query_block).cast("int").alias("_qb"))
-        cn = c.groupBy(*keys).agg(F.ceil(F.count("*") / chunk_block).cast("int").alias("_cb"))
-        # one row per scope; counted before it is broadcast
-        blocks = broadcast_if_small(stage(qn.join(cn, keys), "blocks"))
-        q, c = q.join(blocks, keys), c.join(blocks, keys)
-    else:
-        counts = {"_qb": -(-q.count() // query_block), "_cb": -(-c.count() // chunk_block)}
-        for name, n in counts.items():
-            q, c = q.withColumn(name, F.lit(n)), c.withColumn(name, F.lit(n))
-
-    def deal(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
-        """A block of its own side for every row, one copy per block of the other side."""
-        copies = F.when(F.col(f"_{other}b") > 0, F.sequence(F.lit(0), F.col(f"_{other}b") - 1))
-        return (
-            df.withColumn(f"_{own}i", F.pmod(F.xxhash64(row_id), F.col(f"_{own}b")).cast("int"))
-            .withColumn(f"_{other}i", F.explode(copies))
-            .drop("_qb", "_cb")
-        )
-
-    id_type, chunk_type = q.schema["_qid"].dataType, c.schema["_cid"].dataType
-    out = T.StructType(
-        [q.schema[k_] for k_ in keys]
-        + [
-            T.StructField("_qid", id_type),
-            T.StructField("_cid", chunk_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    pair = [*keys, "_qi", "_ci"]
-
-    search = _block_search([f.name for f in out], keys, k, metric, digits)
-    left = deal(q, "_qid", "q", "c").groupBy(*pair)
-    right = deal(c, "_cid", "c", "q").groupBy(*pair)
-    local = left.cogroup(right).applyInPandas(search, out)
-    best = W.partitionBy(*keys, "_qid").orderBy(F.col("score").desc(), "_cid")
-    return (
-        local.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select(*keys, F.col("_qid").alias(query_id), F.col("_cid").alias(chunk_id), "score", "rank")
-    )
-
-
-def _block_search(
-    columns: list[str], group: list[str], k: int, metric: str, digits: int
-) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Top k of one block pair. Built here so that tasks need no import of this package."""
-
-    def matrix(column: pd.Series) -> np.ndarray:
-        return np.asarray(column.tolist(), dtype=np.float64)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(length == 0, 1.0, length)
-
-    def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return unit(q) @ unit(c).T
-        squares = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :]
-        return 1.0 - (squares - 2.0 * (q @ c.T))
-
-    def search(key: tuple, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        cs = cs.sort_values("_cid", kind="stable")
-        score = scores(matrix(qs["_qv"]), matrix(cs["_cv"])).round(digits) + 0.0
-        n = min(k, score.shape[1])
-        # ids ascend along the columns, so a stable sort breaks ties by id
-        best = np.argsort(-score, axis=1, kind="stable")[:, :n]
-        rows = np.repeat(np.arange(len(qs)), n)
-        found = pd.DataFrame(
-            {
-                "_qid": qs["_qid"].to_numpy()[rows],
-                "_cid": cs["_cid"].to_numpy()[best.ravel()],
-                "score": score[rows, best.ravel()],
-            }
-        )
-        for name, value in zip(group, key):
-            found[name] = value
-        return found[columns]
-
-    return search
+    q = queries.select(*scope, F.col(query_id).alias("_qid"), F.col(vector).alias("_qv")).where(F.col(vector).isNotNull())
+    c = chunks.select(*scope, F.col(chunk_id).alias("_cid"), F.col(vector).alias("_cv")).where(F.col(vector).isNotNull())
+    found = CellSearch(q, c, k, metric, scope, digits, chunk_block, query_block).run()
+    return found.select(*scope, F.col("_qid").alias(query_id), F.col("_cid").alias(chunk_id), "score", "rank")
