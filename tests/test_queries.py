@@ -127,3 +127,69 @@ def test_index_stream_restarts_without_duplicates(spark, make_files, tmp_path):
     assert run() == held
     make_files({"old.py": "def o(): pass\n"}).drop("language").withColumn("ts", F.lit("1999-01-01").cast("timestamp")).write.mode("append").parquet(inbox)
     assert run() == [*held, ("old.py", "o")]
+
+
+def test_failure_ledger_adds_up_queries_and_counts_no_file_twice(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(n, hour):
+        rows = [(f"2024-01-01 {hour:02}:{i:02}:00", "failed", "E") for i in range(n)]
+        df = spark.createDataFrame(rows, "ts string, outcome string, exception_type string").coalesce(1)
+        df.withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(inbox)
+
+    def run(state):
+        stream = spark.readStream.schema("ts timestamp, outcome string, exception_type string").parquet(inbox)
+        stream = stream.withColumn("file", jobs.from_file())
+        jobs.count_failures(stream, out, str(tmp_path / state)).awaitTermination()
+        return {str(r.window_start)[11:13]: r.failures for r in jobs.current_counts(spark, out).collect()}
+
+    arrive(3, 0)
+    assert run("a") == {"00": 3}
+    arrive(4, 0)
+    # another checkpoint reads the first file again and goes on with the second
+    assert run("b") == {"00": 7}
+    assert run("a") == {"00": 7}
+    arrive(2, 5)
+    assert run("c") == {"00": 7, "05": 2}
+    assert run("b") == run("a") == {"00": 7, "05": 2}
+
+
+def test_streamed_index_knows_what_each_path_holds(spark, make_files, tmp_path, monkeypatch):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(day, contents):
+        there = {p: t for p, t in contents.items() if t is not None}
+        rows = make_files(there).drop("language")
+        gone = [("r", "c", p, 0, None) for p, t in contents.items() if t is None]
+        rows = rows.unionByName(spark.createDataFrame(gone, rows.schema)) if gone else rows
+        rows.withColumn("ts", F.lit(f"2024-01-{day:02}").cast("timestamp")).write.mode("append").parquet(inbox)
+
+    def run(state):
+        stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+        jobs.index_files(stream, out, str(tmp_path / state)).awaitTermination()
+        return sorted((r.path, r.name) for r in jobs.current(spark, out, "symbols").collect())
+
+    one, two = "def f(): pass\n", "def g(): pass\n"
+    arrive(1, {"a.py": one, "b.py": one, "e.py": ""})
+    assert run("s") == [("a.py", "f"), ("b.py", "f")]
+    arrive(2, {"a.py": two, "b.py": None})
+    assert run("s") == [("a.py", "g")]
+    arrive(3, {"a.py": one, "c.py": two})
+    assert run("s") == [("a.py", "f"), ("c.py", "g")]
+    assert {r.path for r in jobs.current(spark, out, "files").collect()} == {"a.py", "c.py", "e.py"}
+    # an older state that comes late changes nothing
+    arrive(2, {"c.py": "def old(): pass\n"})
+    assert run("s") == [("a.py", "f"), ("c.py", "g")]
+    # a batch dies when its tables are written but not its commit
+    arrive(4, {"a.py": two + one, "d.py": two})
+    with monkeypatch.context() as m:
+        m.setattr(jobs.im, "extract", lambda *a, **k: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            run("s")
+    assert sorted((r.path, r.name) for r in jobs.current(spark, out, "symbols").collect()) == [("a.py", "f"), ("c.py", "g")]
+    # another checkpoint goes on, then the first one: nothing is lost, nothing there twice
+    want = [("a.py", "f"), ("a.py", "g"), ("c.py", "g"), ("d.py", "g")]
+    assert run("t") == want
+    assert run("s") == want
+    arrive(5, {"d.py": None, "b.py": two})
+    assert run("t") == [("a.py", "f"), ("a.py", "g"), ("b.py", "g"), ("c.py", "g")]

@@ -49,11 +49,11 @@ def _statements(lines: str) -> Column:
     )
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Raw statements ``repo, commit_sha, path, language, pos, raw_import``. No shuffle."""
+def extract(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw statements ``repo, commit_sha, path, language, pos, raw_import`` (and ``keep``). No shuffle."""
     lined = let(files.where("language <> 'unknown'"), _lines=split_lines("content"))
     return lined.select(
-        "repo", "commit_sha", "path", "language",
+        "repo", "commit_sha", "path", "language", *keep,
         F.posexplode(_statements("_lines")).alias("pos", "raw_import"),
     )
 

@@ -33,22 +33,24 @@ def _symbols_of(lines: str) -> Column:
     )
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per symbol of ``files(repo, commit_sha, path, language, content)``.
 
     A narrow transformation: no shuffle, and a file is handled whole in its row.
     (The scan stands inside ``posexplode``: over a named column Spark would add a
     size filter and evaluate the scan a second time.)
-    ``pos`` is the position in the file; a nested class keeps its own name only.
+    ``pos`` is the position in the file; a nested class keeps its own name only. Columns
+    named in ``keep`` go along.
     """
     found = let(files.where("language <> 'unknown'"), _lines=split_lines("content"))
     body = line_range(F.col("_lines"), F.col("s.doc"), F.col("s.end"))
     return found.select(
-        "repo", "commit_sha", "path", "_lines", F.posexplode(_symbols_of("_lines")).alias("pos", "s")
+        "repo", "commit_sha", "path", *keep, "_lines", F.posexplode(_symbols_of("_lines")).alias("pos", "s")
     ).select(
         "repo",
         "commit_sha",
         "path",
+        *keep,
         "pos",
         F.col("s.name").alias("name"),
         F.when(F.col("s.parent").isNull(), F.col("s.name"))

@@ -702,3 +702,15 @@ _add("failure_stream", """WITH e AS (SELECT ts, 'E' || CAST(event_id % 3 AS VARC
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, kind AS exception_type, count(*) AS failures
 FROM e
 GROUP BY date_trunc('hour', ts), kind""")
+
+_add("failure_ledger", """WITH e AS (SELECT ts, 'E' || CAST(event_id % 3 AS VARCHAR) AS kind FROM events WHERE event_type = 'error'),
+w AS (SELECT date_trunc('hour', ts) AS start, kind FROM e UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, kind FROM e)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, kind AS exception_type, count(*) AS failures
+FROM w GROUP BY start, kind""")
+
+_add("current_stream", """WITH held AS (
+  SELECT repo, path, content FROM v_py WHERE path LIKE '%3.py'
+  UNION ALL SELECT n.repo, n.path, n.content FROM v_next n WHERE n.path NOT LIKE '%3.py' OR n.path LIKE 'new/%')
+SELECT repo, path, sha256(content) AS content_hash, CAST(len(string_split(content, chr(10))) AS INTEGER) AS line_count,
+       CAST(content LIKE '%    def run(self, x):%' AS BIGINT) AS runs
+FROM held""", "v_next")

@@ -567,6 +567,7 @@ def failure_stream(spark: SparkSession, sf: str) -> DataFrame:
     results = events.select(
         "ts", F.col("event_type").alias("outcome"),
         F.concat(F.lit("E"), (F.col("event_id") % 3).cast("string")).alias("exception_type"),
+        jobs.from_file().alias("file"),
     )
     out = stage_path(spark, "failure-counts")
     jobs.count_failures(results, out, f"{out}-state").awaitTermination()
@@ -588,6 +589,42 @@ def index_stream(spark: SparkSession, sf: str) -> DataFrame:
     late.write.mode("append").parquet(f"{out}/in")
     for state in ("state", "second-state"):
         jobs.index_files(stream, f"{out}/table", f"{out}/{state}").awaitTermination()
-    return jobs.read_streamed(spark, f"{out}/table/symbols").select(
+    return jobs.current(spark, f"{out}/table", "symbols").select(
         "repo", "path", "qualified_name", "start_line", "end_line"
     )
+
+
+@query
+def failure_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Failure counts of two queries with checkpoints of their own over input that grows between them."""
+    out = stage_path(spark, "failure-ledger")
+    events = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("outcome"))
+    for part in (0, 1):
+        # the second query sees the first one's files again and the other half of the events
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{out}/in")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{out}/in").select(
+            "ts", "outcome", F.concat(F.lit("E"), (F.col("event_id") % 3).cast("string")).alias("exception_type"),
+            jobs.from_file().alias("file"),
+        )
+        jobs.count_failures(
+            arriving, f"{out}/counts", f"{out}/state-{part}", window="2 hours", slide="1 hour"
+        ).awaitTermination()
+    return jobs.current_counts(spark, f"{out}/counts").select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "exception_type", "failures"
+    )
+
+
+@query
+def current_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """What a streamed index holds after edits, removals and returns to an earlier content, under two checkpoints."""
+    out = stage_path(spark, "current-stream")
+    old, new = view(spark, sf, "v_py"), view(spark, sf, "v_next").withColumn("commit_sha", F.lit("c1")).select("repo", "commit_sha", "path", "content")
+    gone = old.join(new, ["repo", "path"], "left_anti").withColumn("content", F.lit(None).cast("string"))
+    back = old.where("path like '%3.py'")
+    for day, rows, state in ((1, old, "a"), (2, new.unionByName(gone.select(new.columns)), "a"), (3, back, "b")):
+        rows.withColumn("ts", F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")).write.mode("append").parquet(f"{out}/in")
+        arriving = spark.readStream.schema("repo string, commit_sha string, path string, content string, ts timestamp").parquet(f"{out}/in")
+        jobs.index_files(arriving, f"{out}/table", f"{out}/state-{state}").awaitTermination()
+    runs = jobs.current(spark, f"{out}/table", "symbols").where("name = 'run'").groupBy("repo", "path").agg(F.count("*").alias("runs"))
+    held = jobs.current(spark, f"{out}/table", "files").select("repo", "path", "content_hash", "line_count")
+    return held.join(runs, ["repo", "path"], "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
