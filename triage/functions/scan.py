@@ -33,29 +33,29 @@ BRACE_NOISE = (
 )
 
 # Letters, digits and underscore of any script.
-WORD = r"\p{L}\p{N}_"
+WORD = r"\p{L}\p{M}\p{N}_"
 # Declarations by language; group 1 of each is the declared name.
-PY_CLASS = r"^\s*class\s+([\p{L}\p{N}_]+)"
-PY_FUNCTION = r"^\s*(?:async\s+)?def\s+([\p{L}\p{N}_]+)"
-JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?class\s+([\p{L}\p{N}_]+)"
-JS_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([\p{L}\p{N}_]+)"
+PY_CLASS = r"^\s*class\s+([\p{L}\p{M}\p{N}_]+)"
+PY_FUNCTION = r"^\s*(?:async\s+)?def\s+([\p{L}\p{M}\p{N}_]+)"
+JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?class\s+([\p{L}\p{M}\p{N}_]+)"
+JS_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([\p{L}\p{M}\p{N}_]+)"
 JS_METHOD = (
     r"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*"
     r"(?!(?:if|for|while|switch|catch|function|return|with|do|else)\b)"
-    r"(#?[\p{L}\p{N}_]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={]+)?\{"
+    r"(#?[\p{L}\p{M}\p{N}_]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^={]+)?\{"
 )
 JAVA_CLASS = (
-    r"^\s*(?:@[\p{L}\p{N}_]+\s+)*(?:(?:public|private|protected|abstract|static|final|sealed|strictfp)\s+)*"
-    r"class\s+([\p{L}\p{N}_]+)"
+    r"^\s*(?:@[\p{L}\p{M}\p{N}_]+\s+)*(?:(?:public|private|protected|abstract|static|final|sealed|strictfp)\s+)*"
+    r"class\s+([\p{L}\p{M}\p{N}_]+)"
 )
 JAVA_METHOD = (
-    r"^\s*(?:@[\p{L}\p{N}_]+\s+)*(?:(?:public|private|protected|abstract|static|final|synchronized|native|"
+    r"^\s*(?:@[\p{L}\p{M}\p{N}_]+\s+)*(?:(?:public|private|protected|abstract|static|final|synchronized|native|"
     r"default|strictfp)\s+)*(?:<[^>]*>\s*)?"
     r"(?!(?:new|return|else|throw|package|import|case)\b)"
-    r"[\p{L}\p{N}_.]+(?:<[\p{L}\p{N}_<>\[\],.? ]*>)?(?:\[\])*\s+([\p{L}\p{N}_]+)\s*\([^;{=]*\)?\s*(?:throws\s+[\p{L}\p{N}_., ]+)?\s*(?:\{.*|;)?\s*$"
+    r"[\p{L}\p{M}\p{N}_.]+(?:<[\p{L}\p{M}\p{N}_<>\[\],.? ]*>)?(?:\[\])*\s+([\p{L}\p{M}\p{N}_]+)\s*\([^;{=]*\)?\s*(?:throws\s+[\p{L}\p{M}\p{N}_., ]+)?\s*(?:\{.*|;)?\s*$"
 )
-GO_TYPE = r"^type\s+([\p{L}\p{N}_]+)"
-GO_FUNCTION = r"^func\s+(?:\([^)]*\)\s*)?([\p{L}\p{N}_]+)"
+GO_TYPE = r"^type\s+([\p{L}\p{M}\p{N}_]+)"
+GO_FUNCTION = r"^func\s+(?:\([^)]*\)\s*)?([\p{L}\p{M}\p{N}_]+)"
 
 _NEVER = r"\b\B"
 

@@ -10,17 +10,17 @@ from triage.functions.scale import stage
 from triage.functions.text import let, split_lines, strip
 
 # Where a statement starts, by language.
-_PY_START = r"^\s*(?:import\s|from\s+(?!__future__\b)[\p{L}\p{N}_.]+\s*import\b)"
+_PY_START = r"^\s*(?:import\s|from\s+(?!__future__\b)[\p{L}\p{M}\p{N}_.]+\s*import\b)"
 _JS_START = r"^\s*import\b(?!\s*\()"
 _JAVA_START = r"^\s*import\s"
 _GO_START = r"^import\b"
 
 # The spelling of an import, by language (whole statement text).
-PY_FROM = r"^from\s+(\.*)([\p{L}\p{N}_.]*)\s+import\s+(.+)$"
-PY_PLAIN = r"^import\s+([\p{L}\p{N}_.]+)"
+PY_FROM = r"^from\s+(\.*)([\p{L}\p{M}\p{N}_.]*)\s+import\s+(.+)$"
+PY_PLAIN = r"^import\s+([\p{L}\p{M}\p{N}_.]+)"
 JS_IMPORT = r"""^import\s+(?:.*\sfrom\s+)?['"]([^'"]+)['"]"""
-JAVA_IMPORT = r"^import\s+(?:static\s+)?([\p{L}\p{N}_.]+)\s*;?"
-GO_IMPORT = r"""^["]?([\p{L}\p{N}_./-]+)["]?$"""
+JAVA_IMPORT = r"^import\s+(?:static\s+)?([\p{L}\p{M}\p{N}_.]+)\s*;?"
+GO_IMPORT = r"""^["]?([\p{L}\p{M}\p{N}_./-]+)["]?$"""
 
 # Files an import may mean, best first.
 PY_VARIANTS = (".py", "/__init__.py")

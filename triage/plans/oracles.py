@@ -714,3 +714,21 @@ _add("current_stream", """WITH held AS (
 SELECT repo, path, sha256(content) AS content_hash, CAST(len(string_split(content, chr(10))) AS INTEGER) AS line_count,
        CAST(content LIKE '%    def run(self, x):%' AS BIGINT) AS runs
 FROM held""", "v_next")
+
+_add("vector_index_update", f"""WITH {_CHUNKS},
+old AS (
+  SELECT repo, path, count(*) AS n, string_agg(DISTINCT qualified_name, '|' ORDER BY qualified_name) AS names,
+         CAST(sum(len(regexp_extract_all(embedding_text, '[^\\s]+'))) AS BIGINT) AS terms
+  FROM chunk WHERE path LIKE 'pkg%' GROUP BY repo, path),
+held AS (
+  SELECT o.*, n.repo IS NOT NULL AS there, n.content <> p.content AS edited
+  FROM old o JOIN v_py p ON o.repo = p.repo AND o.path = p.path LEFT JOIN v_next n ON o.repo = n.repo AND o.path = n.path)
+SELECT repo, path, CASE WHEN there THEN n ELSE 0 END AS live, CASE WHEN there THEN 0 ELSE n END AS removed,
+       CASE WHEN there THEN CASE WHEN edited THEN 2 ELSE 1 END END AS written, CASE WHEN there THEN names ELSE '' END AS names,
+       CASE WHEN there THEN terms + CASE WHEN edited THEN 4 ELSE 0 END ELSE 0 END AS terms
+FROM held
+UNION ALL
+SELECT repo, 'shared/util.py', CASE WHEN repo LIKE '%1' THEN 1 ELSE 3 END, CASE WHEN repo LIKE '%1' THEN 3 ELSE 0 END,
+       CASE WHEN repo LIKE '%1' THEN 2 ELSE 1 END, CASE WHEN repo LIKE '%1' THEN 'same' ELSE 'same|नमस्ते' END,
+       CASE WHEN repo LIKE '%1' THEN 11 ELSE 29 END
+FROM (SELECT DISTINCT repo FROM v_py) r""", "v_files", "v_next")

@@ -15,7 +15,7 @@ from triage.operators import symbols, tracebacks, usage, vectors
 from triage.plans import debugging
 from triage.plans.debugging import joined
 from triage.plans.views import table, view
-from triage.sources import refs, report_files, tables
+from triage.sources import refs, report_files, tables, vector_index
 from triage.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,6 +259,32 @@ def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("repo", "chunk_id", F.size("embedding").alias("dim"), terms.cast("int").alias("terms"))
 
 
+@query
+def vector_index_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Two snapshots of all Python files and a file that every repository has, with overloads: what the
+    index holds of each file, which version wrote it, and what was removed."""
+    root = stage_path(spark, "vector-index")
+
+    def snapshot(name: str, shared: str) -> DataFrame:
+        py = view(spark, sf, name).select("repo", "path", "content")
+        common = py.select("repo").distinct().select("repo", F.lit("shared/util.py").alias("path"), F.expr(shared).alias("content"))
+        held = py.unionByName(common).withColumn("commit_sha", F.lit("c1"))
+        return files.with_hash(files.with_language(held))
+
+    first = "concat('# ', repo, '\\ndef same(a):\\n    return 1\\n\\ndef same(b):\\n    return 2\\n\\ndef नमस्ते():\\n    pass\\n')"
+    second = f"if(repo like '%1', 'def same(a, b):\\n    return 3\\n', {first})"
+    for name, shared in (("v_py", first), ("v_next", second)):
+        vector_index.update(spark, root, snapshot(name, shared), symbols.extract, buckets=16)
+    held = vector_index.read(spark, root, removed=True)
+    terms = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return held.groupBy("repo", "path").agg(
+        F.count_if(~F.col("removed")).alias("live"), F.count_if("removed").alias("removed"),
+        F.max(F.when(~F.col("removed"), F.col("written"))).alias("written"),
+        joined(F.sort_array(F.collect_set(F.when(~F.col("removed"), F.col("qualified_name"))))).alias("names"),
+        F.coalesce(F.sum(F.when(~F.col("removed"), terms)), F.lit(0)).cast("long").alias("terms"),
+    )
+
+
 # --- tracebacks and localisation --------------------------------------------------
 
 
