@@ -61,32 +61,91 @@ def _steps(edges: DataFrame, directions: tuple[str, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _walk(starts: DataFrame, steps: DataFrame, depth: int, directions: tuple[str, ...]) -> DataFrame:
-    """``repo, dir, start, path, hop`` within ``depth`` steps of each start.
+# Nodes whose bits share a 64-bit word; a word is one row.
+_WORD = 64
+
+
+def _numbered(steps: DataFrame) -> DataFrame:
+    """``repo, node, id``: numbers that rise with (repo, node) and have no gaps inside a partition,
+    so the nodes of a repository fill few words."""
+    points = steps.select("repo", "node").unionByName(steps.select("repo", F.col("to").alias("node"))).distinct()
+    return stage(
+        points.repartitionByRange("repo", "node").sortWithinPartitions("repo", "node")
+        .withColumn("id", F.monotonically_increasing_id()),
+        "graph-nodes",
+    )
+
+
+def _within(front: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    """``dir, a``: nodes at most ``hops`` steps behind the starts, all starts in one walk."""
+    seen = front
+    for _ in range(hops):
+        front = links.join(front, ["dir", "a"], "left_semi").select("dir", F.col("b").alias("a")).distinct()
+        front = stage(front.join(seen, ["dir", "a"], "left_anti"), "graph-front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def _walk(starts: DataFrame, steps: DataFrame, depth: int, directions: tuple[str, ...]) -> tuple[list[DataFrame], DataFrame]:
+    """(sets of each hop as ``dir, a, word, bits``, numbers of the nodes) within ``depth`` steps.
 
-    A start is reported only when a cycle leads back to it. All starts and
-    both directions advance together: one join and one ``distinct`` per hop.
-    Each round leaves out what it has seen and is written to the shared folder, so
-    the plan does not grow with the depth.
+    The nodes at distance h + 1 of a node are those at distance h of its neighbours that it has not
+    met before. So all nodes that a start can meet hand their sets on together, one row for each
+    word of 64 nodes, and a hop costs a join over the edges and an aggregate of ``bit_or``, not a
+    row for every pair. The start itself is met only when a cycle leads back to it.
     """
-    keys = ["repo", "dir", "start"]
+    ids = _numbered(steps)
+    a, b = ids.select("repo", "node", F.col("id").alias("a")), ids.select("repo", F.col("node").alias("to"), F.col("id").alias("b"))
+    links = stage(steps.join(a, ["repo", "node"]).join(b, ["repo", "to"]).select("dir", "a", "b").distinct(), "graph-links")
     each = F.explode(F.array(*[F.lit(d) for d in directions])).alias("dir")
-    front = starts.select("repo", "start").distinct().select(
-        "repo", "start", each, F.col("start").alias("node")
-    )
-    seen: DataFrame | None = None
-    for hop in range(1, depth + 1):
-        reached = front.join(steps, ["repo", "dir", "node"]).select(*keys, F.col("to").alias("path")).distinct()
-        if seen is not None:
-            reached = reached.join(seen, [*keys, "path"], "left_anti")
-        reached = stage(reached.withColumn("hop", F.lit(hop)), "reach")
-        if reached.isEmpty():
+    begin = starts.select("repo", F.col("start").alias("node")).distinct().join(a, ["repo", "node"]).select("a", each)
+    begin = stage(begin.select("dir", "a"), "graph-starts")
+    if depth < 1:
+        return [], ids
+    links = stage(links.join(_within(begin, links, depth - 1), ["dir", "a"], "left_semi"), "graph-links")
+    word, bit = F.expr(f"b div {_WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(b % {_WORD} as int))")
+    now = stage(links.groupBy("dir", "a", word).agg(F.bit_or(bit).alias("bits")), "graph-sets")
+    sets = [now]
+    for _ in range(1, depth):
+        seen = reduce(DataFrame.unionByName, sets).groupBy("dir", "a", "word").agg(F.bit_or("bits").alias("_seen"))
+        handed = now.withColumnRenamed("a", "b").join(links, ["dir", "b"]).groupBy("dir", "a", "word").agg(F.bit_or("bits").alias("bits"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
+        now = stage(
+            handed.join(seen, ["dir", "a", "word"], "left").select("dir", "a", "word", new.alias("bits")).where("bits <> 0"),
+            "graph-sets",
+        )
+        if now.isEmpty():
             break
-        seen = reached if seen is None else seen.unionByName(reached)
-        front = reached.select(*keys, F.col("path").alias("node"))
-    if seen is None:
-        return front.select(*keys, F.col("node").alias("path"), F.lit(0).alias("hop")).where("false")
-    return seen.groupBy(*keys, "path").agg(F.min("hop").alias("hop"))
+        sets.append(now)
+    return [x.join(begin, ["dir", "a"], "left_semi") for x in sets], ids
+
+
+def _pairs(sets: list[DataFrame], ids: DataFrame, itself: bool) -> DataFrame:
+    """``repo, start, path, hop``: the shortest hop of each pair. Names are looked up by word,
+    before the rows of single pairs are made."""
+    if not sets:
+        return ids.select("repo", F.col("node").alias("start"), F.col("node").alias("path"), F.lit(0).alias("hop")).where("false")
+    every = reduce(DataFrame.unionByName, [x.withColumn("hop", F.lit(h)) for h, x in enumerate(sets, 1)])
+    zero = F.lit(0).cast("long")
+    columns = [F.coalesce(F.bit_or(F.when(F.col("hop") == h, F.col("bits"))), zero).alias(f"_b{h}") for h in range(1, len(sets) + 1)]
+    rows, before, parts = every.groupBy("a", "word").agg(*columns), zero, []
+    for h in range(1, len(sets) + 1):
+        parts.append(F.struct(F.lit(h).alias("hop"), F.col(f"_b{h}").bitwiseAND(F.bitwise_not(before)).alias("bits")))
+        before = before.bitwiseOR(F.col(f"_b{h}"))
+    names = ids.groupBy(F.expr(f"id div {_WORD}").alias("word")).agg(  # at most 64 names
+        F.map_from_entries(F.collect_list(F.struct((F.col("id") % _WORD).cast("int"), "node"))).alias("_names")
+    )
+    own = ids.select(F.col("id").alias("a"), "repo", F.col("node").alias("start"))
+    flat = rows.join(names, "word").join(own, "a").select("repo", "a", "start", "word", "_names", F.explode(F.array(*parts)).alias("p"))
+    flat = flat.where("p.bits <> 0").select(
+        "repo", "a", "start", "word", "p.hop", "_names",
+        F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(p.bits, i) & 1 = 1)")).alias("i"),
+    )
+    if not itself:
+        flat = flat.where(F.col("a") != F.col("word") * _WORD + F.col("i"))
+    return flat.select("repo", "start", F.col("_names")[F.col("i")].alias("path"), "hop")
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "in") -> DataFrame:
@@ -96,7 +155,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str =
     """
     if direction not in ("in", "out"):
         raise ValueError(f"direction must be 'in' or 'out', not {direction!r}")
-    return _walk(starts, _steps(edges, (direction,)), depth, (direction,)).drop("dir")
+    return _pairs(*_walk(starts, _steps(edges, (direction,)), depth, (direction,)), itself=True)
 
 
 def neighborhood(
@@ -111,12 +170,7 @@ def neighborhood(
     back = _steps(edges.where(F.col("dst_kind") == REPO_FILE), ("in",))
     if drop_external:
         steps = steps.where(~F.startswith(F.col("to"), F.lit(EXTERNAL_PREFIX)))
-    walked = _walk(starts, steps.unionByName(back), depth, ("out", "in"))
-    return (
-        walked.where("path <> start")
-        .groupBy("repo", "start", "path")
-        .agg(F.min("hop").alias("hop"))
-    )
+    return _pairs(*_walk(starts, steps.unionByName(back), depth, ("out", "in")), itself=False)
 
 
 # --- cycles -----------------------------------------------------------------------
