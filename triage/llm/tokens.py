@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # Parts kept per worker, in two generations: once the young one is full, it is the old one, and what
 # is met again moves to the new young one. So frequent words stay and memory is bounded.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 500_000
 KEPT_CHARS = 48  # longer parts are kept for their slice only
 _ODD = re.compile("[\\s\u180e][ \n]|[ \n][\\s\u180e]|\\A[\\s\u180e]|(?:[^\\S\n]|\u180e)\\Z")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
@@ -89,7 +89,7 @@ class Encoder:
         lines = pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n")
         parts = pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
         coded = parts.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
+        ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         own = np.frombuffer(b"".join(ids), dtype="<u4")
         codes = coded.indices.to_numpy()
@@ -103,51 +103,44 @@ class Encoder:
     def _ids(self, parts: list[str]) -> list[bytes]:
         """The ids of distinct parts."""
         young, old = self.young, self.old
-        found: dict[str, bytes | None] = {}
-        new: list[str] = []
-        for part in parts:
-            ids = young.get(part)
-            if ids is None:
-                ids = old.get(part)
-                if ids is None:
-                    new.append(part)
-                else:
-                    young[part] = ids
-            found[part] = ids
-        self._learn(new, found)
-        young.update([(p, found[p]) for p in new if len(p) <= KEPT_CHARS])
+        ids: list[bytes | None] = list(map(young.get, parts))
+        new = []
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            known = old.get(parts[i])
+            if known is None:
+                new.append(i)
+            else:
+                young[parts[i]] = ids[i] = known
+        for i, learned in zip(new, self._learn([parts[i] for i in new]), strict=True):
+            ids[i] = learned
+            if len(parts[i]) <= KEPT_CHARS:
+                young[parts[i]] = learned
         if len(young) > KEPT_PIECES:
             self.old, self.young = young, {}
-        return list(found.values())
+        return ids
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str], found: dict[str, bytes | None]) -> None:
-        """Ids of new parts to ``found``, many in one text with a line feed before each."""
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of new parts, many in one text with a line feed before each."""
         stems: dict[str, bytes | None] = {}
         for part in parts:
             if part[-1:] in _STOPS and part[-2:-1].isalnum():
-                part = part[:-1]
-                if part not in stems:
-                    stems[part] = found.get(part) or self.young.get(part) or self.old.get(part)
+                stem = part[:-1]
+                if stem not in stems:
+                    stems[stem] = self.young.get(stem) or self.old.get(stem)
             else:
                 stems[part] = None
-        blocks: list[list[str]] = [[]]
-        size = 0
-        for stem, known in stems.items():  # short texts: the library's time grows faster than a text's length
-            if known is not None:
-                continue
-            if not stem or stem[-1] in "\n ":
-                stems[stem] = self._whole(stem if stem.startswith("\n") else " " + stem)
-                continue
-            blocks[-1].append(stem)
-            size += len(stem) + 2
-            if size > _JOINED:
-                blocks.append([])
-                size = 0
-        blocks = [b for b in blocks if b]
+        todo = [s for s, known in stems.items() if known is None]
+        for stem in [s for s in todo if not s or s[-1] in "\n "]:
+            stems[stem] = self._whole(stem if stem.startswith("\n") else " " + stem)
+        todo = [s for s in todo if s and s[-1] not in "\n "]
+        # short texts: the library's time grows faster than a text's length
+        pile = np.cumsum(np.fromiter(map(len, todo), np.int64, len(todo)) + 2) // _JOINED
+        cuts = [0, *(np.flatnonzero(np.diff(pile)) + 1).tolist(), len(todo)]
+        blocks = [todo[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
         joined = ["".join([s if s[0] == "\n" else "\n " + s for s in b]) for b in blocks]
         for block, coded in zip(blocks, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype="<u4")
@@ -157,10 +150,7 @@ class Encoder:
             raw, begins = ids.tobytes(), (begins * 4).tolist()
             for stem, begin, end in zip(block, begins, [*begins[1:], len(raw)], strict=True):
                 stems[stem] = raw[begin:end] if stem[0] == "\n" else raw[begin + 4 : end]
-        stops = self.stops
-        for part in parts:
-            ids = stems.get(part)
-            found[part] = stems[part[:-1]] + stops[part[-1]] if ids is None else ids
+        return [stems[p] if p in stems else stems[p[:-1]] + self.stops[p[-1]] for p in parts]
 
 
 @common.worker_store
