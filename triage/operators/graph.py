@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,23 +205,24 @@ def _ranked_edges(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """Simple cycles ``repo, length, cycle``; each once, written from its smallest name.
 
-    Without ``max_len`` paths grow until none is left open, which finds every
-    cycle. Their number can grow exponentially, so tangled graphs are better
-    served by ``max_len`` or by ``cyclic_groups``. ``max_len`` = 3 needs no path
+    Without ``max_len`` every cycle is found, inside strongly connected groups only (``_all_cycles``).
+    Their number can grow exponentially with a group, so tangled graphs are better served by
+    ``max_len`` or by ``cyclic_groups``. With ``max_len`` paths grow hop by hop; 3 needs no path
     growth at all: pairs are formed at the node of the smallest degree.
     """
     own = repo_edges(edges)
     loops = own.where("src = dst").select("repo", F.array("src").alias("nodes"))
     found = [loops]
-    if max_len is None or max_len > 1:
+    if max_len is None:
+        found.append(_all_cycles(own.where("src <> dst")))
+    elif max_len > 1:
         ranked = stage(_ranked_edges(own.where("src <> dst")), "ranked-edges")
         up = ranked.where("a < b")
         back = ranked.where("b < a").select("repo", F.col("b").alias("start"), F.col("a").alias("y"))
         paths = up.select("repo", F.col("a").alias("start"), F.col("b").alias("x"), F.array("b").alias("path"))
         pairs = paths.join(back.withColumnRenamed("y", "x"), ["repo", "start", "x"])
         found.append(pairs.select("repo", _names("start", "path")))
-        length = 3
-        while max_len is None or length <= max_len:
+        for length in range(3, max_len + 1):
             # paths hold start..x; close them over start <- y and x -> y
             closing = ranked.select("repo", F.col("a").alias("x"), F.col("b").alias("y"))
             closed = (
@@ -229,8 +232,7 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
                 .withColumn("path", F.concat("path", F.array("y")))
             )
             found.append(closed.select("repo", _names("start", "path")))
-            length += 1
-            if max_len is not None and length > max_len:
+            if length == max_len:
                 break
             step = ranked.select("repo", F.col("a").alias("x"), F.col("b").alias("next"))
             paths = stage(
@@ -250,6 +252,105 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     )
 
 
+def _all_cycles(edges: DataFrame) -> DataFrame:
+    """``repo, nodes`` of every cycle of two nodes or more, from its first node in the order of degrees.
+
+    Each node of a group is the root of the cycles in which it comes first. A root is a piece of work
+    of its own: the edges of its group between later nodes, sorted into one run, from which its cycles
+    are written as they are found. So a large group spreads over as many tasks as it has nodes.
+    """
+    groups = cyclic_groups(edges.withColumn("dst_kind", F.lit(REPO_FILE))).select("repo", "group_id", "node")
+    groups = stage(groups, "cyclic-groups")
+    ends = [groups.select("repo", F.col("group_id").alias(f"_g{c}"), F.col("node").alias(c)) for c in ("src", "dst")]
+    inner = edges.join(ends[0], ["repo", "src"]).join(ends[1], ["repo", "dst"]).where("_gsrc = _gdst")
+    ranked = _ranked_edges(inner.select("repo", "src", "dst"))
+    named = groups.select("repo", "group_id", F.col("node").alias("_n"))
+    ranked = stage(ranked.withColumn("_n", F.col("a.n")).join(named, ["repo", "_n"]).drop("_n"), "grouped-edges")
+    roots = ranked.select("repo", "group_id", F.col("a").alias("root")).distinct()
+    work = ranked.join(roots, ["repo", "group_id"]).where((F.col("root") <= F.col("a")) & (F.col("root") <= F.col("b")))
+    work = work.select("repo", F.col("root.n").alias("root"), F.col("a.n").alias("src"), F.col("b.n").alias("dst"))
+    sorted_ = work.repartition("repo", "root").sortWithinPartitions("repo", "root")
+    return sorted_.mapInArrow(_elementary(), "repo string, nodes array<string>")
+
+
+def _elementary(size: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cycles through the root of each run of edges. Built here so that tasks need no import of this package.
+
+    A path grows along edges from which the root can be reached again. A node from which no way
+    back was found beside the path is blocked until a node ahead of it leaves the path.
+    """
+
+    def from_root(root: str, edges: list[tuple[str, str]]) -> Iterator[list[str]]:
+        into: dict[str, list[str]] = {}
+        for a, b in edges:
+            into.setdefault(b, []).append(a)
+        back, todo = {root}, [root]
+        while todo:  # what can return to the root
+            for a in into.get(todo.pop(), ()):
+                if a not in back:
+                    back.add(a)
+                    todo.append(a)
+        out: dict[str, list[str]] = {}
+        for a, b in sorted(edges):
+            if a in back and b in back:
+                out.setdefault(a, []).append(b)
+        path, blocked, waiting = [root], {root}, {}
+        stack, closed = [iter(out.get(root, ()))], [False]
+        while stack:
+            for b in stack[-1]:
+                if b == root:
+                    closed[-1] = True
+                    yield list(path)
+                elif b not in blocked:
+                    path.append(b)
+                    blocked.add(b)
+                    stack.append(iter(out[b]))
+                    closed.append(False)
+                    break
+            else:
+                stack.pop()
+                node, found = path.pop(), closed.pop()
+                if found:
+                    free = [node]
+                    while free:
+                        x = free.pop()
+                        if x in blocked:
+                            blocked.discard(x)
+                            free += waiting.pop(x, ())
+                    if closed:
+                        closed[-1] = True
+                else:
+                    for b in out.get(node, ()):
+                        waiting.setdefault(b, set()).add(node)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+        key, edges = None, []
+        for batch in batches:
+            for repo, root, a, b in zip(*[batch.column(c).to_pylist() for c in ("repo", "root", "src", "dst")], strict=True):
+                if key != (repo, root):
+                    if key:
+                        yield *key, edges
+                    key, edges = (repo, root), []
+                edges.append((a, b))
+        if key:
+            yield *key, edges
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.string())
+        repos, held = [], []
+        for repo, root, edges in runs(batches):
+            for nodes_ in from_root(root, edges):
+                repos.append(repo)
+                held.append(nodes_)
+                if len(held) == size:
+                    yield pa.RecordBatch.from_arrays([pa.array(repos), pa.array(held, kind)], names=["repo", "nodes"])
+                    repos, held = [], []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(repos), pa.array(held, kind)], names=["repo", "nodes"])
+
+    return grow
+
+
 def _names(start: str, path: str) -> Column:
     return F.concat(
         F.array(F.col(f"{start}.n")), F.transform(path, lambda p: p["n"])
@@ -257,14 +358,21 @@ def _names(start: str, path: str) -> Column:
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Keep edges whose source has an incoming and whose target an outgoing edge.
-
-    Applied once per round: the colouring below is exact without it, trimming
-    only removes most of an import graph cheaply.
-    """
-    has_in = edges.select("repo", F.col("dst").alias("src")).distinct()
-    has_out = edges.select("repo", F.col("src").alias("dst")).distinct()
-    return edges.join(has_in, ["repo", "src"], "left_semi").join(has_out, ["repo", "dst"], "left_semi")
+    """Edges whose source has an incoming and whose target an outgoing edge, trimmed again as long as
+    that removes a tenth of them: what is labelled then is little more than the groups."""
+    edges = stage(edges, "scc-edges")
+    n = edges.count()
+    while n:
+        has_in = edges.select("repo", F.col("dst").alias("src")).distinct()
+        has_out = edges.select("repo", F.col("src").alias("dst")).distinct()
+        trimmed = stage(
+            edges.join(has_in, ["repo", "src"], "left_semi").join(has_out, ["repo", "dst"], "left_semi"), "scc-edges"
+        )
+        unstage(edges)
+        edges, before, n = trimmed, n, trimmed.count()
+        if n > 0.9 * before:
+            break
+    return edges
 
 
 def _largest_ancestor(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
@@ -304,7 +412,7 @@ def cyclic_groups(edges: DataFrame) -> DataFrame:
     """
     own = repo_edges(edges)
     loops = own.where("src = dst").select("repo", F.col("src").alias("group_id"), F.col("src").alias("node"))
-    left = stage(_trim(own.where("src <> dst")), "scc-edges")
+    left = _trim(own.where("src <> dst"))
     done: list[DataFrame] = []
     while not left.isEmpty():
         points = left.select("repo", F.col("src").alias("node")).unionByName(
@@ -320,7 +428,7 @@ def cyclic_groups(edges: DataFrame) -> DataFrame:
         )
         done.append(both.where("a = b").select("repo", F.col("a").alias("group_id"), "node"))
         rest = both.where("a <> b").select("repo", "node", F.struct("a", "b").alias("label"))
-        left = stage(_trim(_same_label(coloured, rest)), "scc-edges")
+        left = _trim(_same_label(coloured, rest))
     if done:
         groups = stage(reduce(DataFrame.unionByName, done), "groups")
         sizes = groups.groupBy("repo", "group_id").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")

@@ -732,3 +732,11 @@ SELECT repo, 'shared/util.py', CASE WHEN repo LIKE '%1' THEN 1 ELSE 3 END, CASE
        CASE WHEN repo LIKE '%1' THEN 2 ELSE 1 END, CASE WHEN repo LIKE '%1' THEN 'same' ELSE 'same|नमस्ते' END,
        CASE WHEN repo LIKE '%1' THEN 11 ELSE 29 END
 FROM (SELECT DISTINCT repo FROM v_py) r""", "v_files", "v_next")
+
+_add("graph_cycles", """WITH RECURSIVE way AS (
+  SELECT repo, src AS root, dst AS node, [src] AS nodes FROM v_sparse WHERE dst >= src
+  UNION ALL
+  SELECT w.repo, w.root, e.dst, list_append(w.nodes, w.node) FROM way w JOIN v_sparse e ON e.repo = w.repo AND e.src = w.node
+  WHERE w.node <> w.root AND e.dst >= w.root AND NOT list_contains(w.nodes[2:], e.dst) AND e.dst <> w.node)
+SELECT repo, CAST(len(nodes) AS INTEGER) AS length, array_to_string(nodes, '>') AS cycle FROM way WHERE node = root
+""", "v_sparse")

@@ -193,6 +193,12 @@ def graph_cycles3(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cycles(view(spark, sf, "v_edges"), 3).select("repo", "length", joined("cycle", ">").alias("cycle"))
 
 
+@query
+def graph_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cycle, whatever its length."""
+    return graph.cycles(view(spark, sf, "v_sparse")).select("repo", "length", joined("cycle", ">").alias("cycle"))
+
+
 @query
 def graph_cyclic_groups(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cyclic_groups(view(spark, sf, "v_edges"))
