@@ -89,6 +89,26 @@ def test_anchor_symbol(spark):
     assert got == {1: "User.save", 2: "User", 3: None, 4: None, 5: "a"}
 
 
+def test_anchor_symbol_against_all_pairs(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        start = rng.choice([rng.randint(1, 400), rng.randint(1, 100_000)])
+        end = start + rng.choice([0, 1, 7, 40, 300, 5000, 200_000])
+        rows.append(("r", f"f{i % 3}.py", i, f"n{i}", f"q{i}", "function", start, end))
+    rows.append(("r", "f0.py", 900, "all", "all", "class", 1, 2**31 - 1))
+    anchors = [(i, "r", f"f{i % 3}.py", rng.choice([rng.randint(1, 500), rng.randint(1, 310_000)])) for i in range(600)]
+    want = {}
+    for i, _, path, line in anchors:
+        inside = [(e - s, pos, q) for _, p, pos, _, q, _, s, e in rows if p == path and s <= line <= e]
+        want[i] = min(inside)[2] if inside else None
+    df = spark.createDataFrame(anchors, "failure_id long, repo string, path string, line_number int")
+    found = lo.anchor_symbol(df, spark.createDataFrame(rows, SYMBOLS))
+    assert {r.failure_id: r.symbol for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "NestedLoop" not in plan and "partial_min" in plan
+
+
 def test_anchor_file(spark):
     text = SIMPLE.replace("/r/calc.py", "/usr/lib/site-packages/z.py")
     df = spark.createDataFrame([(1, "r", "/r", SIMPLE), (2, "r", "/r/", text)],

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from triage.functions.paths import relative_path
 from triage.functions.scale import number_rows
-from triage.operators import graph, symbols, tracebacks
+from triage.operators import graph, tracebacks
 
 # Weights of the signals and the separator of query texts.
 ANCHOR_SCORE = 1.0
@@ -34,6 +34,10 @@ SIGNAL = T.StructType(
 )
 
 
+# Sizes of line bins as powers of two: 32 lines to all of an int.
+_BINS = (*range(5, 30, 3), 31)
+
+
 def anchor_file(parsed: DataFrame, first_repo_frame: bool = False) -> DataFrame:
     """``failure_id, repo, path, line_number`` of the frame a failure is pinned to.
 
@@ -65,28 +69,27 @@ def anchor_file(parsed: DataFrame, first_repo_frame: bool = False) -> DataFrame:
 def anchor_symbol(anchors: DataFrame, symbol_table: DataFrame) -> DataFrame:
     """Add ``symbol``: the narrowest symbol whose line range holds the anchor line.
 
-    Anchors are first reduced to distinct lines, and a file's symbols come as
-    one list, so a file in which a third of all failures end is searched once
-    per line and never paired with every failure.
+    Anchors are first reduced to distinct lines. A symbol stands in the smallest bin of lines that
+    holds all of it (``_BINS`` sizes, each eight times the one before), so a line meets the symbols of
+    one bin of each size, and the narrowest is a minimum that combines on the map side. Neither the
+    symbols nor the anchors of a file come together in one row.
     """
     keys = ["repo", "path", "line_number"]
-    spots = anchors.select(*keys).distinct()
-    line = F.col("line_number")
-    around = F.filter(
-        "symbols", lambda s: (s["start_line"] <= line) & (s["end_line"] >= line)
-    )
-    width = F.transform(
-        around,
-        lambda s: F.struct(
-            (s["end_line"] - s["start_line"]).alias("width"),
-            s["pos"].alias("pos"),
-            s["qualified_name"].alias("name"),
-        ),
-    )
+    start, end = F.col("start_line") - 1, F.col("end_line") - 1
+    size = F.lit(_BINS[-1])
+    for bits in reversed(_BINS[:-1]):
+        size = F.when(F.shiftright(start, bits) == F.shiftright(end, bits), bits).otherwise(size)
+    held = symbol_table.where(end >= start).select(
+        "repo", "path", "start_line", "end_line", "pos", "qualified_name", size.alias("_bits"), start.alias("_at")
+    ).withColumn("_bin", F.expr("shiftright(_at, _bits)"))
+    spots = anchors.select(*keys).distinct().select(
+        *keys, F.explode(F.array(*[F.lit(b) for b in _BINS])).alias("_bits")
+    ).withColumn("_bin", F.expr("shiftright(line_number - 1, _bits)"))
+    inside = (F.col("start_line") <= F.col("line_number")) & (F.col("end_line") >= F.col("line_number"))
+    narrow = F.struct(F.col("end_line") - F.col("start_line"), "pos", F.col("qualified_name").alias("name"))
     hits = (
-        spots.join(symbols.by_file(symbol_table), ["repo", "path"])
-        .select(*keys, F.array_min(width)["name"].alias("symbol"))
-        .where("symbol is not null")
+        spots.join(held, ["repo", "path", "_bits", "_bin"]).where(inside)
+        .groupBy(*keys).agg(F.min(narrow)["name"].alias("symbol"))
     )
     return anchors.join(hits, keys, "left")
 

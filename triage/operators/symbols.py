@@ -68,9 +68,3 @@ def all_symbols(symbol_lists: DataFrame, column: str = "symbols") -> DataFrame:
     """Flatten a column of symbol lists to one row per symbol."""
     rest = [c for c in symbol_lists.columns if c != column]
     return symbol_lists.select(*rest, F.explode(column).alias("s")).select(*rest, "s.*")
-
-
-def by_file(symbols: DataFrame) -> DataFrame:
-    """One row per file with its ordered symbol list (bounded by the file size limit)."""
-    item = F.struct("pos", "start_line", "end_line", "qualified_name", "name", "kind")
-    return symbols.groupBy("repo", "path").agg(F.sort_array(F.collect_list(item)).alias("symbols"))

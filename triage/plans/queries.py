@@ -312,7 +312,9 @@ def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def anchor_symbols(spark: SparkSession, sf: str) -> DataFrame:
     anchors = stage(localize.anchor_file(_failures(spark, sf)), "anchors")
-    return localize.anchor_symbol(anchors, symbols.extract(_sources(spark, sf)))
+    # only files in which a failure ends are scanned
+    wanted = _sources(spark, sf).join(anchors.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    return localize.anchor_symbol(anchors, symbols.extract(wanted))
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[debugging.Index, DataFrame]:
