@@ -528,9 +528,9 @@ SELECT run_id, iteration, count(*) AS total_tests, count(*) FILTER (outcome = 'p
 FROM v_results GROUP BY run_id, iteration""", "v_results")
 
 _add("failure_rows", """
-SELECT CAST(run_id AS VARCHAR) || '/' || CAST(iteration AS VARCHAR) AS run_id, node_id, 'tests/test_u.py' AS file_path, outcome,
+SELECT CAST(run_id AS VARCHAR) || '-' || CAST(iteration AS VARCHAR) AS run_id, node_id, 'tests/test_u.py' AS file_path, outcome,
   iteration / 4.0 AS duration_seconds, 'AssertionError' AS exception_type, 'run ' || CAST(run_id AS VARCHAR) AS message, 1 AS n_frames
-FROM v_results WHERE outcome <> 'passed'""".replace("iteration / 4.0", "CAST(iteration / 4.0 AS DOUBLE)"), "v_results")
+FROM v_results WHERE outcome <> 'passed' AND NOT (run_id % 5 = 0 AND iteration = 1)""".replace("iteration / 4.0", "CAST(iteration / 4.0 AS DOUBLE)"), "v_results")
 
 _LOOP = """failing AS (SELECT run_id, iteration, node_id FROM v_results WHERE outcome <> 'passed'),
 target AS (SELECT run_id, node_id FROM failing WHERE iteration = 0),
@@ -740,3 +740,43 @@ _add("graph_cycles", """WITH RECURSIVE way AS (
   WHERE w.node <> w.root AND e.dst >= w.root AND NOT list_contains(w.nodes[2:], e.dst) AND e.dst <> w.node)
 SELECT repo, CAST(len(nodes) AS INTEGER) AS length, array_to_string(nodes, '>') AS cycle FROM way WHERE node = root
 """, "v_sparse")
+
+_add("report_summaries", """WITH r AS (
+  SELECT run_id, iteration, count(*) AS total, count(*) FILTER (outcome = 'passed') AS passed,
+         CAST(count(*) FILTER (outcome = 'failed') AS INTEGER) AS failed, CAST(count(*) FILTER (outcome = 'error') AS INTEGER) AS error
+  FROM v_results GROUP BY run_id, iteration),
+s AS (
+  SELECT *, run_id % 5 = 0 AND iteration = 1 AS broken, run_id % 9 = 0 AS silent,
+         CASE WHEN run_id % 9 = 0 THEN 0 ELSE failed + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END END AS f,
+         CASE WHEN run_id % 9 = 0 THEN 0 ELSE error END AS e FROM r)
+SELECT CAST(run_id AS VARCHAR) || '-' || CAST(iteration AS VARCHAR) AS run_id,
+  CASE WHEN NOT broken THEN CASE WHEN silent THEN 0 ELSE total END END AS total_tests,
+  CASE WHEN NOT broken THEN CASE WHEN silent THEN 0 ELSE passed END END AS passed,
+  CASE WHEN NOT broken THEN f END AS failed, CASE WHEN NOT broken THEN e END AS errors, CASE WHEN NOT broken THEN 0 END AS skipped,
+  CASE WHEN NOT broken THEN f + e > 0 END AS has_failures, CASE WHEN NOT broken THEN failed END AS listed_failed,
+  CASE WHEN NOT broken THEN error END AS listed_errors, broken, CASE WHEN NOT broken THEN f = failed AND e = error END AS agrees
+FROM s""", "v_results")
+
+_add("capped_results", f"WITH {_LOOP.replace('iteration <= 5', 'iteration <= 2')} SELECT * FROM solved", "v_results", "v_attempts")
+
+_add("search_texts", f"""WITH {_TRACES},
+told AS (
+  SELECT v.failure_id, x.exception_type || ': ' || x.message AS exception,
+    CASE WHEN v.failure_id % 5 = 0 THEN '  ' WHEN v.failure_id % 5 <> 1 THEN 'it fails ' || CAST(v.failure_id AS VARCHAR) END AS description
+  FROM v_traces v LEFT JOIN exc x USING (failure_id))
+SELECT failure_id, concat_ws(' — ', exception, description) AS query FROM told
+WHERE trim(concat_ws(' — ', exception, description)) <> ''""", "v_traces")
+
+_add("compressor_choices", f"""SELECT d.doc_id, sha256(d.text) AS none, sha256(c.compressed) AS rule_based,
+       sha256(regexp_replace(d.text, '[0-9]+', '#', 'g')) AS own
+FROM documents d JOIN ({ORACLES["compressed_documents"]}) c ON d.doc_id = c.doc_id""")
+
+_add("own_embedder_hits", """WITH v AS (
+  SELECT doc_id, length(text) - length(replace(text, ' ', '')) AS a, length(text) - length(replace(text, chr(10), '')) AS b,
+         length(text) - length(replace(text, '.', '')) AS c FROM documents),
+s AS (
+  SELECT q.doc_id AS query_id, v.doc_id, CAST(1 - ((q.a - v.a) ** 2 + (q.b - v.b) ** 2 + (q.c - v.c) ** 2) AS DOUBLE) AS score
+  FROM v q, v WHERE q.doc_id % 10 = 0)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) r WHERE rank <= 5""")
+
+_add("flat_symbols", f"WITH {_SYM} SELECT repo, path, qualified_name, kind, start_line, end_line FROM sym", "v_files")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triage.functions.scale import stage, stage_path
-from triage.functions.text import compress, count_tokens, count_words
+from triage.functions.text import compress, compressor, count_tokens, count_words
 from triage.functions.vectors import hashed_terms
 from triage.operators import chunks, context, files, graph, imports, localize, loop, patches, reports
 from triage.operators import symbols, tracebacks, usage, vectors
@@ -123,6 +123,15 @@ def symbol_ranges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def flat_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols from lists per file, flattened again."""
+    listed = symbols.extract(_sources(spark, sf)).groupBy("repo", "path").agg(
+        F.collect_list(F.struct("qualified_name", "kind", "start_line", "end_line")).alias("symbols")
+    )
+    return symbols.all_symbols(listed)
+
+
 @query
 def import_specs(spark: SparkSession, sf: str) -> DataFrame:
     return imports.parse(imports.extract(_sources(spark, sf))).select(
@@ -246,6 +255,15 @@ def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf, "l2")
 
 
+@query
+def own_embedder_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Search with a caller's embedder: documents closest in their numbers of words, lines and sentences."""
+    own = lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in (" ", "\n", ".")])
+    docs = vectors.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", own)
+    asked = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    return vectors.top_k(asked, docs, 5, "l2", chunk_id="doc_id")
+
+
 @query
 def upsert_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
@@ -331,6 +349,15 @@ def ranked_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def search_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Search texts of all logs, with users' descriptions; blank ones drop out."""
+    logs = tracebacks.parse(view(spark, sf, "v_traces"), keep_all=True)
+    number = F.col("failure_id")
+    told = F.when(number % 5 == 0, F.lit("  ")).when(number % 5 != 1, F.concat(F.lit("it fails "), number.cast("string")))
+    return localize.with_query(logs, told).select("failure_id", "query")
+
+
 @query
 def semantic_hits(spark: SparkSession, sf: str) -> DataFrame:
     found = stage(vectors.embed(_chunks(spark, sf)), "chunks")
@@ -361,6 +388,16 @@ def compressed_files(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_files").select("repo", "path", compress("content").alias("compressed"))
 
 
+@query
+def compressor_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """The built-in strategies and a caller's own one over the same texts."""
+    own = lambda t: F.regexp_replace(t, "[0-9]+", "#")
+    hashed = lambda strategy: F.sha2(compressor(strategy)(F.col("text")).cast("binary"), 256)
+    return table(spark, sf, "documents").select(
+        "doc_id", hashed("none").alias("none"), hashed("rule_based").alias("rule_based"), hashed(own).alias("own")
+    )
+
+
 @query
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
@@ -424,8 +461,8 @@ def report_totals(spark: SparkSession, sf: str) -> DataFrame:
     return reports.result_totals(view(spark, sf, "v_results"), "run_id", "iteration")
 
 
-def _report_files(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON reports as a test runner writes them, from the derived results."""
+def _report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports as a test runner makes them, from the derived results."""
     failing = reports.is_failing(F.col("outcome"))
     longrepr = F.when(failing, F.concat(
         F.lit("Traceback (most recent call last):\n  File \"/w/tests/test_u.py\", line 3, in "), F.col("node_id"),
@@ -437,7 +474,7 @@ def _report_files(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("outcome") == "error", phase).otherwise(none).alias("setup"),
         F.when(F.col("outcome") != "error", phase).otherwise(none).alias("call"),
     )
-    rows = view(spark, sf, "v_results").groupBy("run_id", "iteration").agg(
+    return view(spark, sf, "v_results").groupBy("run_id", "iteration").agg(
         F.struct(
             F.count("*").alias("total"), F.count_if(F.col("outcome") == "passed").alias("passed"),
             F.count_if(F.col("outcome") == "failed").alias("failed"),
@@ -445,15 +482,36 @@ def _report_files(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("summary"),
         F.collect_list(test).alias("tests"),
     )
+
+
+def _report_files(spark: SparkSession, sf: str) -> str:
+    """A folder with one JSON file per report. Of every fifth run's first iteration the end is missing;
+    every seventh run's summary states a failure too many, and every ninth's states nothing."""
     path = stage_path(spark, "reports")
-    rows.write.json(path)
-    return spark.read.schema(report_files.REPORT.add("run_id", "long").add("iteration", "long")).json(path)
+    rows, run = _report_rows(spark, sf), F.col("run_id")
+    more = F.col("summary").withField("failed", F.col("summary.failed") + F.when(run % 7 == 0, 1).otherwise(0))
+    body = F.to_json(F.struct(F.when(run % 9 != 0, more).alias("summary"), "tests"))
+    cut = F.expr("left(body, length(body) - 9)")
+    named = rows.select("run_id", "iteration", body.alias("body"), F.concat_ws("-", "run_id", "iteration").alias("name"))
+    named.select(
+        F.when((run % 5 == 0) & (F.col("iteration") == 1), cut).otherwise(F.col("body")).alias("value"), F.col("name").alias("run_id")
+    ).repartition("run_id").write.partitionBy("run_id").text(path)
+    return path
+
+
+@query
+def report_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """What each report file states, next to what its tests show; files that end early stand apart."""
+    path = _report_files(spark, sf)
+    stated = reports.totals(report_files.read_reports(spark, path)).withColumn("broken", F.lit(False))
+    broken = report_files.broken_reports(spark, path).select("run_id", F.lit(True).alias("broken"))
+    agrees = (F.col("failed") == F.col("listed_failed")) & (F.col("errors") == F.col("listed_errors"))
+    return stated.unionByName(broken, allowMissingColumns=True).withColumn("agrees", agrees)
 
 
 @query
 def failure_rows(spark: SparkSession, sf: str) -> DataFrame:
-    run = F.concat_ws("/", "run_id", "iteration")
-    written = _report_files(spark, sf).select(run.alias("run_id"), "summary", "tests")
+    written = report_files.read_reports(spark, _report_files(spark, sf))
     return reports.with_exceptions(reports.failures(written)).select(
         "run_id", "node_id", "file_path", "outcome", "duration_seconds", "exception_type", "message",
         F.size("frames").alias("n_frames"),
@@ -474,6 +532,12 @@ def loop_results(spark: SparkSession, sf: str) -> DataFrame:
     return loop.resolve(*_attempts(spark, sf))
 
 
+@query
+def capped_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Run results when only two fix attempts are allowed."""
+    return loop.resolve(*_attempts(spark, sf), max_iterations=2)
+
+
 @query
 def retry_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     _, results = _attempts(spark, sf)

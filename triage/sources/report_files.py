@@ -36,15 +36,18 @@ _READ = (
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Reports with their run: a folder ``run_id=...`` around the file, or else the file's name."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
+    folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/run_id=([^/]+)/[^/]+$", 1), F.lit(""))
     raw = spark.read.schema(_READ).option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return raw.withColumn("run_id", name)
+    return raw.withColumn("run_id", F.coalesce(folder, name))
 
 
 def broken_reports(spark: SparkSession, path: str) -> DataFrame:
     """``run_id, tests_read`` of the files that end early or are no JSON, so that none reads as all-clear."""
     n = F.coalesce(F.size("tests"), F.lit(0))
-    return _read(spark, path).select("run_id", n.alias("tests_read"), "_broken").where("_broken is not null").drop("_broken")
+    # Spark reads the mark of a broken record only together with another column: the filter needs both
+    return _read(spark, path).select("run_id", n.alias("tests_read"), "_broken").where("_broken is not null and tests_read >= 0").drop("_broken")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
