@@ -169,3 +169,19 @@ def test_tokens_and_lines(spark):
     assert tuple(row) == (6, 0, 0, 3)
     for sample in ["", "\n", "a", "a\n", "a\r\nb\rc\n\n", "\n\na", "x\x0by\x85z\u2028w"]:
         assert one(spark, text.split_lines(F.lit(sample)))[0] == sample.splitlines()
+
+
+def test_scan_listed_by_tasks_equals_scan(spark, tmp_path):
+    root = tmp_path / "snap"
+    for name, data in {"r/c1/a.py": b"x", "r/c1/pkg/deep/er/b.py": b"\xff\x00", "r/c2/a.py": b"", "s/c1/big.bin": b"z" * 5000, "s/c1/ü n.txt": b"1", "s/top": b"t"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "empty" / "folder").mkdir(parents=True)
+    rows = lambda df: sorted((r.repo, r.commit_sha, r.path, r.length, bytes(r.content)) for r in df.collect())
+    want = [("r", "c1", "a.py", 1, b"x"), ("r", "c1", "pkg/deep/er/b.py", 2, b"\xff\x00"), ("r", "c2", "a.py", 0, b""),
+            ("s", "c1", "big.bin", 5000, b"z" * 5000), ("s", "c1", "ü n.txt", 1, b"1")]
+    assert rows(repo_files.scan_listed(spark, str(root))) == want
+    assert rows(repo_files.scan_listed(spark, f"file://{root}/", max_bytes=100)) == [r for r in want if r[3] <= 100]
+    # Spark's own reader leaves empty files out
+    assert [r for r in rows(repo_files.scan_files(spark, str(root))) if r[2]] == [r for r in want if r[3]]
+    assert repo_files.list_files(spark, str(root / "empty")).count() == 0

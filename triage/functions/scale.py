@@ -75,7 +75,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
 
 
 def _segments(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Range-partition on (keys, order); ``_seg`` numbers the partitions in order."""
+    """Range-partition on (keys, order); ``_seg`` numbers the partitions in order. Rows are written
+    once: the sample that finds the ranges reads what the last shuffle before has left."""
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return stage(ranged.withColumn("_seg", F.spark_partition_id()), "segments")
 
@@ -98,7 +99,7 @@ def number_rows(
     name: str,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without hot tasks."""
-    seg = _segments(stage(df, "numbering"), keys, order)
+    seg = _segments(df, keys, order)
     counts = seg.groupBy("_seg", *keys).agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
     offsets = _spanning(counts, keys).select(
@@ -125,7 +126,7 @@ def lag_rows(
     def unpack(frame: DataFrame, extra: list[str]) -> DataFrame:
         return frame.select("*", *[F.col("_lag")[n].alias(n) for n in columns]).drop("_lag", *extra)
 
-    seg = _segments(stage(df, "lagging"), keys, order)
+    seg = _segments(df, keys, order)
     inside = W.partitionBy("_seg", *keys).orderBy(*order)
     rows = seg.withColumn("_lag", F.lag(packed).over(inside)).withColumn(
         "_rn", F.row_number().over(inside)

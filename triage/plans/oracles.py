@@ -780,3 +780,9 @@ s AS (
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) r WHERE rank <= 5""")
 
 _add("flat_symbols", f"WITH {_SYM} SELECT repo, path, qualified_name, kind, start_line, end_line FROM sym", "v_files")
+
+_add("scanned_files", """
+SELECT 'site' || CAST(page_id % 7 AS VARCHAR) AS repo, 'c1' AS commit_sha,
+       'html/d' || CAST(page_id % 13 AS VARCHAR) || '/p' || CAST(page_id AS VARCHAR) || '.py' AS path,
+       strlen(html) AS length, 'python' AS language, sha256(html) AS content_hash
+FROM pages WHERE strlen(html) <= 20000""")

@@ -15,7 +15,7 @@ from triage.operators import symbols, tracebacks, usage, vectors
 from triage.plans import debugging
 from triage.plans.debugging import joined
 from triage.plans.views import table, view
-from triage.sources import refs, report_files, tables, vector_index
+from triage.sources import refs, repo_files, report_files, tables, vector_index
 from triage.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,20 @@ def file_facts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def scanned_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages written as files of snapshots and found again by a scan that tasks list."""
+    root = stage_path(spark, "snapshots")
+    pages = table(spark, sf, "pages").select(
+        F.concat(F.lit("site"), (F.col("page_id") % 7).cast("string")).alias("repo"), F.lit("c1").alias("commit_sha"),
+        F.concat(F.lit("html/d"), (F.col("page_id") % 13).cast("string"), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"),
+        F.col("html").alias("content"),
+    )
+    repo_files.write_files(pages, root)
+    found = repo_files.decode(repo_files.scan_listed(spark, root, max_bytes=20_000))
+    return files.with_hash(files.with_language(found)).select("repo", "commit_sha", "path", "length", "language", "content_hash")
+
+
 @query
 def document_facts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("text", "content")
