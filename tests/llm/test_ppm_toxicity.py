@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triage.llm import common, ppm, toxicity
+from triage.llm import queries as q
 
 # The added-one word model gives every unseen word the same share, which only costs it in a large corpus.
 SF = "/root/testdata/sf0.1"
@@ -160,3 +161,89 @@ def test_toxicity_edges(spark):
     none = toxicity.fit_and_score(docs, docs, labels.where("false"), F.lit(True)).collect()
     assert all(r.score == pytest.approx(0.25) for r in none)
     assert toxicity.fit_and_score(docs.where("false"), docs, labels, F.lit(True)).count() == 0
+
+
+def plain_fit(samples, s):
+    """The machine's training with every sum written out: pairs, gradients, AdaGrad, soft threshold."""
+    n, rng = len(samples), np.random.default_rng(s.seed)
+    share = (sum(y for _, y in samples) + 0.5) / (n + 2)
+    bias = math.log(share / (1 - share))
+    often = sorted(t for t, k in Counter(t for x, _ in samples for t in x.tolist()).items() if k >= s.min_docs)
+    w = {t: 0.0 for t in often}
+    first = rng.normal(0, 0.05, (s.factors, len(often)))
+    v = {t: [float(first[f][i]) for f in range(s.factors)] for i, t in enumerate(often)}
+    seen_w, seen_v, seen_0 = {t: 1e-3 for t in often}, {t: [1e-3] * s.factors for t in often}, 1e-3
+    for _ in range(s.epochs):
+        order = rng.permutation(n)
+        for at in range(0, n, s.batch):
+            rows = [([t for t in samples[i][0].tolist() if t in w], samples[i][1]) for i in order[at : at + s.batch]]
+            rows = [(x, y) for x, y in rows if x]
+            gs = []
+            for x, y in rows:
+                pairs = sum(sum(v[a][f] * v[b][f] for f in range(s.factors)) for k, a in enumerate(x) for b in x[k + 1 :])
+                z = bias + sum(w[t] for t in x) + pairs / len(x)
+                gs.append((1 / (1 + math.exp(-z)) - y) / len(rows))
+            seen_0 += sum(gs) ** 2
+            bias -= s.rate * sum(gs) / math.sqrt(seen_0)
+            met = sorted({t for x, _ in rows for t in x})
+            new_w, new_v = {}, {}
+            for t in met:
+                g = sum(g_ for g_, (x, _) in zip(gs, rows) if t in x)
+                seen_w[t] += g * g
+                step = s.rate / math.sqrt(seen_w[t])
+                moved = w[t] - step * g
+                new_w[t] = math.copysign(max(0.0, abs(moved) - step * s.sparsity), moved)
+                new_v[t] = []
+                for f in range(s.factors):
+                    # d/dv of the pair sum: the factors of all other terms
+                    g = sum(g_ / len(x) * sum(v[o][f] for o in x if o != t) for g_, (x, _) in zip(gs, rows) if t in x) + s.decay * v[t][f]
+                    seen_v[t][f] += g * g
+                    new_v[t].append(v[t][f] - s.rate * g / math.sqrt(seen_v[t][f]))
+            w.update(new_w)
+            v.update(new_v)
+    return bias, w, v
+
+
+def test_factorization_machine_equals_its_sums():
+    rng = np.random.default_rng(11)
+    s = toxicity.Settings(bits=6, min_docs=3, factors=2, epochs=3, batch=16)
+    samples = []
+    for _ in range(60):
+        terms = np.unique(rng.integers(0, 40, rng.integers(0, 9))).astype(np.int32)
+        samples.append((terms, int(3 in terms and 7 in terms or rng.random() < 0.2)))
+    machine = toxicity.fit(samples, s)
+    bias, w, v = plain_fit(samples, s)
+    assert machine.bias == pytest.approx(bias, rel=1e-6)
+    for t in range(64):
+        assert machine.weights[t] == pytest.approx(w.get(t, 0.0), abs=1e-5)
+        assert machine.factors[t].tolist() == pytest.approx(v.get(t, [0.0, 0.0]), abs=1e-5)
+    for x, _ in samples:
+        x = [t for t in x.tolist() if t in v]
+        pairs = sum(a * b for k, i in enumerate(x) for j in x[k + 1 :] for a, b in zip(v[i], v[j]))
+        z = bias + sum(w[t] for t in x) + (pairs / len(x) if x else 0)
+        assert machine.score(np.array(x, dtype=np.int32)) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_toxicity_query_equals_its_parts(spark, tmp_path):
+    """op10 over whole tables: the plain version learns from the same folds and scores every row."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" idiot group" if i % 4 == 0 else ""), "x") for i in range(120)]
+    rows += [(500, None, "x"), (501, "", "x"), (None, "idiot group", "x"), (7, rows[8][1], "x")]
+    labels = [(i, 0, int(i % 4 == 0)) for i in range(100)] + [(900, 0, 1), (3, 0, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.doc_id, round(r.score, 5), r.predicted, r.held_out) for r in q.QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()}
+    hasher = toxicity.Hasher()
+    known = {i: y for i, _, y in labels if y is not None and i != 900 and common.py_fold(i, 5)}
+    chosen = {i: min((t or "" for j, t, _ in rows if j == i), key=lambda t: hasher(t).tobytes()) for i in known}
+    bias, w, v = plain_fit([(hasher(chosen[i]), known[i]) for i in sorted(known)], toxicity.Settings(epochs=10))
+    want = set()
+    for i, t, _ in rows:
+        x = [k for k in hasher(t).tolist() if k in v]
+        pairs = sum(a * b for n, p in enumerate(x) for o in x[n + 1 :] for a, b in zip(v[p], v[o]))
+        score = 1 / (1 + math.exp(-(bias + sum(w[k] for k in x) + (pairs / len(x) if x else 0))))
+        want.add((i, round(score, 5), int(score >= 0.5), common.py_fold(i, 5) == 0))
+    assert {r[0::2] for r in got} == {r[0::2] for r in want}
+    assert {(r[0], r[3]) for r in got} == {(r[0], r[3]) for r in want}
+    assert all(any(a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 for b in want) for a in got)
