@@ -84,9 +84,12 @@ def _tools() -> dict[str, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
         from pyarrow import fs
 
-        if "://" not in uri and not uri.startswith("file:"):
+        parts = re.match(r"([A-Za-z0-9]+):(?://([^/]*))?(/.*)?$", uri, re.S)
+        if parts is None:
             return fs.LocalFileSystem(), uri
-        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+        # names are no URIs: only the store is looked up as one
+        store, base = fs.FileSystem.from_uri(f"{parts[1]}://{parts[2] or ''}/")
+        return store, base.rstrip("/") + (parts[3] or "")
 
     def list_folders(batches):
         from pyarrow import fs
