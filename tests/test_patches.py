@@ -146,3 +146,19 @@ def test_snapshot_diff(spark):
     assert got == {("a", "modified", 1, 1), ("b", "removed", 0, 2), ("c", "added", 2, 0), ("e", "added", 0, 0)}
     assert {(r.path, r.change) for r in pa.file_diff(old, new).collect()} == {
         ("a", "modified"), ("b", "removed"), ("c", "added"), ("e", "added")}
+
+
+def test_hunks_align_unique_lines_and_tell_moves_from_edits(spark):
+    def found(a, b):
+        df = lambda t: spark.createDataFrame([("r", "f", "\n".join(t))], "repo string, path string, content string")
+        return [tuple(r)[2:] for r in pa.snapshot_hunks(df(a), df(b)).orderBy("hunk").collect()]
+
+    base = ["a", "b", "", "c", "d", "", "e"]
+    assert found(base, base) == []
+    assert found(base, ["a", "B", "", "c", "d", "", "e"]) == [(1, 2, 1, 2, 1, 0)]
+    assert found(base, ["a", "b", "", "c", "x", "y", "d", "", "e"]) == [(1, 5, 0, 5, 2, 0)]
+    # a line that moves is taken out in one hunk and put in in another; the longest run stays aligned
+    assert found(["1", "2", "3", "4", "5", "6"], ["0", "5", "1", "2", "3", "4", "7"]) == [(1, 1, 0, 1, 2, 0), (2, 5, 2, 7, 1, 1)]
+    assert found(["x", "p", "q", "y"], ["X", "q", "p", "Y"]) == [(1, 1, 1, 1, 2, 0), (2, 3, 2, 4, 1, 1)]
+    assert found(["s", "s", "s"], ["s", "s"]) == [(1, 3, 1, 3, 0, 0)]
+    assert found([""], ["n"]) == [(1, 1, 1, 1, 1, 0)]

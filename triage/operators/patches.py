@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -361,3 +365,81 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.greatest(F.col("n"), F.lit(0))), F.lit(0)).alias("added_lines"),
         F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("removed_lines"),
     )
+
+
+HUNKS = "array<struct<old_start: int, old_lines: int, new_start: int, new_lines: int, moved: int>>"
+
+
+def snapshot_hunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changed stretches of files that both snapshots hold: ``repo, path, hunk, old_start, old_lines,
+    new_start, new_lines, moved``, line numbers from 1.
+
+    Lines are aligned by patience: what both files begin and end with; between that, lines that
+    occur once on either side, of which the longest run that rises on both sides is kept (of
+    several, the one that ends first in the old file, and so on backwards); then what each gap
+    begins and ends with. A hunk is a gap. ``moved`` counts its old lines that the new file holds
+    once, but out of order. Files are compared in their row; equal ones are left out before.
+    """
+    a = old.select("repo", "path", F.col("content").alias("_old"))
+    b = new.select("repo", "path", F.col("content").alias("_new"))
+    pairs = a.join(b, ["repo", "path"]).where("_old <> _new")
+    found = pairs.select("repo", "path", "_old", "_new").mapInArrow(_aligned(), f"repo string, path string, hunks {HUNKS}")
+    return found.select("repo", "path", F.posexplode("hunks").alias("hunk", "h")).select(
+        "repo", "path", (F.col("hunk") + 1).alias("hunk"), "h.*"
+    )
+
+
+def _aligned() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Built here so that tasks need no import of this package."""
+    names = ("old_start", "old_lines", "new_start", "new_lines", "moved")
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in names]))
+
+    def same_ends(a: list[str], b: list[str]) -> tuple[int, int]:
+        """How many lines both begin with, and how many of the rest both end with."""
+        least = min(len(a), len(b))
+        begin = next((i for i in range(least) if a[i] != b[i]), least)
+        rest = least - begin
+        return begin, next((i for i in range(rest) if a[-1 - i] != b[-1 - i]), rest)
+
+    def rising(at: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The longest run of pairs that rises on both sides; at each length the first possible end."""
+        import bisect
+
+        ends: list[int] = []  # smallest end on the new side for each length
+        length = []
+        for _, j in at:
+            n = bisect.bisect_left(ends, j)
+            ends[n : n + 1] = [j]
+            length.append(n + 1)
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for pair, n in zip(at, length, strict=True):
+            by_length.setdefault(n, []).append(pair)
+        run: list[tuple[int, int]] = []
+        for n in range(len(ends), 0, -1):
+            run.append(next(p for p in by_length[n] if not run or p[0] < run[-1][0] and p[1] < run[-1][1]))
+        return run[::-1]
+
+    def hunks(a: list[str], b: list[str]) -> list[dict[str, int]]:
+        begin, end = same_ends(a, b)
+        count_a, count_b = Counter(a[begin : len(a) - end]), Counter(b[begin : len(b) - end])
+        place = {t: j for j, t in enumerate(b) if begin <= j < len(b) - end and count_b[t] == 1}
+        once = [(i, place[t]) for i, t in enumerate(a) if begin <= i < len(a) - end and count_a[t] == 1 and t in place]
+        run = rising(once)
+        moved = {i for i, _ in once} - {i for i, _ in run}
+        out, i, j = [], begin, begin
+        for x, y in [*run, (len(a) - end, len(b) - end)]:
+            head, tail = same_ends(a[i:x], b[j:y])
+            lo, hi = i + head, x - tail
+            if hi > lo or y - tail > j + head:
+                values = (lo + 1, hi - lo, j + head + 1, y - tail - j - head, sum(lo <= m < hi for m in moved))
+                out.append(dict(zip(names, values, strict=True)))
+            i, j = x + 1, y + 1
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column("_old").to_pylist(), batch.column("_new").to_pylist(), strict=True)
+            found = [hunks(x.split("\n"), y.split("\n")) for x, y in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("repo"), batch.column("path"), pa.array(found, kind)], names=["repo", "path", "hunks"])
+
+    return compare

@@ -786,3 +786,36 @@ SELECT 'site' || CAST(page_id % 7 AS VARCHAR) AS repo, 'c1' AS commit_sha,
        'html/d' || CAST(page_id % 13 AS VARCHAR) || '/p' || CAST(page_id AS VARCHAR) || '.py' AS path,
        strlen(html) AS length, 'python' AS language, sha256(html) AS content_hash
 FROM pages WHERE strlen(html) <= 20000""")
+
+# a, b: lines; p, s: equal lines at both ends; l: lengths of rising runs; run: the chosen one.
+_add("snapshot_hunks", """WITH RECURSIVE f AS (
+  SELECT o.repo || '/' || o.path AS f, o.repo, o.path, string_split(o.content, chr(10)) AS a, string_split(n.content, chr(10)) AS b
+  FROM v_py o JOIN v_moved n ON o.repo = n.repo AND o.path = n.path WHERE o.content <> n.content),
+p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS p FROM f),
+e AS (SELECT *, least(len(a), len(b)) - p AS rest FROM p),
+s AS (SELECT *, coalesce(list_min(list_filter(range(1, rest + 1), lambda i: a[len(a) + 1 - i] <> b[len(b) + 1 - i])) - 1, rest) AS s FROM e),
+la AS (SELECT f, i, a[i] AS t FROM (SELECT f, a, unnest(range(p + 1, len(a) - s + 1)) AS i FROM s) x),
+lb AS (SELECT f, j, b[j] AS t FROM (SELECT f, b, unnest(range(p + 1, len(b) - s + 1)) AS j FROM s) x),
+once AS (
+  SELECT x.f, x.i, y.j FROM (SELECT f, t, min(i) AS i FROM la GROUP BY f, t HAVING count(*) = 1) x
+  JOIN (SELECT f, t, min(j) AS j FROM lb GROUP BY f, t HAVING count(*) = 1) y ON x.f = y.f AND x.t = y.t),
+grown AS (SELECT f, i, j, 1 AS n FROM once UNION SELECT o.f, o.i, o.j, g.n + 1 FROM grown g JOIN once o ON g.f = o.f AND o.i > g.i AND o.j > g.j),
+l AS (SELECT f, i, j, max(n) AS n FROM grown GROUP BY f, i, j),
+top AS (SELECT f, min(i) AS i, arg_min(j, i) AS j, n FROM l WHERE (f, n) IN (SELECT f, max(n) FROM l GROUP BY f) GROUP BY f, n),
+run AS (
+  SELECT f, i, j, n FROM top
+  UNION ALL SELECT r.f, min(l.i), arg_min(l.j, l.i), r.n - 1 FROM run r JOIN l ON l.f = r.f AND l.n = r.n - 1 AND l.i < r.i AND l.j < r.j GROUP BY r.f, r.n),
+cuts AS (
+  SELECT f, i, j FROM run UNION ALL SELECT f, p, p FROM s UNION ALL SELECT f, len(a) - s + 1, len(b) - s + 1 FROM s),
+gaps AS (
+  SELECT f, lag(i) OVER w + 1 AS x, i - 1 AS xe, lag(j) OVER w + 1 AS y, j - 1 AS ye FROM cuts WINDOW w AS (PARTITION BY f ORDER BY i, j)),
+g AS (
+  SELECT g.*, s.repo, s.path, list_slice(a, x, xe) AS ga, list_slice(b, y, ye) AS gb FROM gaps g JOIN s ON g.f = s.f WHERE x <= xe OR y <= ye),
+h AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(ga), len(gb)) + 1), lambda i: ga[i] <> gb[i])) - 1, least(len(ga), len(gb))) AS hp FROM g),
+k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(ga), len(gb)) - hp + 1), lambda i: ga[len(ga) + 1 - i] <> gb[len(gb) + 1 - i])) - 1,
+                         least(len(ga), len(gb)) - hp) AS hs FROM h)
+SELECT repo, path, CAST(row_number() OVER (PARTITION BY k.f ORDER BY x, y) AS INTEGER) AS hunk, CAST(x + hp AS INTEGER) AS old_start,
+       CAST(len(ga) - hp - hs AS INTEGER) AS old_lines, CAST(y + hp AS INTEGER) AS new_start, CAST(len(gb) - hp - hs AS INTEGER) AS new_lines,
+       CAST((SELECT count(*) FROM once o WHERE o.f = k.f AND o.i BETWEEN x + hp AND xe - hs
+             AND NOT EXISTS (SELECT 1 FROM run r WHERE r.f = o.f AND r.i = o.i)) AS INTEGER) AS moved
+FROM k WHERE len(ga) - hp - hs > 0 OR len(gb) - hp - hs > 0""", "v_moved")

@@ -614,6 +614,12 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     return patches.snapshot_diff(view(spark, sf, "v_py"), view(spark, sf, "v_next"))
 
 
+@query
+def snapshot_hunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Line-aligned changes of files with edits, removed lines and a moved function."""
+    return patches.snapshot_hunks(view(spark, sf, "v_py"), view(spark, sf, "v_moved"))
+
+
 # --- usage ------------------------------------------------------------------------
 
 
