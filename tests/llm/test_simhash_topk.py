@@ -96,17 +96,6 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{500 + i: 500 for i in range(301)}}
 
 
-def test_tree_joins_by_the_greatest_similarity():
-    random.seed(3)
-    base = [f"t{i}" for i in range(300)]
-    texts_ = [" ".join(base[:k] + [f"n{k}{i}" for i in range(300 - k)]) for k in (300, 290, 280, 100, 95, 0)]
-    made = [simhash.sketch(t, 5) for t in texts_]
-    wide = np.frombuffer(b"".join(w for _, w, _ in made), dtype="<u8").reshape(len(made), -1)
-    edges = simhash.tree(wide, np.array([n for *_, n in made], float), 0.7)
-    assert {frozenset(e[:2]) for e in edges} <= {frozenset(p) for p in ((0, 1), (1, 2), (0, 2), (3, 4))}
-    assert len(edges) >= 2
-
-
 def brute_top(vectors, k, scale):
     good = {}
     for i, v in vectors:
