@@ -61,6 +61,19 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "tel": r"(?:\([2-9][0-9]{2}\)\x20?|\b[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}\b",
+    "ipv6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
+    "key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"
+    r"|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
+    r"|[prs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36,}"
+    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "private_key": r"-----BEGIN\x20(?:[A-Z]{2,9}\x20)?PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+    r"(?:[^-]*-----END\x20(?:[A-Z]{2,9}\x20)?PRIVATE\x20KEY(?:\x20BLOCK)?-----)?",
+    "password": r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]assphrase|[Pp]wd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API_?KEY"
+    r"|[Aa]ccess[_-]?[Kk]ey|ACCESS_KEY|[Tt]oken|TOKEN)[\x22\x27]?(?:\x20?[:=]\x20?|\x20is\x20)[\x22\x27]?"
+    r"[A-Za-z0-9_!@#$%^&*+=./?~-]{6,}",
+    "token": r"[A-Za-z0-9_/+-]{24,}",
 }
 _FOUND = "\n    UNION ALL ".join(
     f"SELECT row_no, t, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{pattern}') AS ms, "
@@ -78,6 +91,23 @@ _IBAN = (
     "list_reduce(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), "
     "lambda c: ascii(c) - 48), lambda a, c: CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c - 7) % 97 END, 0) = 1"
 )
+_VALUE = "regexp_extract(m, '^[A-Za-z_-]+[\\x22\\x27]?(?:\\x20?[:=]\\x20?|\\x20is\\x20)[\\x22\\x27]?(.*)$', 1)"
+
+
+def _mixed(word: str, bits: float) -> str:
+    """A letter, a digit and so many bits per character."""
+    times = f"(length({word}) - length(replace({word}, c, '')))"
+    return (
+        f"regexp_matches({word}, '[0-9]') AND regexp_matches({word}, '[A-Za-z]') AND log2(length({word})) - list_sum("
+        f"list_transform(list_distinct(string_split({word}, '')), lambda c: {times} * log2({times}))) / length({word}) >= {bits}"
+    )
+
+
+def _near(words: str) -> str:
+    before = "lower(substr(t, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0)))"
+    return f"regexp_matches({before}, '(?:^|[^a-z0-9_])(?:{words})')"
+
+
 ORACLES["op7_pii"] = f"""
 WITH docs AS (
     SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents
@@ -90,22 +120,31 @@ WITH docs AS (
     SELECT *, CAST(sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS start FROM listed
     WINDOW w AS (PARTITION BY row_no, kind ORDER BY i)
 ), good AS (
-    SELECT row_no, kind, rank, start, kind || ':' || start || ':' || (start + length(m)) AS span FROM placed
+    SELECT row_no, kind, rank, start, start + length(m) AS stop, kind || ':' || start || ':' || (start + length(m)) AS span
+    FROM placed
     WHERE CASE kind
         WHEN 'email' THEN true
         WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS DOUBLE))) <= 255
         WHEN 'card' THEN length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}
         WHEN 'phone' THEN length({_DIGITS}) BETWEEN 10 AND 15
         WHEN 'iban' THEN length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {_IBAN}
-        ELSE regexp_matches(lower(substr(t, greatest(start - 40, 0) + 1, start - greatest(start - 40, 0))),
-                            '(?:^|[^a-z0-9_])(?:ssn|social|security)') END
+        WHEN 'ssn' THEN NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND {_near('ssn|social|security')}
+        WHEN 'tel' THEN NOT regexp_matches({_DIGITS}, '^(?:.11|....11)')
+            AND {_near('phone|call|tel|mobile|cell|fax|contact|reach')}
+        WHEN 'key' THEN regexp_matches(m, '[0-9]')
+        WHEN 'password' THEN {_mixed(_VALUE, 2.2)}
+        WHEN 'token' THEN {_mixed('m', 3.3)} AND {_near('[a-z0-9_-]*(?:key|token|secret|passw|credential|bearer)')}
+        ELSE true END
+), outer_ AS (
+    SELECT * FROM good s WHERE rank < 4 OR NOT EXISTS (
+        SELECT 1 FROM good o WHERE o.row_no = s.row_no AND o.rank < s.rank AND o.start <= s.start AND o.stop >= s.stop)
 )
 SELECT any_value(d.doc_id) AS doc_id,
        count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
        count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
        sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
        coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
-FROM docs d LEFT JOIN good g ON d.row_no = g.row_no
+FROM docs d LEFT JOIN outer_ g ON d.row_no = g.row_no
 GROUP BY d.row_no
 """
 

@@ -1,9 +1,14 @@
-"""Personal data by patterns, checksums and context, in column expressions only.
+"""Personal data and secrets by patterns, checksums and context, in column expressions only.
 
 A pattern proposes spans, a validator confirms or drops them (Luhn for card numbers, mod 97 for
-account numbers, ranges and digit counts for the others), and words close before a span raise
-its score. Spans of the base kinds (email, ip, card, phone) always stay once confirmed; the
-others (iban, ssn) need ``min_score``.
+account numbers, number ranges, digit counts, entropy of secrets), and words close before a span
+raise its score. Spans of the base kinds (email, ip, card, phone) always stay once confirmed; the
+others need ``min_score``, and one that lies inside a span of an earlier kind goes.
+
+Added kinds: iban, ssn, tel (numbers of the North American plan without ``+1``, near a word such as
+"call"), ipv6 (eight groups), key (credentials that begin with the mark of their issuer), jwt,
+private_key (a whole PEM block, or its first line), password (a name such as ``api_key`` with the
+value given to it) and token (24 or more mixed characters near a word such as "secret").
 
 The patterns are written so that a match attempt never rereads a run of characters: repeated
 groups are possessive, and a run is entered at its begin or where the last match ended. This
@@ -26,6 +31,9 @@ from pyspark.sql import functions as F
 
 CONTEXT_CHARS = 40
 MIN_SCORE = 0.5
+# bits per character; sums of equal shares do not fall on these, so rounding decides nothing
+PASSWORD_BITS = 2.2
+TOKEN_BITS = 3.3
 
 
 @dataclass(frozen=True)
@@ -41,6 +49,7 @@ class Kind:
 
 # The patterns of the base kinds, in the order in which equal places are listed.
 _LOCAL = "[A-Za-z0-9._%+-]"
+_TOKEN = "[A-Za-z0-9_/+-]"
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, 0.1,
          "mail|contact|write", "@"),
@@ -51,7 +60,28 @@ KINDS = (
          r"(?![A-Za-z0-9_])", 0.8, 0.2, "iban|account|bank|konto", "", base=False),
     Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", 0.3, 0.4, "ssn|social|security", "-",
          base=False),
+    Kind("tel", r"(?:\([2-9][0-9]{2}\)\x20?|(?<![A-Za-z0-9_])[2-9][0-9]{2}[\x20.-])[2-9][0-9]{2}[\x20.-][0-9]{4}"
+         r"(?![A-Za-z0-9_])", 0.3, 0.4, "phone|call|tel|mobile|cell|fax|contact|reach", "", base=False),
+    Kind("ipv6", r"(?<![A-Za-z0-9_])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9_])", 0.6, 0.2,
+         "ip|address|host|server", ":", base=False),
+    # The marks by which issuers of credentials begin them, and their lengths.
+    Kind("key", r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_])|gh[oprsu]_[A-Za-z0-9]{36,}+"
+         r"|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+"
+         r"|[prs]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36,}+"
+         r"|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+)", 0.9, 0.1, "[a-z0-9_-]*(?:key|token|secret)", "", base=False),
+    Kind("jwt", r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0.9, 0.1,
+         "[a-z0-9_-]*(?:token|bearer|auth)", "eyJ", base=False),
+    Kind("private_key", r"-----BEGIN\x20(?:[A-Z]{2,9}\x20)?PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+         r"(?:[^-]*+-----END\x20(?:[A-Z]{2,9}\x20)?PRIVATE\x20KEY(?:\x20BLOCK)?-----)?+", 1.0, 0.0, "key", "PRIVATE KEY",
+         base=False),
+    Kind("password", r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]assphrase|[Pp]wd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API_?KEY"
+         r"|[Aa]ccess[_-]?[Kk]ey|ACCESS_KEY|[Tt]oken|TOKEN)[\x22']?(?:\x20?[:=]\x20?|\x20is\x20)[\x22']?"
+         r"[A-Za-z0-9_!@#$%^&*+=./?~-]{6,}+", 0.6, 0.0, "key", "", base=False),
+    Kind("token", rf"(?:(?<!{_TOKEN})|\G){_TOKEN}{{24,}}+", 0.3, 0.4,
+         "[a-z0-9_-]*(?:key|token|secret|passw|credential|bearer)", "", base=False),
 )
+# what stands after the name of a password
+VALUE = r"^[A-Za-z_-]+[\x22']?(?:\x20?[:=]\x20?|\x20is\x20)[\x22']?(.*)$"
 _ORDER = {k.name: i for i, k in enumerate(KINDS)}
 
 
@@ -80,6 +110,23 @@ def mod97(code: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def entropy(word: Column) -> Column:
+    """Bits per character by the shares of its characters."""
+    n = F.length(word)
+
+    def bits(c: Column) -> Column:
+        times = n - F.length(F.replace(word, c, F.lit("")))
+        return times * F.log2(times.cast("double"))
+
+    places = F.transform(F.array_distinct(F.split(word, "")), bits)
+    return F.log2(n.cast("double")) - F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
+
+
+def mixed(word: Column, bits: float) -> Column:
+    """Whether a string has letters, digits and so many bits per character."""
+    return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & (entropy(word) >= bits)
+
+
 def _confirmed(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: p.cast("double") <= 255)
@@ -91,6 +138,16 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.length(digits(match)).between(10, 15)
     if kind == "iban":
         return F.length(F.regexp_replace(match, " ", "")).between(15, 34) & mod97(match)
+    if kind == "ssn":  # numbers that are never given out
+        return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "tel":  # codes such as 911 serve other ends
+        return ~digits(match).rlike("^(?:.11|....11)")
+    if kind == "key":
+        return match.rlike("[0-9]")
+    if kind == "password":
+        return mixed(F.regexp_extract(match, VALUE, 1), PASSWORD_BITS)
+    if kind == "token":
+        return mixed(match, TOKEN_BITS)
     return F.lit(True)
 
 
@@ -156,7 +213,20 @@ def detect(docs: DataFrame, text_col: str = "text", name: str = "spans", min_sco
             spans = F.filter(spans, lambda s: s["score"] >= min_score)
         empty = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string, score: double>>")
         found.append(F.coalesce(spans, empty))
-    return out.withColumn(name, F.array_sort(F.concat(*found))).drop(*[f"_pii_{k.name}" for k in KINDS])
+    out = out.withColumn("_pii_spans", F.array_sort(F.concat(*found)))
+    spans = F.col("_pii_spans")
+    base = sum(k.base for k in KINDS)
+
+    def alone(s: Column) -> Column:
+        inside = F.exists(
+            spans, lambda o: (o["rank"] < s["rank"]) & (o["start"] <= s["start"]) & (o["end"] >= s["end"])
+        )
+        return F.when(s["rank"] < base, True).otherwise(~inside)
+
+    # most texts have no added span and need no second look
+    added = F.exists(spans, lambda s: s["rank"] >= base)
+    kept = F.when(added, F.filter(spans, alone)).otherwise(spans)
+    return out.withColumn(name, kept).drop("_pii_spans", *[f"_pii_{k.name}" for k in KINDS])
 
 
 def joined(spans: Column) -> Column:
