@@ -42,3 +42,19 @@ def test_parts_without_words_keep_their_rows(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
     docs = docs.union(spark.createDataFrame([(2, ""), (3, None)], "doc_id long, text string").coalesce(1))
     assert {r.doc_id for r in ppm.score(docs, F.lit(False)).collect()} == {1, 2, 3}
+
+
+def test_hot_contexts_are_split(spark):
+    rows = [(i, "a" * 60 + f" the theme then {i} " + "ab" * (i % 7)) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "zzz"), (103, "the the the"), (104, "é" * 9), (105, "a" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held_out = F.col("doc_id") % 5 == 2
+    train = Counter(t for i, t in rows if i % 5 != 2)
+    for order in (5, 4, 3, 2, 0):
+        model = Weighted(train, order)
+        # 0: every shard is split; 12: some are
+        for hot_rows in (0, 12) if order == 5 else (3,):
+            got = {r.doc_id: r.score for r in ppm.score(docs, held_out, order, hot_rows=hot_rows).collect()}
+            assert len(got) == len(rows)
+            for i, t in rows:
+                assert abs(got[i] - model.score(t)) < 1e-6, (order, hot_rows, i)

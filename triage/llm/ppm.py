@@ -12,7 +12,10 @@ Counts come from all training texts, and every counted node stays. The trie is d
 three bytes of the contexts: such a shard holds all nodes of these and of longer contexts, and the
 nodes of shorter ones, of which the alphabet allows few, are read whole by each worker. Each part
 of the documents sends its own distinct contexts to the shards and gets their code lengths back
-as a file, so nothing that a worker holds is bounded by leaving nodes out. With ``depth`` given, a
+as a file, so nothing that a worker holds is bounded by leaving nodes out. A shard of more than
+``hot_rows`` rows (a frequent trigram, a long run of one byte) is coded from its distinct contexts
+instead, dealt by one more byte; such a group is bounded by the alphabet, the few nodes of its shortest
+context go along with each, and the codes are joined to what the parts asked. With ``depth`` given, a
 node stays only if it has at least the ``2**-depth`` part of all counts; the counts of dropped
 nodes are kept as escape mass of their context.
 
@@ -39,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from triage.functions.scale import stage, stage_path
+from triage.functions.scale import broadcast_if_small, stage, stage_path
 from triage.llm import common
 from triage.llm.simhash import whole_groups
 
@@ -48,7 +51,8 @@ LOW = 3  # orders below stand in files for all workers
 ALPHABET = 252  # 256 bytes without four that only part words
 END = b"\n"
 DISCOUNT = 0.5
-_CHUNK = 2 << 20  # bytes coded at a time
+HOT_ROWS = 500_000
+_CHUNK = 1 << 20  # bytes coded at a time
 _HELD = 1_500_000  # distinct contexts held before they are put together
 _CODED = 500_000  # contexts of parts coded at a time
 _CODES = np.dtype([("key", "<u8"), ("code", "<f8")])
@@ -229,7 +233,7 @@ def count_contexts(parts: DataFrame, order: int) -> DataFrame:
     return parts.select("part", "text", "held_out").mapInArrow(count, "part int, key long, n long")
 
 
-def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None) -> DataFrame:
+def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(part, codes): for each part a file with its contexts in order and the log10 probability of each."""
     spark = parts.sparkSession
     counts = stage(count_contexts(parts, order), "contexts")
@@ -252,18 +256,21 @@ def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None) -
     least = 1.0 if depth is None else max(1.0, sum(r["n"] for r in made) / 2.0**depth)
     schema = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("code", pa.float64())])
 
+    def trie(held: tuple[np.ndarray, np.ndarray], base_nodes: tuple[np.ndarray, np.ndarray] | None = None) -> Trie:
+        """All levels from the nodes of the longest contexts; those of order ``base`` may be given."""
+        levels = []
+        for k in range(order, base - 1, -1):
+            if k < order:
+                held = base_nodes if k == base and base_nodes else shorter(*held, k)
+            levels.append(level(*held, least))
+        return Trie([*_low_levels(files, base, least), *levels[::-1]])
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["shard"], _CODED):
             part, n = table.column("part").to_numpy(), table.column("n").to_numpy()
             distinct, at = np.unique(table.column("key").to_numpy().view(np.uint64), return_inverse=True)
             counted = np.bincount(at, n, len(distinct)).astype(np.int64)
-            held = distinct[counted > 0], counted[counted > 0]
-            levels = []
-            for k in range(order, base - 1, -1):
-                if k < order:
-                    held = shorter(*held, k)
-                levels.append(level(*held, least))
-            codes = Trie([*_low_levels(files, base, least), *levels[::-1]]).log10(distinct)
+            codes = trie((distinct[counted > 0], counted[counted > 0])).log10(distinct)
             for x in range(0, len(part), 100_000):
                 own = at[x : x + 100_000]
                 yield pa.RecordBatch.from_arrays(
@@ -271,6 +278,17 @@ def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None) -
                     schema=schema,
                 )
 
+    def code_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["fine"], _CODED):
+            key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+            shared = table.column("shared").to_numpy().astype(bool)
+            nodes, first = np.unique(key[shared], return_index=True)  # each fine shard brings them
+            own, counted = key[~shared], n[~shared]
+            codes = trie((own[counted > 0], counted[counted > 0]), (nodes, n[shared][first])).log10(own)
+            for x in range(0, len(own), 100_000):
+                part = own[x : x + 100_000].view(np.int64), codes[x : x + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["key", "code"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, f = None, None
         for batch in batches:
@@ -292,9 +310,25 @@ def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None) -
             f.close()
 
     # a shard holds all nodes of the contexts that end in its bytes
-    shard = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * base) - 1)
-    dealt = counts.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard")
+    tail = lambda n: F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * n) - 1)
+    asked = counts.withColumn("shard", tail(base))
+    hot = stage(asked.groupBy("shard").count().where(F.col("count") > hot_rows).select("shard"), "hot-shards")
+    split = not hot.isEmpty()
+    cold = asked.join(broadcast_if_small(hot), "shard", "left_anti") if split else asked
+    dealt = cold.repartition("shard").sortWithinPartitions("shard")
     coded = dealt.mapInArrow(code, "part int, key long, code double")
+    if split:
+        asked = asked.join(broadcast_if_small(hot), "shard", "left_semi")
+        nodes = stage(asked.groupBy("shard", "key").agg(F.sum("n").alias("n")), "hot-nodes")
+        fine = nodes.withColumn("fine", tail(min(base + 1, order)))
+        short = F.col("key").bitwiseAND((1 << 8 * (base + 1)) - 1).alias("key")
+        shared = nodes.where("n > 0").groupBy("shard", short).agg(F.sum("n").alias("n"))
+        shared = fine.select("shard", "fine").distinct().join(shared, "shard").withColumn("shared", F.lit(1))
+        wanted = ["fine", "key", "n", "shared"]
+        rows = fine.withColumn("shared", F.lit(0)).select(*wanted).unionByName(shared.select(*wanted))
+        rows = rows.repartition("fine").sortWithinPartitions("fine")
+        codes = rows.mapInArrow(code_distinct, "key long, code double")
+        coded = coded.unionByName(asked.join(codes, "key").select("part", "key", "code"))
     coded = coded.repartition("part").sortWithinPartitions("part", "key")
     return stage(coded.mapInArrow(write, "part int, codes string"), "code-files")
 
@@ -367,14 +401,16 @@ def _word_logs(file: str | None) -> dict[bytes, float]:
 # --- scores ------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, held_out: Column, order: int = ORDER, depth: int | None = None) -> DataFrame:
+def score(
+    docs: DataFrame, held_out: Column, order: int = ORDER, depth: int | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     ``held_out`` is a condition on doc_id; all other documents train both models.
     """
     plain = common.texts(docs).withColumn("held_out", held_out).withColumn("part", F.spark_partition_id())
     parts = stage(plain, "parts")
-    codes = code_files(parts, order, depth)
+    codes = code_files(parts, order, depth, hot_rows)
     words = word_files(parts.select("part", "text", "held_out"))
     sums = words.agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
     ends = parts.where(~F.col("held_out")).count()
