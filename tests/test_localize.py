@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,20 +256,50 @@ def greedy(sizes, budget):
     return taken
 
 
-@pytest.mark.parametrize("per_round", [1000, 7, 1])
-def test_pack_against_greedy(spark, per_round):
-    rnd = random.Random(per_round)
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_pack_against_greedy(spark, ranges):
+    rnd = random.Random(ranges)
     groups = {0: [50, 60, 40, 20, 10], 1: [rnd.randrange(0, 40) for _ in range(60)],
-              2: [rnd.choice([0, 1, 99, 100, 101]) for _ in range(40)], 3: [200, 300]}
-    rows = [(k, i, s) for k, sizes in groups.items() for i, s in enumerate(sizes)]
+              2: [rnd.choice([0, 1, 99, 100, 101]) for _ in range(40)], 3: [200, 300],
+              # one hot group over most ranges: small units at first, at the end, and none that fits
+              4: [rnd.choice([1, 97]) for _ in range(600)], 5: [99] * 300 + [1] * 5, 6: [rnd.randrange(1, 101) for _ in range(900)]}
+    rows = [(k, i, s) for k, sizes in groups.items() for i, s in enumerate(sizes)] + [(7, 0, None)]
     df = spark.createDataFrame(rows, "failure_id int, rank int, compressed_tokens int")
-    got = {}
-    for r in cx.pack(df, ["failure_id"], ["rank"], 100, per_round=per_round).collect():
-        got.setdefault(r.failure_id, []).append(r.rank)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {}
+        for r in cx.pack(df, ["failure_id"], ["rank"], 100).collect():
+            got.setdefault(r.failure_id, []).append(r.rank)
+        assert cx.pack(df.where("false"), ["failure_id"], ["rank"], 100).count() == 0
+        assert {r.rank for r in cx.pack(df, ["failure_id"], ["rank"], 0).collect()} == {
+            i for _, i, s in rows if s == 0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {k: sorted(v) for k, v in got.items()} == {
         k: greedy(s, 100) for k, s in groups.items() if greedy(s, 100)}
 
 
+def test_steps_tell_what_any_room_becomes():
+    from triage.operators.packing import Steps, take
+    rnd = random.Random(9)
+    for _ in range(50):
+        budget = rnd.randrange(0, 200)
+        sizes = [rnd.randrange(1, 1 + rnd.choice([5, 80, 250])) for _ in range(rnd.randrange(0, 300))]
+        steps = Steps(budget)
+        steps.apply(np.array(sizes[:70], dtype=np.int64))
+        steps.apply(np.array(sizes[70:], dtype=np.int64))
+        pieces = steps.pieces()
+        for room in {0, budget // 3, budget}:
+            want = greedy(sizes, room)
+            places, left = take(np.array(sizes, dtype=np.int64), room)
+            assert places.tolist() == want and left == room - sum(sizes[i] for i in want)
+            uses = [p["uses"] for p in pieces if p["since"] <= room][-1]
+            assert room - uses == left
+
+
 def test_units(spark, make_files):
     f = make_files({"app.py": "def add():\n    return 1\n# c\ndef sub():\n    return 2\ndef add():\n    return 3\n", "w.py": "x = 1\n"})
     symbols = sy.extract(f)

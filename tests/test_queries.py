@@ -73,7 +73,7 @@ def test_limits_reach_the_map_side(spark):
     scored = spark.range(10_000).selectExpr("id % 3 as failure_id", "'r' as repo", "cast(id as string) as path", "rand() as score")
     assert "WindowGroupLimit" in plan_of(lo.top_files(scored))
     limited = scored.withColumn("_rn", F.expr("row_number() over (partition by failure_id order by path)")).where(
-        F.col("_rn") <= cx.PACK_ROUND)
+        F.col("_rn") <= 500)
     assert "WindowGroupLimit" in plan_of(limited)
 
 

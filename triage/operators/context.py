@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from triage.functions.scale import stage
 from triage.functions.text import compressor as find_compressor
 from triage.functions.text import count_tokens, let, line_range, split_lines
+from triage.operators import packing
 
 # Default budget, and the format of an assembled context and prompt.
 TOKEN_BUDGET = 8000
@@ -19,10 +17,6 @@ UNIT_HEADER = "# File: "
 SYMBOL_HEADER = " — Symbol: "
 NO_FAILURE = "No structured failure info was provided."
 
-# Units of one failure that one packing round looks at. Small enough for Spark to
-# apply the limit before the shuffle (its threshold for that is 1000).
-PACK_ROUND = 500
-
 
 def units(
     ranked: DataFrame, files: DataFrame, symbols: DataFrame, indexed: DataFrame | None = None
@@ -117,76 +111,9 @@ def pack(
     order: list[str],
     budget: int = TOKEN_BUDGET,
     tokens: str = "compressed_tokens",
-    per_round: int = PACK_ROUND,
 ) -> DataFrame:
-    """Rows of ``units_`` that fit the budget, taken greedily in order.
-
-    A unit that would exceed what is left is skipped and later, smaller ones
-    are still tried; exactly filling the budget fits. ``order`` must be unique
-    within ``keys``.
-
-    What fits depends on what was taken before, so a running sum is wrong after
-    the first skip. The fold is done in rounds instead: a round takes the next
-    ``per_round`` units of each group that are no larger than what the group has
-    left, folds them, and passes on the remainder. A group of any size thus costs
-    each task a bounded list. Each round uses up part of the budget or ends the
-    group, so there are at most ``budget`` rounds, and few in practice because
-    the remainder soon shuts most units out. Units without tokens always fit.
-    """
-    if budget < 0:
-        raise ValueError("budget must not be negative")
-    size = F.col(tokens)
-    ref = F.struct(*order)
-    slim = stage(
-        units_.where((size > 0) & (size <= budget)).select(
-            *keys, ref.alias("_ref"), size.cast("long").alias("_t")
-        ),
-        "pack-units",
-    )
-    over = W.partitionBy(*keys).orderBy("_ref")
-    ref_type = slim.schema["_ref"].dataType.simpleString()
-    taken: list[DataFrame] = []
-    left = slim.withColumn("_room", F.lit(budget).cast("long"))
-    while True:
-        folded = F.aggregate(
-            "_batch",
-            F.struct(F.col("_room").alias("room"), F.expr(f"cast(array() as array<{ref_type}>)").alias("refs")),
-            lambda s, u: F.when(
-                u["_t"] <= s["room"],
-                F.struct(
-                    (s["room"] - u["_t"]).alias("room"),
-                    F.concat(s["refs"], F.array(u["_ref"])).alias("refs"),
-                ),
-            ).otherwise(s),
-        )
-        rounds = stage(
-            left.withColumn("_rn", F.row_number().over(over))
-            .where(F.col("_rn") <= per_round)
-            .groupBy(*keys)
-            .agg(
-                F.sort_array(F.collect_list(F.struct("_ref", "_t"))).alias("_batch"),
-                F.min("_room").alias("_room"),
-            )
-            .select(
-                *keys,
-                folded.alias("_f"),
-                F.element_at("_batch", -1)["_ref"].alias("_upto"),
-                (F.size("_batch") == per_round).alias("_more"),
-            ),
-            "pack-round",
-        )
-        taken.append(rounds.select(*keys, F.explode("_f.refs").alias("_ref")))
-        state = rounds.where("_more and _f.room > 0").select(*keys, F.col("_f.room").alias("_room"), "_upto")
-        if state.isEmpty():
-            break
-        left = (
-            slim.join(state, keys)
-            .where((F.col("_ref") > F.col("_upto")) & (F.col("_t") <= F.col("_room")))
-            .drop("_upto")
-        )
-    chosen = reduce(DataFrame.unionByName, taken).select(*keys, "_ref.*")
-    free = units_.where(size == 0)
-    return units_.where(size > 0).join(chosen, [*keys, *order], "left_semi").unionByName(free)
+    """Rows of ``units_`` that fit the budget, taken greedily in order (``operators/packing.py``)."""
+    return packing.pack(units_, keys, order, budget, tokens)
 
 
 def assemble(packed: DataFrame, texts: DataFrame) -> DataFrame:
