@@ -177,11 +177,11 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that never cut a group; the input is sorted by ``keys``."""
     held: list[pa.Table] = []
-    n = 0
+    n, limit = 0, rows
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         n += batch.num_rows
-        if n < rows:
+        if n < limit:
             continue
         table = pa.concat_tables(held)
         last = np.ones(len(table), dtype=bool)
@@ -192,6 +192,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         if cut:
             yield table.slice(0, cut)
         held, n = [table.slice(cut)], len(table) - cut
+        limit = max(rows, 2 * n)  # a group above the limit is put together a few times only
     if held:
         yield pa.concat_tables(held)
 
