@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triage.functions.scale import stage_path
+from triage.functions.workers import ship  # noqa: F401  (used by the queries and the pipeline)
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -109,23 +106,3 @@ def worker_store(fn: Callable) -> Callable:
         return kept(*args)
 
     return get
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once per application: functions that run in tasks import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, str(source.relative_to(package.parent)))
-    path = stage_path(spark, "package") + ".zip"
-    with open_out(path) as f:
-        f.write(held.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
