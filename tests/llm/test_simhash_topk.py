@@ -144,3 +144,31 @@ def test_search_skips_boxes():
     order = np.lexsort((tree.ids, -(whole @ q[0])))[:5]
     assert found.column("vec_id").to_pylist() == tree.ids[order].tolist()
     assert len(seen) < 40  # of 96 leaves
+
+
+def test_queries_meet_few_shards(spark, monkeypatch):
+    """Clusters apart from each other, one of them copies of one vector: sent pairs against all pairs."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 8))
+    centres = 8 * centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    own = centres[rng.integers(0, 24, 3000)] + rng.normal(size=(3000, 8)) / 20
+    own[::3] = centres[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "vec_id long, embedding array<double>")
+    sent, plain = [], topk.reaching
+
+    def counted(asked, trees, *rest, **named):
+        pairs = plain(asked, trees, *rest, **named, box_rows=5)
+        sent.append((pairs.count(), asked.count() * (trees.count() - 1)))
+        return pairs
+
+    monkeypatch.setattr(topk, "reaching", counted)
+    got = topk.top_k(table, topk.F.col("vec_id") % 20 == 0, 5, 64, shard_rows=128, block_rows=40, leaf_rows=16).collect()
+    x = np.floor(64 * own).astype(np.int64)
+    want = set()
+    for q in range(0, 3000, 20):
+        scores = x @ x[q]
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:5]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want
+    (pairs, every), = sent
+    assert every > 150 * 20 and pairs < every / 2
