@@ -273,13 +273,16 @@ def top_k(
     )
     at_home = queries.join(trees.select("shard", "file"), "shard").withColumn("kth", F.lit(None).cast("long"))
     at_home = at_home.select("shard", "file", "block", "query_id", "q", "kth")
-    found = first = stage(at_home.groupBy("shard", "block").applyInArrow(search, FOUND), "home-hits")
+    # little data, much work: the partitions stay as many as the session asks for
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(spread, "shard", "block").groupBy("shard", "block")
+    found = first = stage(dealt(at_home).applyInArrow(search, FOUND), "home-hits")
     if trees.count() > 1:
         kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         asked = stage(queries.join(kth, "query_id", "left"), "queries")
         pairs = reaching(asked, trees, width, numbers, blocks)
         sent = asked.drop("shard").join(pairs, "query_id").select("shard", "file", "block", "query_id", "q", "kth")
-        found = first.unionByName(sent.groupBy("shard", "block").applyInArrow(search, FOUND))
+        found = first.unionByName(dealt(sent).applyInArrow(search, FOUND))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
