@@ -14,8 +14,12 @@ TABLES = (
 )
 
 
-# Tables whose rows turn into long texts.
-WIDE = ("part", "supplier", "customer", "events", "documents", "conversations", "pages")
+# Tables whose rows turn into long texts, and the views that make them.
+WIDE = ("part", "supplier", "customer", "events", "conversations")
+TEXTS = ("v_py", "v_files", "v_tree", "v_traces", "v_responses", "v_next", "v_moved")
+# Rows of a wide table that one task turns into texts: from the first number on several tasks share
+# them, and beyond the second number per core more tasks follow.
+FEW_ROWS, MANY_ROWS = 1_000, 20_000
 
 
 def _text(*lines: str) -> str:
@@ -306,6 +310,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out to tasks by their number. A file of narrow rows is too small for readers to split,
+    and the task that reads it would make, scan and hand on texts of hundreds of times its size."""
+    rows = df.count()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // MANY_ROWS))
+    tasks = min(tasks, -(-rows // FEW_ROWS))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def _with(names: tuple[str, ...]) -> list[str]:
     """The named views behind everything they need."""
     out: list[str] = []
@@ -321,6 +334,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = _with((name,))
     sql = "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + f" SELECT * FROM {name}"
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    if name in TEXTS:
+        used = {t: _dealt(df) if t in WIDE else df for t, df in used.items()}
     return spark.sql(sql, **used)
 
 
