@@ -35,23 +35,31 @@ _READ = (
 )
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Reports with their run: a folder ``run_id=...`` around the file, or else the file's name."""
+def _read(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """Reports with their run: a folder ``run_id=...`` around the file, or else the file's name.
+
+    With ``lines`` a file holds any number of reports, a line each: the run, a tab, the JSON text on one line.
+    Listing, opening and committing a file per report costs the driver more than the reports do.
+    """
+    if lines:
+        kept = F.from_json(F.expr("substr(value, instr(value, '\t') + 1)"), _READ, {"columnNameOfCorruptRecord": "_broken"})
+        raw = spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("run_id"), kept.alias("_read"))
+        return raw.select("_read.*", "run_id")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
     folder = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/run_id=([^/]+)/[^/]+$", 1), F.lit(""))
     raw = spark.read.schema(_READ).option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken").json(path)
     return raw.withColumn("run_id", F.coalesce(folder, name))
 
 
-def broken_reports(spark: SparkSession, path: str) -> DataFrame:
-    """``run_id, tests_read`` of the files that end early or are no JSON, so that none reads as all-clear."""
+def broken_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``run_id, tests_read`` of the files (or ``lines``) that end early or are no JSON, so that none reads as all-clear."""
     n = F.coalesce(F.size("tests"), F.lit(0))
     # Spark reads the mark of a broken record only together with another column: the filter needs both
-    return _read(spark, path).select("run_id", n.alias("tests_read"), "_broken").where("_broken is not null and tests_read >= 0").drop("_broken")
+    return _read(spark, path, lines).select("run_id", n.alias("tests_read"), "_broken").where("_broken is not null and tests_read >= 0").drop("_broken")
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per complete report file: ``run_id`` (file name without suffix), summary, tests.
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per complete report file (or line, with ``lines``): ``run_id`` (file name without suffix), summary, tests.
 
     Missing counts are 0 and a missing test list is empty. A longrepr that is
     an object or a list instead of text is set to NULL; a text stays whatever it begins with.
@@ -78,4 +86,4 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
         ),
     )
     tests = F.coalesce(cleaned, F.array().cast(T.ArrayType(TEST)))
-    return _read(spark, path).where("_broken is null").select("run_id", summary.alias("summary"), tests.alias("tests"))
+    return _read(spark, path, lines).where("_broken is null").select("run_id", summary.alias("summary"), tests.alias("tests"))
