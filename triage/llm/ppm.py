@@ -52,9 +52,10 @@ ALPHABET = 252  # 256 bytes without four that only part words
 END = b"\n"
 DISCOUNT = 0.5
 HOT_ROWS = 500_000
-_CHUNK = 1 << 20  # bytes coded at a time
+_CHUNK = 1 << 19  # bytes coded at a time
 _HELD = 1_500_000  # distinct contexts held before they are put together
-_CODED = 500_000  # contexts of parts coded at a time
+_CODED = 250_000  # contexts of parts coded at a time
+_WORDS = 200_000  # distinct words of parts counted at a time
 _CODES = np.dtype([("key", "<u8"), ("code", "<f8")])
 
 
@@ -347,20 +348,28 @@ def word_files(parts: DataFrame) -> DataFrame:
     """(part, file, n, distinct): for each part a file with its words and their counts in the whole
     training corpus; n and distinct add up to the corpus's words and distinct words.
 
-    ``parts`` is (part, text, held_out). A part reports a word once. The rows of one word are at
-    most the number of parts.
+    ``parts`` is (part, text, held_out). A part reports a word once for every ``_WORDS`` distinct
+    ones it counts at a time, so the rows of one word are about the number of parts.
     """
     spark = parts.sparkSession
     schema = pa.schema([("part", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[Counter[bytes], set[bytes]]] = {}
-        for part, text, held_out in common.rows(batches, "part", "text", "held_out"):
-            learned, other = found.setdefault(part, (Counter(), set()))
-            (other if held_out else learned).update(words_of(text))
-        for part, (learned, other) in found.items():
-            rows = ((part, w, learned[w]) for w in {*learned, *other})
-            yield from common.emit(rows, schema, 50_000)
+        pa.default_memory_pool().release_unused()  # what coding left in this worker
+        for part, own in groupby(common.rows(batches, "part", "text", "held_out"), lambda r: r[0]):
+            learned, other = Counter(), set()
+
+            def told(part: int = part, learned: Counter[bytes] = learned, other: set[bytes] = other) -> Iterator[tuple]:
+                yield from ((part, w, n) for w, n in learned.items())
+                yield from ((part, w, 0) for w in other if w not in learned)
+
+            for _, text, held_out in own:
+                (other if held_out else learned).update(words_of(text))
+                if len(learned) + len(other) > _WORDS:
+                    yield from common.emit(told(), schema, 20_000)
+                    learned.clear()
+                    other.clear()
+            yield from common.emit(told(), schema, 20_000)
 
     one = parts.mapInArrow(count, "part int, word binary, n long")
     by_word = W.partitionBy("word")
