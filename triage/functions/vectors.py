@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from triage.functions.text import bind
 
-# Fixed value: a term of the hashed embedding.
-TERM = r"[^\s]+"
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
@@ -29,26 +28,34 @@ def normalize(v: Column) -> Column:
 def hashed_terms(text: Column, dim: int = 64) -> Column:
     """Term counts in ``dim`` hash buckets, as ``array<float>``.
 
-    The buckets are sorted together with one mark per bucket, so a count is the
-    distance of two group starts and the text is read once, not once per bucket.
+    Terms are parted at ASCII white space. A batch of texts is counted together: a distinct term is
+    hashed once, and one count over (row, bucket) makes all vectors.
     """
-    def bucket(t: Column) -> Column:
-        return F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim
-
-    terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    marks = F.sequence(F.lit(0), F.lit(dim)).cast("array<bigint>")
-    ordered = F.sort_array(F.concat(F.transform(terms, bucket), marks))
-
-    def starts(o: Column) -> Column:
-        at = F.transform(o, lambda x, i: F.when((i == 0) | (x != F.get(o, i - 1)), i))
-        return F.array_compact(at)
-
-    def counts(s: Column) -> Column:
-        return F.transform(
-            F.slice(s, F.lit(1), F.lit(dim)), lambda x, i: (F.get(s, i + 1) - x - 1).cast("float")
-        )
 
-    return bind(bind(ordered, starts), counts)
+    @F.arrow_udf("array<float>")
+    def counts(texts: pa.Array) -> pa.Array:
+        buckets: dict[bytes, int] = {}
+        made = []
+        for at in range(0, max(len(texts), 1), 1024):
+            part = texts.slice(at, 1024)
+            found, sizes = [], np.zeros(len(part), np.int64)
+            for i, t in enumerate(part.cast(pa.binary()).to_pylist()):
+                terms = t.split() if t else []
+                sizes[i] = len(terms)
+                for term in terms:
+                    bucket = buckets.get(term)
+                    if bucket is None:
+                        bucket = buckets[term] = int(hashlib.md5(term).hexdigest()[:8], 16) % dim
+                    found.append(bucket)
+            if len(buckets) > 200_000:
+                buckets.clear()
+            places = np.repeat(np.arange(len(part)) * dim, sizes) + np.array(found, np.int64)
+            values = pa.array(np.bincount(places, minlength=len(part) * dim).astype(np.float32))
+            offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim)
+            made.append(pa.ListArray.from_arrays(offsets, values, mask=part.is_null() if part.null_count else None))
+        return pa.concat_arrays(made)
+
+    return counts(text)
 
 
 # Names of the built-in embedders.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions import paths, scan
 from triage.functions.scale import stage
-from triage.functions.text import let, split_lines, strip
+from triage.functions.text import strip
 
 # Where a statement starts, by language.
 _PY_START = r"^\s*(?:import\s|from\s+(?!__future__\b)[\p{L}\p{M}\p{N}_.]+\s*import\b)"
@@ -27,34 +30,39 @@ PY_VARIANTS = (".py", "/__init__.py")
 JS_VARIANTS = (".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.ts")
 
 
-def _go_specs(statements: Column) -> Column:
+def _go_specs(lines: list[str]) -> list[str]:
     """Each quoted path of an import declaration, with its alias if there is one."""
-    body = F.transform(statements, lambda t: F.regexp_replace(t, r"^import\s*\(?|\)\s*$", ""))
-    lines = F.flatten(F.transform(body, lambda t: F.split(t, "\n")))
-    bare = F.transform(lines, lambda l: strip(F.regexp_replace(l, r'(^|\s)//.*$', "")))
-    return F.filter(bare, lambda l: l.contains('"'))
+    out = []
+    for statement in _GO_STATEMENTS(lines):
+        body = re.sub(rf"^import[{scan.SPACE}]*\(?|\)[{scan.SPACE}]*$", "", statement)
+        bare = [re.sub(rf"(^|[{scan.SPACE}])//.*$", "", line).strip(scan.SPACE) for line in body.split("\n")]
+        out += [b for b in bare if '"' in b]
+    return out
 
 
-def _statements(lines: str) -> Column:
-    def brace(starts: str) -> Column:
-        return scan.import_statements(lines, starts, scan.BRACE_NOISE, scan.BRACE_MARKS, scan.BRACE_HINTS)
+def _brace(starts: str) -> Callable[[list[str]], list[str]]:
+    return scan.import_statements(starts, scan.BRACE_NOISE, scan.BRACE_MARKS, scan.BRACE_HINTS)
 
-    lang = F.col("language")
-    return (
-        F.when(lang == "python", scan.import_statements(
-            lines, _PY_START, scan.PY_NOISE, scan.PY_MARKS, scan.PY_HINTS))
-        .when(lang.isin("javascript", "typescript"), brace(_JS_START))
-        .when(lang == "java", brace(_JAVA_START))
-        .when(lang == "go", _go_specs(brace(_GO_START)))
-    )
+
+_GO_STATEMENTS = _brace(_GO_START)
+_SCANS = {
+    "python": scan.import_statements(_PY_START, scan.PY_NOISE, scan.PY_MARKS, scan.PY_HINTS),
+    "javascript": _brace(_JS_START),
+    "typescript": _brace(_JS_START),
+    "java": _brace(_JAVA_START),
+    "go": _go_specs,
+}
+
+
+def _statements_of(language: str, lines: list[str]) -> list[tuple]:
+    return list(enumerate(_SCANS[language](lines))) if language in _SCANS else []
 
 
 def extract(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw statements ``repo, commit_sha, path, language, pos, raw_import`` (and ``keep``). No shuffle."""
-    lined = let(files.where("language <> 'unknown'"), _lines=split_lines("content"))
-    return lined.select(
-        "repo", "commit_sha", "path", "language", *keep,
-        F.posexplode(_statements("_lines")).alias("pos", "raw_import"),
+    return scan.explode_texts(
+        files.where("language <> 'unknown'"), ["repo", "commit_sha", "path", "language", *keep],
+        "pos int, raw_import string", _statements_of,
     )
 
 

@@ -2,65 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triage.functions import scan
-from triage.functions.text import let, line_range, split_lines
 
-# A string literal standing alone as the first statement of a body.
-_DOC = (
-    r"\A\s*([rRbBuUfF]*(?:"
-    r'"""(?s:.*?)"""' r"|'''(?s:.*?)'''" r'|"(?:[^"\\\n]|\\.)*"' r"|'(?:[^'\\\n]|\\.)*'"
-    r"))\s*?(?:#[^\n]*)?(?:\n|;|\z)"
-)
+_SCRIPT = scan.brace_symbols(scan.JS_CLASS, (scan.JS_FUNCTION, scan.JS_METHOD))
+_SCANS = {
+    "python": scan.python_symbols,
+    "javascript": _SCRIPT,
+    "typescript": _SCRIPT,
+    "java": scan.brace_symbols(scan.JAVA_CLASS, (scan.JAVA_METHOD,)),
+    "go": scan.brace_symbols(scan.GO_TYPE, (scan.GO_FUNCTION,)),
+}
 
 
-def docstring(body: Column) -> Column:
-    """Leading string literal of a body with its quote characters stripped."""
-    literal = F.nullif(F.regexp_extract(body, _DOC, 1), F.lit(""))
-    return F.regexp_replace(literal, r"^[\"']+|[\"']+$", "")
-
-
-def _symbols_of(lines: str) -> Column:
-    lang = F.col("language")
-    script = scan.brace_symbols(lines, scan.JS_CLASS, (scan.JS_FUNCTION, scan.JS_METHOD))
-    return (
-        F.when(lang == "python", scan.python_symbols(lines))
-        .when(lang.isin("javascript", "typescript"), script)
-        .when(lang == "java", scan.brace_symbols(lines, scan.JAVA_CLASS, (scan.JAVA_METHOD,)))
-        .when(lang == "go", scan.brace_symbols(lines, scan.GO_TYPE, (scan.GO_FUNCTION,)))
-    )
+def _symbols_of(language: str, lines: list[str]) -> list[tuple]:
+    """The rows of one file: position, name, qualified name, kind, parent, lines, docstring."""
+    if language not in _SCANS:
+        return []
+    return [
+        (pos, name, name if parent is None else f"{parent}.{name}", kind, parent, start, end,
+         scan.docstring(lines, doc, end) if doc else None)
+        for pos, (start, end, name, kind, parent, doc) in enumerate(_SCANS[language](lines))
+    ]
 
 
 def extract(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per symbol of ``files(repo, commit_sha, path, language, content)``.
 
     A narrow transformation: no shuffle, and a file is handled whole in its row.
-    (The scan stands inside ``posexplode``: over a named column Spark would add a
-    size filter and evaluate the scan a second time.)
     ``pos`` is the position in the file; a nested class keeps its own name only. Columns
     named in ``keep`` go along.
     """
-    found = let(files.where("language <> 'unknown'"), _lines=split_lines("content"))
-    body = line_range(F.col("_lines"), F.col("s.doc"), F.col("s.end"))
-    return found.select(
-        "repo", "commit_sha", "path", *keep, "_lines", F.posexplode(_symbols_of("_lines")).alias("pos", "s")
-    ).select(
-        "repo",
-        "commit_sha",
-        "path",
-        *keep,
-        "pos",
-        F.col("s.name").alias("name"),
-        F.when(F.col("s.parent").isNull(), F.col("s.name"))
-        .otherwise(F.concat_ws(".", "s.parent", "s.name"))
-        .alias("qualified_name"),
-        F.col("s.kind").alias("kind"),
-        F.col("s.parent").alias("parent"),
-        F.col("s.start").alias("start_line"),
-        F.col("s.end").alias("end_line"),
-        F.when(F.col("s.doc") > 0, docstring(body)).alias("docstring"),
+    return scan.explode_texts(
+        files.where("language <> 'unknown'"), ["repo", "commit_sha", "path", *keep],
+        "pos int, name string, qualified_name string, kind string, parent string, "
+        "start_line int, end_line int, docstring string",
+        _symbols_of,
     )
 
 
