@@ -23,3 +23,21 @@ def test_few_words_at_a_time_give_the_same_counts(spark, monkeypatch):
     assert whole[0] == 2 * 72 * 6 and whole[2][b"a"] == 144 and whole[2][b"only"] == 0
     monkeypatch.setattr(ppm, "_WORDS", 5)
     assert read(ppm.word_files(parts)) == whole
+
+
+def test_a_word_reaches_its_part_in_one_row_and_is_ordered_once(spark, monkeypatch):
+    ship(spark)
+    texts = [(p, f"a w{i % 3} x{i}", False) for p in (0, 1) for i in range(30)]
+    parts = spark.createDataFrame(texts, "part int, text string, held_out boolean").coalesce(1)
+    monkeypatch.setattr(ppm, "_WORDS", 5)
+    sent = []
+    monkeypatch.setattr(ppm, "stage", lambda df, name: sent.append(df) or df)
+    files = ppm.word_files(parts).collect()
+    for r in files:
+        with common.open_in(r.file) as f:
+            data = f.read()
+        words = data[8 + 8 * int.from_bytes(data[:8], "little") :].split(b"\n")
+        assert len(words) == len(set(words)) == 34
+    assert (sum(r.n for r in files), sum(r.distinct for r in files)) == (180, 34)
+    plan = sent[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1

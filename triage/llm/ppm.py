@@ -359,38 +359,43 @@ def word_files(parts: DataFrame) -> DataFrame:
         for part, own in groupby(common.rows(batches, "part", "text", "held_out"), lambda r: r[0]):
             learned, other = Counter(), set()
 
-            def told(part: int = part, learned: Counter[bytes] = learned, other: set[bytes] = other) -> Iterator[tuple]:
-                yield from ((part, w, n) for w, n in learned.items())
-                yield from ((part, w, 0) for w in other if w not in learned)
+            def told(part: int = part, learned: Counter[bytes] = learned, other: set[bytes] = other) -> Iterator[pa.RecordBatch]:
+                words = [*learned, *(w for w in other if w not in learned)]
+                counts = np.zeros(len(words), np.int64)
+                counts[: len(learned)] = np.fromiter(learned.values(), np.int64, len(learned))
+                for at in range(0, len(words), 20_000):
+                    w, n = words[at : at + 20_000], counts[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, np.int32)), pa.array(w, pa.binary()), pa.array(n)], schema=schema)
 
             for _, text, held_out in own:
                 (other if held_out else learned).update(words_of(text))
                 if len(learned) + len(other) > _WORDS:
-                    yield from common.emit(told(), schema, 20_000)
+                    yield from told()
                     learned.clear()
                     other.clear()
-            yield from common.emit(told(), schema, 20_000)
+            yield from told()
 
     one = parts.mapInArrow(count, "part int, word binary, n long")
-    by_word = W.partitionBy("word")
+    # one order serves both values; the splits of a part that report the same word go on as one row
+    by_word = W.partitionBy("word").orderBy("part")
     counted = one.select(
-        "part", "word", F.sum("n").over(by_word).alias("total"), "n",
-        F.row_number().over(by_word.orderBy("part")).alias("_row"),
-    )
-    new = F.when((F.col("_row") == 1) & (F.col("total") > 0), 1).otherwise(0)
+        "part", "word", F.sum("n").over(by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
+        F.lag("part").over(by_word).alias("_before"),
+    ).where("_before is null or _before <> part")
+    first = F.col("_before").isNull()
     folder = stage_path(spark, "words")
 
     def write(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.words"
-        # splits of a part report a word each; the totals agree
-        counts = dict(zip(table.column("word").to_pylist(), table.column("total").to_pylist(), strict=True))
+        counts, first = table.column("total").to_numpy(), table.column("first").to_numpy()
         with common.open_out(name) as f:
-            f.write(_dump(np.fromiter(counts.values(), np.int64, len(counts))) + b"\n".join(counts))
-        n, distinct = int(table.column("n").to_numpy().sum()), int(table.column("new").to_numpy().sum())
+            f.write(_dump(counts) + b"\n".join(table.column("word").to_pylist()))
+        # a word counts for the corpus in the first part that reports it
+        n, distinct = int(counts[first].sum()), int((counts[first] > 0).sum())
         return pa.table({"part": pa.array([part], pa.int32()), "file": [name], "n": [n], "distinct": [distinct]})
 
-    rows = counted.select("part", "word", "total", "n", new.alias("new"))
+    rows = counted.select("part", "word", "total", first.alias("first"))
     return stage(rows.groupBy("part").applyInArrow(write, "part int, file string, n long, distinct long"), "word-files")
 
 
