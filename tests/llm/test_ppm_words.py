@@ -1,5 +1,7 @@
 """Words are counted a bounded number at a time."""
 
+import numpy as np
+
 from triage.functions.workers import ship
 from triage.llm import common, ppm
 
@@ -41,3 +43,13 @@ def test_a_word_reaches_its_part_in_one_row_and_is_ordered_once(spark, monkeypat
     assert (sum(r.n for r in files), sum(r.distinct for r in files)) == (180, 34)
     plan = sent[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_keys_are_grouped_with_their_tags_in_one_sort():
+    rng = np.random.default_rng(1)
+    keys, tags = rng.integers(0, 1 << 48, 200, np.uint64)[rng.integers(0, 200, 5000)], rng.integers(0, 300, 5000)
+    for order, more in ((5, 0), (5, 1 << 16), (6, 0)):
+        distinct, first, held = ppm.grouped(keys, tags + more, order)
+        want, at = np.unique(keys, return_inverse=True)
+        assert (distinct == want).all() and (first == np.searchsorted(np.sort(keys), want)).all()
+        assert (np.add.reduceat(held, first) == np.bincount(at, tags + more).astype(int)).all()

@@ -108,6 +108,21 @@ def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
 
+def grouped(keys: np.ndarray, tags: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the first place of each among the sorted keys, and the tags in that order.
+
+    A key of up to six bytes and a tag below 2^16 are sorted as one number, several times faster than an argsort.
+    """
+    if order <= 5 and (not len(tags) or tags.max() < 1 << 16):
+        both = np.sort(keys << np.uint64(16) | tags.astype(np.uint64))
+        keys, tags = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+    else:
+        at = np.argsort(keys, kind="stable")
+        keys, tags = keys[at], tags[at].astype(np.int64)
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], first, tags
+
+
 # --- the trie ----------------------------------------------------------------------
 
 
@@ -221,8 +236,8 @@ def count_contexts(parts: DataFrame, order: int) -> DataFrame:
             for out, texts in chunks((held_out, words_of(t)) for _, t, held_out in own):
                 keys, sizes = contexts(texts, order)
                 learned = np.repeat([not x for x, in out], sizes)
-                distinct, at = np.unique(keys, return_inverse=True)
-                held.append((distinct, np.bincount(at, learned, len(distinct)).astype(np.int64)))
+                distinct, first, learned = grouped(keys, learned, order)
+                held.append((distinct, np.add.reduceat(learned, first)))
                 if sum(len(k) for k, _ in held) > _HELD:
                     held = [merged(held)]
                     if len(held[0][0]) > _HELD // 2:
@@ -450,9 +465,9 @@ def score(
 
             for other, texts in chunks(rows()):
                 keys, sizes = contexts(texts, order)
-                distinct, at = np.unique(keys, return_inverse=True)
-                each = code[np.searchsorted(known_keys, distinct)][at]
-                scores = np.add.reduceat(each, np.cumsum(sizes) - sizes).tolist()
+                distinct, first, at = grouped(keys, np.repeat(np.arange(len(texts)), sizes), order)
+                each = np.repeat(code[np.searchsorted(known_keys, distinct)], np.diff(first, append=len(at)))
+                scores = np.bincount(at, each, len(texts)).tolist()
                 yield common.to_batch([(*o, s) for o, s in zip(other, scores, strict=True)], schema)
 
     # one row per part: the broadcasts are bounded by the number of parts
