@@ -171,3 +171,12 @@ def test_cyclic_groups_against_reachability(spark, seed, n, m):
             want[s] = min(group)
     got = {r.node: r.group_id for r in g.cyclic_groups(edges).collect()}
     assert got == want
+
+
+def test_labels_of_groups_do_not_pass_the_driver(spark):
+    """Joins of small staged tables are not broadcast round after round."""
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a")], "repo string, src string, dst string")
+    labels = spark.createDataFrame([("r", "a", "x"), ("r", "b", "x")], "repo string, node string, label string")
+    same = g._same_label(edges, labels)
+    assert "Broadcast" not in same._jdf.queryExecution().executedPlan().toString()
+    assert sorted(same.collect()) == [("r", "a", "b"), ("r", "b", "a")]

@@ -357,6 +357,12 @@ def _names(start: str, path: str) -> Column:
     ).alias("nodes")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side that no join broadcasts. Staged tables are small as files, and every round of a loop would
+    send a few of them through the driver again."""
+    return df.hint("merge")
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges whose source has an incoming and whose target an outgoing edge, trimmed again as long as
     that removes a tenth of them: what is labelled then is little more than the groups."""
@@ -366,7 +372,7 @@ def _trim(edges: DataFrame) -> DataFrame:
         has_in = edges.select("repo", F.col("dst").alias("src")).distinct()
         has_out = edges.select("repo", F.col("src").alias("dst")).distinct()
         trimmed = stage(
-            edges.join(has_in, ["repo", "src"], "left_semi").join(has_out, ["repo", "dst"], "left_semi"), "scc-edges"
+            edges.join(_sorted(has_in), ["repo", "src"], "left_semi").join(_sorted(has_out), ["repo", "dst"], "left_semi"), "scc-edges"
         )
         unstage(edges)
         edges, before, n = trimmed, n, trimmed.count()
@@ -383,16 +389,16 @@ def _largest_ancestor(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
     """
     labels = held = stage(nodes_.select("repo", "node", F.col("node").alias("label")), "labels")
     while True:
-        given = edges.join(labels.withColumnRenamed("node", "src"), ["repo", "src"]).select(
+        given = edges.join(_sorted(labels.withColumnRenamed("node", "src")), ["repo", "src"]).select(
             "repo", F.col("dst").alias("node"), "label"
         )
         spread = labels.unionByName(given).groupBy("repo", "node").agg(F.max("label").alias("label"))
         jump = labels.select("repo", F.col("node").alias("label"), F.col("label").alias("_far"))
         far = F.greatest(F.col("label"), F.coalesce("_far", F.col("label")))
         new = stage(
-            spread.join(jump, ["repo", "label"], "left")
+            spread.join(_sorted(jump), ["repo", "label"], "left")
             .select("repo", "node", far.alias("label"))
-            .join(labels.withColumnRenamed("label", "_old"), ["repo", "node"])
+            .join(_sorted(labels.withColumnRenamed("label", "_old")), ["repo", "node"])
             .withColumn("_changed", F.col("label") != F.col("_old"))
             .drop("_old"),
             "labels",
@@ -423,7 +429,7 @@ def cyclic_groups(edges: DataFrame) -> DataFrame:
         turned = coloured.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
         up = _largest_ancestor(points, turned)
         both = stage(
-            down.withColumnRenamed("label", "a").join(up.withColumnRenamed("label", "b"), ["repo", "node"]),
+            down.withColumnRenamed("label", "a").join(_sorted(up.withColumnRenamed("label", "b")), ["repo", "node"]),
             "colours",
         )
         done.append(both.where("a = b").select("repo", F.col("a").alias("group_id"), "node"))
@@ -432,11 +438,11 @@ def cyclic_groups(edges: DataFrame) -> DataFrame:
     if done:
         groups = stage(reduce(DataFrame.unionByName, done), "groups")
         sizes = groups.groupBy("repo", "group_id").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        groups = groups.join(sizes, ["repo", "group_id"], "left_semi")
-        loops = loops.join(groups, ["repo", "node"], "left_anti")
+        groups = groups.join(_sorted(sizes), ["repo", "group_id"], "left_semi")
+        loops = loops.join(_sorted(groups), ["repo", "node"], "left_anti")
         loops = loops.select("repo", "group_id", "node").unionByName(groups.select("repo", "group_id", "node"))
     first = loops.groupBy("repo", "group_id").agg(F.min("node").alias("_first"))
-    return loops.join(first, ["repo", "group_id"]).select(
+    return loops.join(_sorted(first), ["repo", "group_id"]).select(
         "repo", F.col("_first").alias("group_id"), "node"
     )
 
@@ -444,7 +450,7 @@ def cyclic_groups(edges: DataFrame) -> DataFrame:
 def _same_label(edges: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.select("repo", F.col("node").alias("src"), F.col("label").alias("_a"))
     b = labels.select("repo", F.col("node").alias("dst"), F.col("label").alias("_b"))
-    return edges.join(a, ["repo", "src"]).join(b, ["repo", "dst"]).where("_a = _b").select("repo", "src", "dst")
+    return edges.join(_sorted(a), ["repo", "src"]).join(_sorted(b), ["repo", "dst"]).where("_a = _b").select("repo", "src", "dst")
 
 
 def stats(files: DataFrame, edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
