@@ -27,6 +27,8 @@ DIFF_START = r"(?md)(?=^--- a/)"
 DIFF_PATH = r"(?md)^\+\+\+ b/(\S+)"
 HUNK_START = r"(?md)(?=^@@ -)"
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+# Files whose texts one task of ``apply`` sorts at most on average, and those that are not worth a task of their own.
+FILES_PER_TASK, FEW_FILES = 20_000, 1_000
 FULL_FILE, UNIFIED_DIFF = "full_file", "unified_diff"
 
 _CHANGE = "struct<path:string,format:string,new_content:string,diff_text:string>"
@@ -222,8 +224,12 @@ def apply(changes: DataFrame, files: DataFrame) -> DataFrame:
     Paths that are absolute or contain ``..`` are rejected.
 
     A file text meets its diffs in one row: the join on (repo, path) is the only
-    shuffle of texts, there is no join line by line.
+    shuffle of texts, there is no join line by line. It has a task for every ``FILES_PER_TASK`` files:
+    texts are packed tightly in a shuffle, and partitions joined by packed size would sort too many at once.
     """
+    rows = files.count()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-rows // FILES_PER_TASK))
+    tasks = max(1, min(tasks, -(-rows // FEW_FILES)))
     step = F.struct("pos", "format", "new_content", "diff_text")
     per_file = (
         changes.where("path is not null")
@@ -242,6 +248,7 @@ def apply(changes: DataFrame, files: DataFrame) -> DataFrame:
         ),
     )
     base = files.select("repo", "path", F.col("content").alias("old_content"))
+    per_file, base = per_file.repartition(tasks, "repo", "path"), base.repartition(tasks, "repo", "path")
     joined = let(per_file.join(base, ["repo", "path"], "left"), _prep=prepared).withColumn(
         "existed_before", F.col("old_content").isNotNull()
     )
