@@ -34,6 +34,7 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 from itertools import groupby
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from triage.functions.scale import broadcast_if_small, stage, stage_path
+from triage.functions.scale import broadcast_if_small, freed_shuffles, stage, stage_path, unstage
 from triage.llm import common
 from triage.llm.simhash import whole_groups
 
@@ -56,7 +57,8 @@ _CHUNK = 1 << 19  # bytes coded at a time
 _HELD = 1_500_000  # distinct contexts held before they are put together
 _CODED = 250_000  # contexts of parts coded at a time
 _WORDS = 200_000  # distinct words of parts counted at a time
-_CODES = np.dtype([("key", "<u8"), ("code", "<f8")])
+_HELD_WORDS = 1_500_000  # words with their counts held before they are put together
+_CODES = pa.schema([("key", pa.uint64()), ("code", pa.float64())])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -103,11 +105,6 @@ def shorter(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarra
     return out, np.bincount(at, counts, len(out)).astype(np.int64)
 
 
-def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-
-
 def grouped(keys: np.ndarray, tags: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys, the first place of each among the sorted keys, and the tags in that order.
 
@@ -123,6 +120,12 @@ def grouped(keys: np.ndarray, tags: np.ndarray, order: int) -> tuple[np.ndarray,
     return keys[first], first, tags
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of several (keys, counts) of contexts of ``order`` bytes as one."""
+    keys, first, counts = grouped(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]), order)
+    return keys, np.add.reduceat(counts, first) if len(first) else counts
+
+
 # --- the trie ----------------------------------------------------------------------
 
 
@@ -209,7 +212,7 @@ def _low_levels(files: tuple[str, ...], base: int, least: float) -> list[Level]:
     for name in files:
         with common.open_in(name) as f:
             held.append(tuple(_load(f.read(), "u8", "i8")))
-    keys, counts = merged(held)
+    keys, counts = merged(held, base - 1)
     levels = []
     for order in range(base - 1, -1, -1):
         if order < base - 1:
@@ -239,12 +242,12 @@ def count_contexts(parts: DataFrame, order: int) -> DataFrame:
                 distinct, first, learned = grouped(keys, learned, order)
                 held.append((distinct, np.add.reduceat(learned, first)))
                 if sum(len(k) for k, _ in held) > _HELD:
-                    held = [merged(held)]
+                    held = [merged(held, order)]
                     if len(held[0][0]) > _HELD // 2:
                         yield from emit(part, *held[0])
                         held = []
             if held:
-                yield from emit(part, *merged(held))
+                yield from emit(part, *merged(held, order))
 
     return parts.select("part", "text", "held_out").mapInArrow(count, "part int, key long, n long")
 
@@ -306,24 +309,22 @@ def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None, h
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["key", "code"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, f = None, None
+        part, stack = None, ExitStack()
         for batch in batches:
             parts_ = batch.column("part").to_numpy()
-            rows = np.empty(len(parts_), _CODES)
-            rows["key"], rows["code"] = batch.column("key").to_numpy().view(np.uint64), batch.column("code").to_numpy()
+            key, coded_ = batch.column("key").to_numpy().view(np.uint64), batch.column("code")
             for own in np.split(np.arange(len(parts_)), np.flatnonzero(np.diff(parts_)) + 1):
                 if not len(own):
                     continue
                 if parts_[own[0]] != part:
-                    if f:
-                        f.close()
+                    stack.close()
                     part = parts_[own[0]]
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.codes"
-                    f = common.open_out(name)
+                    f = stack.enter_context(common.open_out(name))
+                    out = stack.enter_context(pa.ipc.new_stream(f, _CODES, options=pa.ipc.IpcWriteOptions(compression="zstd")))
                     yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "codes": [name]})
-                f.write(rows[own].tobytes())
-        if f:
-            f.close()
+                out.write(pa.record_batch([pa.array(key[own]), coded_.slice(own[0], len(own))], schema=_CODES))
+        stack.close()
 
     # a shard holds all nodes of the contexts that end in its bytes
     tail = lambda n: F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * n) - 1)
@@ -346,51 +347,73 @@ def code_files(parts: DataFrame, order: int = ORDER, depth: int | None = None, h
         codes = rows.mapInArrow(code_distinct, "key long, code double")
         coded = coded.unionByName(asked.join(codes, "key").select("part", "key", "code"))
     coded = coded.repartition("part").sortWithinPartitions("part", "key")
-    return stage(coded.mapInArrow(write, "part int, codes string"), "code-files")
+    files_of_parts = stage(coded.mapInArrow(write, "part int, codes string"), "code-files")
+    unstage(counts)
+    return files_of_parts
 
 
 @common.worker_store
 def _codes(file: str) -> tuple[np.ndarray, np.ndarray]:
-    with common.open_in(file) as f:
-        rows = np.frombuffer(f.read(), _CODES)
-    return np.ascontiguousarray(rows["key"]), np.ascontiguousarray(rows["code"])
+    with common.open_in(file) as f, pa.ipc.open_stream(f) as rows:
+        table = rows.read_all()
+    return table.column("key").to_numpy(), table.column("code").to_numpy()
 
 
 # --- words -------------------------------------------------------------------------
 
 
-def word_files(parts: DataFrame) -> DataFrame:
-    """(part, file, n, distinct): for each part a file with its words and their counts in the whole
-    training corpus; n and distinct add up to the corpus's words and distinct words.
-
-    ``parts`` is (part, text, held_out). A part reports a word once for every ``_WORDS`` distinct
-    ones it counts at a time, so the rows of one word are about the number of parts.
-    """
-    spark = parts.sparkSession
+def count_words(parts: DataFrame) -> DataFrame:
+    """(part, word, n): the words of each part of (part, text, held_out), and how often its training
+    texts have them. A part reports a word once, or once for every ``_HELD_WORDS // 2`` distinct ones."""
     schema = pa.schema([("part", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
 
+    def told(learned: Counter[bytes], other: set[bytes]) -> pa.Table:
+        words = [*learned, *(w for w in other if w not in learned)]
+        counts = np.zeros(len(words), np.int64)
+        counts[: len(learned)] = np.fromiter(learned.values(), np.int64, len(learned))
+        learned.clear()
+        other.clear()
+        return pa.table([pa.array(words, pa.binary()), pa.array(counts)], ["word", "n"])
+
+    def as_one(held: list[pa.Table]) -> pa.Table:
+        if len(held) == 1:
+            return held[0]
+        table = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return table.rename_columns({"n_sum": "n"}).select(["word", "n"])
+
+    def emit(part: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in table.to_batches(20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), *batch.columns], schema=schema)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what coding left in this worker
         for part, own in groupby(common.rows(batches, "part", "text", "held_out"), lambda r: r[0]):
-            learned, other = Counter(), set()
-
-            def told(part: int = part, learned: Counter[bytes] = learned, other: set[bytes] = other) -> Iterator[pa.RecordBatch]:
-                words = [*learned, *(w for w in other if w not in learned)]
-                counts = np.zeros(len(words), np.int64)
-                counts[: len(learned)] = np.fromiter(learned.values(), np.int64, len(learned))
-                for at in range(0, len(words), 20_000):
-                    w, n = words[at : at + 20_000], counts[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, np.int32)), pa.array(w, pa.binary()), pa.array(n)], schema=schema)
+            learned, other, held = Counter(), set(), []
 
             for _, text, held_out in own:
                 (other if held_out else learned).update(words_of(text))
                 if len(learned) + len(other) > _WORDS:
-                    yield from told()
-                    learned.clear()
-                    other.clear()
-            yield from told()
+                    held.append(told(learned, other))
+                    if sum(t.num_rows for t in held) > _HELD_WORDS:
+                        held = [as_one(held)]
+                        if held[0].num_rows > _HELD_WORDS // 2:
+                            yield from emit(part, held[0])
+                            held = []
+            if learned or other:
+                held.append(told(learned, other))
+            if held:
+                yield from emit(part, as_one(held))
+
+    return parts.mapInArrow(count, "part int, word binary, n long")
+
 
-    one = parts.mapInArrow(count, "part int, word binary, n long")
+def word_files(parts: DataFrame) -> DataFrame:
+    """(part, file, n, distinct): for each part a file with its words and their counts in the whole
+    training corpus; n and distinct add up to the corpus's words and distinct words.
+
+    ``parts`` is (part, text, held_out). The rows of one word are about the number of parts.
+    """
+    spark, one = parts.sparkSession, count_words(parts)
     # one order serves both values; the splits of a part that report the same word go on as one row
     by_word = W.partitionBy("word").orderBy("part")
     counted = one.select(
@@ -439,9 +462,10 @@ def score(
     """
     plain = common.texts(docs).withColumn("held_out", held_out).withColumn("part", F.spark_partition_id())
     parts = stage(plain, "parts")
-    codes = code_files(parts, order, depth, hot_rows)
-    words = word_files(parts.select("part", "text", "held_out"))
-    sums = words.agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
+    with freed_shuffles(docs.sparkSession):
+        codes = code_files(parts, order, depth, hot_rows)
+        words = word_files(parts.select("part", "text", "held_out"))
+        sums = words.agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).first()
     ends = parts.where(~F.col("held_out")).count()
     n_train, n_distinct = (sums["n"] or 0) + ends, (sums["distinct"] or 0) + (ends > 0)
     log_end, log_all = float(np.log10(ends + 1)), float(np.log10(n_train + n_distinct + 1))
@@ -458,7 +482,7 @@ def score(
             def rows(part: Iterator[tuple] = part, get: dict[bytes, float] = get) -> Iterator[tuple]:
                 for doc_id, out, text, *_ in part:
                     own = words_of(text)
-                    logs = [get[w] for w in own]
+                    logs = list(map(get.__getitem__, own))
                     known = len(logs) - logs.count(0.0) + (ends > 0)
                     base = sum(logs) + log_end - (len(own) + 1) * log_all
                     yield doc_id, out, len(own) + 1, known, n_train, base, own
