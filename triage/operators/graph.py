@@ -54,23 +54,20 @@ def in_neighbors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return step.join(starts.select("repo", "start").distinct(), ["repo", "start"], "left_semi").distinct()
 
 
-def _steps(edges: DataFrame, directions: tuple[str, ...]) -> DataFrame:
-    parts = []
-    if "out" in directions:
-        parts.append(edges.select("repo", F.lit("out").alias("dir"), F.col("src").alias("node"), F.col("dst").alias("to")))
-    if "in" in directions:
-        parts.append(edges.select("repo", F.lit("in").alias("dir"), F.col("dst").alias("node"), F.col("src").alias("to")))
-    return reduce(DataFrame.unionByName, parts)
+def _arcs(edges: DataFrame, out: Column, back: Column) -> DataFrame:
+    """``repo, src, dst, out, back``: the edges, made once, and the directions in which each may be walked."""
+    ways = [F.coalesce(c, F.lit(False)).alias(n) for n, c in (("out", out), ("back", back))]
+    return stage(edges.select("repo", "src", "dst", *ways).where("out or back"), "graph-arcs")
 
 
 # Nodes whose bits share a 64-bit word; a word is one row.
 _WORD = 64
 
 
-def _numbered(steps: DataFrame) -> DataFrame:
+def _numbered(arcs: DataFrame) -> DataFrame:
     """``repo, node, id``: numbers that rise with (repo, node) and have no gaps inside a partition,
-    so the nodes of a repository fill few words."""
-    points = steps.select("repo", "node").unionByName(steps.select("repo", F.col("to").alias("node"))).distinct()
+    so the nodes of a repository fill few words and each word is full up to its last node."""
+    points = reduce(DataFrame.unionByName, [arcs.select("repo", F.col(c).alias("node")) for c in ("src", "dst")]).distinct()
     return stage(
         points.repartitionByRange("repo", "node").sortWithinPartitions("repo", "node")
         .withColumn("id", F.monotonically_increasing_id()),
@@ -79,75 +76,74 @@ def _numbered(steps: DataFrame) -> DataFrame:
 
 
 def _within(front: DataFrame, links: DataFrame, hops: int) -> DataFrame:
-    """``dir, a``: nodes at most ``hops`` steps behind the starts, all starts in one walk."""
+    """``a``: places at most ``hops`` steps behind the starts, all starts in one walk."""
     seen = front
     for _ in range(hops):
-        front = links.join(front, ["dir", "a"], "left_semi").select("dir", F.col("b").alias("a")).distinct()
-        front = stage(front.join(seen, ["dir", "a"], "left_anti"), "graph-front")
+        front = links.join(front, "a", "left_semi").select(F.col("b").alias("a")).distinct()
+        front = stage(front.join(seen, "a", "left_anti"), "graph-front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def _walk(starts: DataFrame, steps: DataFrame, depth: int, directions: tuple[str, ...]) -> tuple[list[DataFrame], DataFrame]:
-    """(sets of each hop as ``dir, a, word, bits``, numbers of the nodes) within ``depth`` steps.
+def _walk(starts: DataFrame, arcs: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(sets of each hop as ``a, word, bits``, numbers of the starts, numbers of the nodes) within ``depth`` steps.
 
     The nodes at distance h + 1 of a node are those at distance h of its neighbours that it has not
     met before. So all nodes that a start can meet hand their sets on together, one row for each
     word of 64 nodes, and a hop costs a join over the edges and an aggregate of ``bit_or``, not a
-    row for every pair. The start itself is met only when a cycle leads back to it.
+    row for every pair. The start itself is met only when a cycle leads back to it. A node has a
+    place for each direction (twice its number, and one more to walk back), which never meet.
     """
-    ids = _numbered(steps)
-    a, b = ids.select("repo", "node", F.col("id").alias("a")), ids.select("repo", F.col("node").alias("to"), F.col("id").alias("b"))
-    links = stage(steps.join(a, ["repo", "node"]).join(b, ["repo", "to"]).select("dir", "a", "b").distinct(), "graph-links")
-    each = F.explode(F.array(*[F.lit(d) for d in directions])).alias("dir")
-    begin = starts.select("repo", F.col("start").alias("node")).distinct().join(a, ["repo", "node"]).select("a", each)
-    begin = stage(begin.select("dir", "a"), "graph-starts")
+    ids = _numbered(arcs)
+    src, dst = [ids.select("repo", F.col("node").alias(n), F.col("id").alias(x)) for n, x in (("src", "a"), ("dst", "b"))]
+    pairs = arcs.join(src, ["repo", "src"]).join(dst, ["repo", "dst"]).groupBy("a", "b")
+    pairs = stage(pairs.agg(F.bool_or("out").alias("out"), F.bool_or("back").alias("back")), "graph-links")
+    begin = stage(starts.select("repo", F.col("start").alias("node")).distinct().join(ids, ["repo", "node"]), "graph-starts")
     if depth < 1:
-        return [], ids
-    links = stage(links.join(_within(begin, links, depth - 1), ["dir", "a"], "left_semi"), "graph-links")
-    word, bit = F.expr(f"b div {_WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(b % {_WORD} as int))")
-    now = stage(links.groupBy("dir", "a", word).agg(F.bit_or(bit).alias("bits")), "graph-sets")
+        return [], begin, ids
+    links = pairs.where("out").selectExpr("2 * a as a", "2 * b as b").unionByName(
+        pairs.where("back").selectExpr("2 * b + 1 as a", "2 * a + 1 as b")
+    )
+    if 2 * begin.count() < ids.count():  # else few nodes would be left out
+        front = begin.select(F.explode(F.expr("array(2 * id, 2 * id + 1)")).alias("a"))
+        links = stage(links.join(_within(front, links, depth - 1), "a", "left_semi"), "graph-links")
+    word, bit = F.expr(f"b div {2 * _WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(b div 2 % {_WORD} as int))")
+    now = stage(links.groupBy("a", word).agg(F.bit_or(bit).alias("bits")), "graph-sets")
     sets = [now]
     for _ in range(1, depth):
-        seen = reduce(DataFrame.unionByName, sets).groupBy("dir", "a", "word").agg(F.bit_or("bits").alias("_seen"))
-        handed = now.withColumnRenamed("a", "b").join(links, ["dir", "b"]).groupBy("dir", "a", "word").agg(F.bit_or("bits").alias("bits"))
+        seen = reduce(DataFrame.unionByName, sets).groupBy("a", "word").agg(F.bit_or("bits").alias("_seen"))
+        handed = now.withColumnRenamed("a", "b").join(links, "b").groupBy("a", "word").agg(F.bit_or("bits").alias("bits"))
         new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long"))))
         now = stage(
-            handed.join(seen, ["dir", "a", "word"], "left").select("dir", "a", "word", new.alias("bits")).where("bits <> 0"),
+            handed.join(seen, ["a", "word"], "left").select("a", "word", new.alias("bits")).where("bits <> 0"),
             "graph-sets",
         )
         if now.isEmpty():
             break
         sets.append(now)
-    return [x.join(begin, ["dir", "a"], "left_semi") for x in sets], ids
+    return sets, begin, ids
 
 
-def _pairs(sets: list[DataFrame], ids: DataFrame, itself: bool) -> DataFrame:
-    """``repo, start, path, hop``: the shortest hop of each pair. Names are looked up by word,
-    before the rows of single pairs are made."""
+def _pairs(sets: list[DataFrame], begin: DataFrame, ids: DataFrame, itself: bool) -> DataFrame:
+    """``repo, start, path, hop``: the shortest hop of each pair. Names are looked up by word, last of
+    all, and before the rows of single pairs are made: a word brings 64 names."""
     if not sets:
         return ids.select("repo", F.col("node").alias("start"), F.col("node").alias("path"), F.lit(0).alias("hop")).where("false")
-    every = reduce(DataFrame.unionByName, [x.withColumn("hop", F.lit(h)) for h, x in enumerate(sets, 1)])
-    zero = F.lit(0).cast("long")
-    columns = [F.coalesce(F.bit_or(F.when(F.col("hop") == h, F.col("bits"))), zero).alias(f"_b{h}") for h in range(1, len(sets) + 1)]
-    rows, before, parts = every.groupBy("a", "word").agg(*columns), zero, []
-    for h in range(1, len(sets) + 1):
-        parts.append(F.struct(F.lit(h).alias("hop"), F.col(f"_b{h}").bitwiseAND(F.bitwise_not(before)).alias("bits")))
-        before = before.bitwiseOR(F.col(f"_b{h}"))
-    names = ids.groupBy(F.expr(f"id div {_WORD}").alias("word")).agg(  # at most 64 names
-        F.map_from_entries(F.collect_list(F.struct((F.col("id") % _WORD).cast("int"), "node"))).alias("_names")
-    )
-    own = ids.select(F.col("id").alias("a"), "repo", F.col("node").alias("start"))
-    flat = rows.join(names, "word").join(own, "a").select("repo", "a", "start", "word", "_names", F.explode(F.array(*parts)).alias("p"))
-    flat = flat.where("p.bits <> 0").select(
-        "repo", "a", "start", "word", "p.hop", "_names",
-        F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(p.bits, i) & 1 = 1)")).alias("i"),
+    hops = range(1, len(sets) + 1)
+    every = reduce(DataFrame.unionByName, [x.selectExpr("a div 2 as id", "word", "bits", f"{h} as hop") for h, x in zip(hops, sets, strict=True)])
+    columns = [F.coalesce(F.bit_or(F.when(F.col("hop") == h, F.col("bits"))), F.lit(0).cast("long")).alias(f"_b{h}") for h in hops]
+    rows = every.groupBy("id", "word").agg(*columns).join(begin.withColumnRenamed("node", "start"), "id")
+    names = ids.groupBy(F.expr(f"id div {_WORD}").alias("word")).agg(  # at most 64 names, in the order of their bits
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "node"))), lambda x: x["node"]).alias("_names")
     )
+    met = " | ".join(f"_b{h}" for h in hops)
+    flat = rows.join(names, "word").select("*", F.posexplode("_names").alias("i", "path")).where(f"shiftright({met}, i) & 1 = 1")
     if not itself:
-        flat = flat.where(F.col("a") != F.col("word") * _WORD + F.col("i"))
-    return flat.select("repo", "start", F.col("_names")[F.col("i")].alias("path"), "hop")
+        flat = flat.where(F.col("id") != F.col("word") * _WORD + F.col("i"))
+    hop = F.coalesce(*[F.when(F.expr(f"shiftright(_b{h}, i) & 1 = 1"), h) for h in hops])
+    return flat.select("repo", "start", "path", hop.alias("hop"))
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "in") -> DataFrame:
@@ -157,7 +153,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str =
     """
     if direction not in ("in", "out"):
         raise ValueError(f"direction must be 'in' or 'out', not {direction!r}")
-    return _pairs(*_walk(starts, _steps(edges, (direction,)), depth, (direction,)), itself=True)
+    arcs = _arcs(edges, F.lit(direction == "out"), F.lit(direction == "in"))
+    return _pairs(*_walk(starts, arcs, depth), itself=True)
 
 
 def neighborhood(
@@ -168,11 +165,9 @@ def neighborhood(
     The start itself is left out. Edges to external modules are never walked
     backwards (their many importers are unrelated to each other).
     """
-    steps = _steps(edges, ("out",))
-    back = _steps(edges.where(F.col("dst_kind") == REPO_FILE), ("in",))
-    if drop_external:
-        steps = steps.where(~F.startswith(F.col("to"), F.lit(EXTERNAL_PREFIX)))
-    return _pairs(*_walk(starts, steps.unionByName(back), depth, ("out", "in")), itself=False)
+    out = ~F.startswith("dst", F.lit(EXTERNAL_PREFIX)) if drop_external else F.lit(True)
+    arcs = _arcs(edges, out, F.col("dst_kind") == REPO_FILE)
+    return _pairs(*_walk(starts, arcs, depth), itself=False)
 
 
 # --- cycles -----------------------------------------------------------------------
